@@ -30,8 +30,18 @@ def parse_date(col: Column) -> Column:
     return col.try_cast("date")
 
 
+def fixed(col: Column, digits: int, grouped: bool = False) -> Column:
+    """Fixed-point text, ties of the binary value to even; ``format_string`` rounds them up."""
+    text = F.format_number(col.cast("double"), digits)
+    return text if grouped else F.replace(text, F.lit(","), F.lit(""))
+
+
 def rupees(col: Column) -> Column:
-    return F.concat(F.lit("₹"), F.format_number(col.cast("double"), 0))
+    return F.concat(F.lit("₹"), fixed(col, 0, grouped=True))
+
+
+def percent_text(col: Column, digits: int = 1) -> Column:
+    return F.concat(fixed(col, digits), F.lit("%"))
 
 
 def inr_unit(col: Column) -> Column:
@@ -42,12 +52,9 @@ def inr_unit(col: Column) -> Column:
 def format_inr(col: Column) -> Column:
     """Rupee amount in crore, lakh or plain digits, as on the dashboard cards."""
     value = col.cast("double")
-    return (
-        F.when(value >= 1e7, F.format_string("₹%.1f Cr", value / F.lit(1e7)))
-        .when(value >= 1e5, F.format_string("₹%.1f L", value / F.lit(1e5)))
-        .otherwise(rupees(value))
-    )
 
+    def scaled(by: float, unit: str) -> Column:
+        return F.concat(F.lit("₹"), fixed(value / F.lit(by), 1), F.lit(unit))
 
-def percent_text(col: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", col.cast("double"))
+    return (F.when(value >= 1e7, scaled(1e7, " Cr")).when(value >= 1e5, scaled(1e5, " L"))
+            .otherwise(rupees(value)))

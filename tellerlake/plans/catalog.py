@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import activity, geography, lending, portfolio, risk, segmentation
-from ..sources import store
+from ..functions import buckets, numeric, scores, text
+from ..functions.segments import segment
+from ..operators import activity, cleaning, geography, lending, portfolio, risk, segmentation
+from ..schema import FLAG_COLUMNS, IMPUTED_COLUMNS, KEY, NUMERIC_COLUMNS, ORDINAL, TEXT_COLUMNS
+from ..sources import star, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,5 +74,103 @@ CORPUS: dict[str, Query] = {
 }
 
 
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored customer table as dirty text rows, repeated customers included."""
+    return star.with_defects(bank(spark, sf_dir))
+
+
+def per_customer(**columns: Column | Callable[[], Column]) -> Query:
+    """Customer key and expressions, built when the query runs."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = bank(spark, sf_dir)
+        return df.select(KEY, *[make().alias(name) for name, make in columns.items()])
+    return run
+
+
+def _minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Income and age on a common scale; the extremes come from a scalar subquery."""
+    df = bank(spark, sf_dir)
+    ends = df.select(F.struct(F.min("Monthly_Income").alias("lo"),
+                              F.max("Monthly_Income").alias("hi"))).scalar()
+    return df.select(
+        KEY, ((F.col("Monthly_Income") - ends["lo"]) / (ends["hi"] - ends["lo"] + 1))
+        .alias("Income_Norm"), ((F.col("Age") - 18) / F.lit(57.0)).alias("Age_Norm"))
+
+
+_c = F.col
+
+DERIVED: dict[str, Query] = {
+    "derive_credit_category": per_customer(
+        Credit_Category=lambda: buckets.credit_category(_c("Credit_Score")),
+        Credit_Category_Ranged=lambda: buckets.credit_category(_c("Credit_Score"), "ranged")),
+    "derive_age_group": per_customer(
+        Age_Group=lambda: buckets.age_group(_c("Age")),
+        Age_Group_Between=lambda: buckets.age_group(_c("Age"), "between")),
+    "derive_missed_bucket": per_customer(
+        Missed_Between=lambda: buckets.missed_bucket(_c("Missed_Payments")),
+        Missed_Upto=lambda: buckets.missed_bucket(_c("Missed_Payments"), "upto"),
+        Missed_Cut=lambda: buckets.missed_bucket(_c("Missed_Payments"), "cut")),
+    "derive_atm_bucket": per_customer(ATM_Bucket=lambda: buckets.atm_bucket(_c("ATM_Usage"))),
+    "segment_sql_detail_rules": per_customer(Segment=lambda: segment("detail")),
+    "segment_sql_summary_rules": per_customer(Segment=lambda: segment("summary")),
+    "segment_app_rules": per_customer(Segment=lambda: segment("dashboard")),
+    "format_inr": per_customer(
+        unit=lambda: text.inr_unit(_c("Loan_Amount")),
+        loan_text=lambda: text.format_inr(_c("Loan_Amount")),
+        balance_text=lambda: text.format_inr(_c("Account_Balance")),
+        income_text=lambda: text.format_inr(_c("Monthly_Income"))),
+    "scale_crore": per_customer(
+        Loan_Crore=lambda: numeric.crore(_c("Loan_Amount")),
+        Balance_Crore=lambda: numeric.crore(_c("Account_Balance"))),
+    "derive_loan_fields": per_customer(
+        EMI=lambda: scores.instalment(_c("Loan_Amount"), _c("Loan_Tenure")),
+        Average_Transaction_Value=lambda: scores.average_ticket(
+            _c("Transaction_Amount"), _c("Transaction_Count")),
+        Debt_to_Income_Ratio=lambda: scores.applicant_ratio(_c("EMI"), _c("Monthly_Income"))),
+    "score_risk_rules": per_customer(
+        Risk_Score=scores.risk_score, Rule_Label=scores.risk_label),
+    "score_default_probability": per_customer(
+        Default_Probability=lambda: scores.default_percent() / F.lit(100.0)),
+    "score_churn_probability": per_customer(
+        Churn_Probability=lambda: scores.churn_percent() / F.lit(100.0)),
+    "minmax_income_age": _minmax,
+    "risk_indicators": per_customer(
+        Indicators=lambda: F.array_join(scores.risk_indicators(), ",")),
+}
+
+
+def cleaned(operator, *columns: str) -> Query:
+    return lambda spark, d: operator(raw_rows(spark, d)).select(*columns or ["*"])
+
+
+_IDS = [ORDINAL, KEY]
+
+CLEANING: dict[str, Query] = {
+    "clean_dedup": cleaned(cleaning.drop_repeats),
+    "clean_coerce_numeric": cleaned(cleaning.coerce_numbers, *_IDS, *NUMERIC_COLUMNS[:]),
+    "clean_coerce_binary": cleaned(cleaning.coerce_flags, *_IDS, *FLAG_COLUMNS),
+    "clean_parse_date": cleaned(cleaning.parse_dates, *_IDS, "Last_Transaction_Date"),
+    "clean_impute_median": cleaned(
+        lambda raw: cleaning.impute_medians(store.cut(cleaning.typed(raw), "typed-customers")),
+        KEY, *IMPUTED_COLUMNS),
+    "clean_validate_ranges": cleaned(
+        lambda raw: cleaning.keep_valid(cleaning.typed(raw)),
+        KEY, "Age", "Credit_Score", "Monthly_Income", "Account_Balance", "Transaction_Amount"),
+    "clean_fill_zero": cleaned(
+        lambda raw: cleaning.fill_zero(cleaning.typed(raw)), KEY, *NUMERIC_COLUMNS),
+    "clean_standardise_text": cleaned(cleaning.tidy_text, *_IDS, *TEXT_COLUMNS),
+    "clean_recency": cleaned(
+        lambda raw: cleaning.add_recency(cleaning.typed(raw)),
+        KEY, "Last_Transaction_Date", "Days_Since_Transaction"),
+    "clean_recompute_dti": cleaned(
+        lambda raw: cleaning.recompute_ratio(cleaning.typed(raw)), KEY, "Debt_to_Income_Ratio"),
+    "clean_label_domain": cleaned(cleaning.fix_labels, *_IDS, "Risk_Label"),
+    "clean_stage_report": cleaned(cleaning.stage_report),
+    "clean_customers": cleaned(cleaning.clean_customers),
+    "profile_null_census": cleaned(lambda raw: cleaning.null_census(raw.drop(ORDINAL))),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return dict(CORPUS)
+    return {**CORPUS, **DERIVED, **CLEANING}
