@@ -8,14 +8,16 @@ the brackets are counted, ordered and searched.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut
 
 ACCURACY = 20_000  # rank error of the sketch is at most rows / ACCURACY
+TARGETS = 24  # ranks searched by one plan
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -26,18 +28,27 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     without values gets a null. ``df`` is read three times (sketch, rows below
     each bracket, values inside), so pass a stored table rather than a long plan.
 
-    The bracket of a rank spans three sketch errors to either side, about
-    ``6 / accuracy`` of the rows; the plan fails rather than answer wrongly
+    The bracket of a rank spans six sketch errors to either side, about
+    ``12 / accuracy`` of the rows; the plan fails rather than answer wrongly
     should a rank lie outside.
     """
     columns, by = list(columns), list(by)
-    pad = 3.0 / accuracy
+    if len(columns) * len(probs) > TARGETS:  # keep each plan small enough to compile
+        step = max(1, TARGETS // len(probs))
+        parts = [exact_quantiles(df, columns[i:i + step], probs, by, accuracy)
+                 for i in range(0, len(columns), step)]
+        return reduce(DataFrame.unionByName, parts)
+    pad = 6.0 / accuracy
     ends = [min(max(p + s * pad, 0.0), 1.0) for p in probs for s in (-1, 1)]
     data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    sketch = data.groupBy(*by).agg(*[
-        F.percentile_approx(c, F.array(*[F.lit(e) for e in ends]), accuracy).alias(f"_b{i}")
-        for i, c in enumerate(columns)
-    ])
+
+    def bracket(c: str) -> Column:
+        """Low and high end per rank; all values where there are few rows."""
+        whole = F.array_repeat(F.array(F.min(c), F.max(c)), len(probs))
+        near = F.percentile_approx(c, F.array(*[F.lit(e) for e in ends]), accuracy)
+        return F.when(F.count(c) >= accuracy, near).otherwise(F.flatten(whole))
+
+    sketch = data.groupBy(*by).agg(*[bracket(c).alias(f"_b{i}") for i, c in enumerate(columns)])
     if by:
         # Stored, so that its true size decides between broadcast and shuffle join.
         same = [data[b].eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
@@ -47,8 +58,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     else:
         row = sketch.first()  # a single row, whatever the size of df
         data = data.withColumns({
-            f"_b{i}": F.array(*[F.lit(v) for v in row[i]]) if row[i]
-            else F.lit(None).cast("array<double>") for i in range(len(columns))
+            f"_b{i}": F.array(*[F.lit(v).cast("double") for v in row[i]])
+            for i in range(len(columns))
         })
 
     targets = [(i, j) for i in range(len(columns)) for j in range(len(probs))]

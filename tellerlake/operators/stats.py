@@ -43,11 +43,17 @@ def crosstab_wide(df: DataFrame, row: str, column: str, values: Sequence[str]) -
 
 
 def group_mean(df: DataFrame, key: str, value: str, scale: float = 1.0,
-               name: str | None = None) -> DataFrame:
-    """Mean of ``value`` times ``scale`` per key, highest first."""
+               name: str | None = None, digits: int | None = None) -> DataFrame:
+    """Mean of ``value`` times ``scale`` per key, highest first.
+
+    ``digits`` rounds away the last bits of a sum of fractions, which depend on
+    the order of addition.
+    """
     name = name or value
+    mean = F.avg(value) * scale
+    mean = mean if digits is None else F.round(mean, digits)
     return (df.where(F.col(key).isNotNull()).groupBy(key)
-            .agg((F.avg(value) * scale).alias(name)).orderBy(F.desc(name), key))
+            .agg(mean.alias(name)).orderBy(F.desc(name), key))
 
 
 def group_share(df: DataFrame, keys: Sequence[str], predicate: Column,
@@ -95,20 +101,22 @@ def five_numbers(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles per numeric column."""
+    """Count, mean, sample deviation, extremes and exact quartiles per numeric column.
+
+    Columns become rows first: one small plan for any number of columns, with all
+    aggregation done map-side before the exchange.
+    """
     numeric = ("bigint", "int", "double", "float", "smallint", "tinyint")
     columns = list(columns) if columns else [c for c, t in df.dtypes if t in numeric]
-    figures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    row = df.agg(*[
-        F.struct(F.lit(c).alias("column"),
-                 *[f(c).cast("double").alias(n) for n, f in figures.items()]).alias(f"_{i}")
-        for i, c in enumerate(columns)
-    ])
-    basics = row.select(F.explode(F.array(*[f"_{i}" for i in range(len(columns))])).alias("s"))
-    basics = basics.select("s.*")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], columns, "_column", "value")
+    basics = long.groupBy(F.col("_column").alias("column")).agg(
+        F.count("value").cast("double").alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"))
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
-    quartiles = (exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-                 .withColumnRenamed("column", "_column").groupBy("_column")
+    quartiles = (exact_quantiles(long, ["value"], [0.25, 0.5, 0.75], by=["_column"])
+                 .groupBy("_column")
                  .agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75")))
     joined = basics.join(quartiles, F.col("column") == F.col("_column"))
     names = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]

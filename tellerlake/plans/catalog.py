@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, numeric, scores, text
 from ..functions.segments import segment
-from ..operators import activity, cleaning, geography, lending, portfolio, risk, segmentation
+from ..operators import (activity, cleaning, dashboard, geography, insights, kpis, lending, portfolio,
+                         risk, segmentation, stats)
 from ..schema import FLAG_COLUMNS, IMPUTED_COLUMNS, KEY, NUMERIC_COLUMNS, ORDINAL, TEXT_COLUMNS
 from ..sources import star, store
 
@@ -172,5 +173,117 @@ CLEANING: dict[str, Query] = {
 }
 
 
+PACKS: dict[str, Query] = {
+    "kpi_pack": on_bank(kpis.kpi_pack),
+    "kpi_executive": on_bank(kpis.executive),
+    "kpi_transactions": on_bank(kpis.transactions),
+    "kpi_loans": on_bank(kpis.loans),
+    "kpi_risk": on_bank(kpis.risk),
+    "kpi_eda_summary": on_bank(kpis.eda_summary),
+}
+
+
+def _filter_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bank(spark, sf_dir)
+    states = [f"NATION_{i}" for i in range(1, 25)]
+    return stats.select_customers(
+        df, age=(25, 60), genders=["Male", "Female"], states=states,
+        accounts=["Savings", "Current", "Salary"], score=(400, 850),
+    ).select(KEY, "Age", "Gender", "State", "Account_Type", "Credit_Score")
+
+
+STATISTICS: dict[str, Query] = {
+    "value_counts": on_bank(stats.value_counts, "City"),
+    "crosstab_long": on_bank(stats.crosstab_long, ["Gender", "Account_Type"]),
+    "crosstab_wide": on_bank(stats.crosstab_wide, "Occupation", "Gender",
+                             ["Female", "Male", "Other"]),
+    "group_mean": on_bank(stats.group_mean, "Gender", "Customer_Satisfaction", scale=20.0,
+                          name="Satisfaction_Pct", digits=9),
+    "group_share": lambda spark, d: stats.group_share(
+        bank(spark, d), ["State", "Gender"], _c("Complaints") > 2),
+    "histogram": on_bank(stats.histogram, "Monthly_Expenses", 25),
+    "five_number_summary": on_bank(stats.five_numbers, "Account_Type", "Account_Balance"),
+    "describe_numeric": on_bank(stats.describe,
+                                ["Account_Balance", "Loan_Amount", "Debt_to_Income_Ratio"]),
+    "correlation_matrix": on_bank(stats.correlation_matrix,
+                                  ["Age", "Monthly_Income", "Credit_Score", "Tenure_Years"]),
+    "filter_customers": _filter_customers,
+}
+
+
+def on_page(operator, *args, **params) -> Query:
+    """Over the customers the customer page shows at first."""
+    return lambda spark, d: operator(dashboard.customer_page(bank(spark, d)), *args, **params)
+
+
+def on_loans(operator, *args, **params) -> Query:
+    return lambda spark, d: operator(dashboard.open_loans(bank(spark, d)), *args, **params)
+
+
+PAGES: dict[str, Query] = {
+    "exec_risk_counts": on_bank(stats.value_counts, "Risk_Label", name="Risk"),
+    "exec_account_type_counts": on_bank(stats.value_counts, "Account_Type"),
+    "exec_top_states": on_bank(stats.value_counts, "State", top=10),
+    "exec_credit_score_hist": on_bank(dashboard.credit_score_histogram),
+    "exec_state_risk": on_bank(stats.crosstab_long, ["State", "Risk_Label"]),
+    "cust_filtered_count": on_bank(dashboard.filtered_count, age=(25, 60),
+                                   genders=["Male", "Female"], score=(400, 850)),
+    "cust_age_hist": on_page(stats.histogram, "Age", 30),
+    "cust_gender_counts": on_page(dashboard.gender_shares),
+    "cust_income_hist": on_page(stats.histogram, "Monthly_Income", 40),
+    "cust_balance_hist": on_page(stats.histogram, "Account_Balance", 40),
+    "cust_income_by_occupation": on_page(stats.group_mean, "Occupation", "Monthly_Income"),
+    "cust_tenure_hist": on_page(stats.histogram, "Tenure_Years", 20),
+    "cust_product_counts": on_page(stats.value_counts, "Number_of_Products", name="Products",
+                                   order="key"),
+    "cust_occupation_counts": on_bank(stats.value_counts, "Occupation"),
+    "txn_amount_hist": on_bank(stats.histogram, "Transaction_Amount", 40),
+    "txn_count_hist": on_bank(stats.histogram, "Transaction_Count", 30),
+    "txn_channel_adoption": on_bank(dashboard.channel_adoption),
+    "txn_atm_hist": on_bank(stats.histogram, "ATM_Usage", 20),
+    "txn_amount_by_occupation": on_bank(dashboard.mean_with_text, "Occupation",
+                                        "Transaction_Amount"),
+    "txn_amount_by_risk": on_bank(dashboard.mean_with_text, "Risk_Label", "Transaction_Amount"),
+    "txn_branch_hist": on_bank(stats.histogram, "Branch_Visits", 10),
+    "loanpage_status_counts": on_loans(stats.value_counts, "Loan_Status", name="Status"),
+    "loanpage_amount_hist": on_loans(stats.histogram, "Loan_Amount", 40),
+    "loanpage_dti_hist": on_loans(stats.histogram, "Debt_to_Income_Ratio", 40),
+    "loanpage_top_states": on_bank(dashboard.top_loan_states),
+    "loanpage_missed_default": on_bank(dashboard.missed_default),
+    "risk_age_group": on_bank(dashboard.age_risk),
+    "risk_age_group_high": on_bank(dashboard.age_risk, "High"),
+    "risk_credit_category_counts": on_bank(dashboard.credit_risk),
+    "risk_missed_counts": on_bank(dashboard.missed_risk),
+    "risk_dti_quartiles": on_bank(dashboard.ratio_spread),
+    "risk_state_credit_heatmap": on_bank(dashboard.state_credit_heatmap),
+    "risk_high_sample": on_bank(dashboard.high_risk_sample),
+    "segpage_summary": on_bank(dashboard.segment_summary),
+    "segpage_summary_formatted": on_bank(dashboard.segment_summary_text),
+    "segpage_segment_risk": on_bank(dashboard.segment_risk),
+    "eda_income_hist": on_bank(stats.histogram, "Monthly_Income", 50),
+    "eda_balance_hist": on_bank(stats.histogram, "Account_Balance", 50),
+    "eda_credit_counts": on_bank(dashboard.credit_counts),
+    "eda_credit_risk_crosstab": on_bank(dashboard.credit_risk_wide),
+    "eda_describe": on_bank(stats.describe),
+    "eda_income_describe": on_bank(stats.describe, ["Monthly_Income"]),
+    "eda_correlation": on_bank(stats.correlation_matrix),
+}
+
+INSIGHTS: dict[str, Query] = {
+    "insight_riskiest_segment": on_bank(insights.riskiest_segment),
+    "insight_top_default_state": on_bank(insights.top_default_state),
+    "insight_credit_vs_risk": on_bank(insights.contrast, "Credit Score & Risk"),
+    "insight_dti_vs_risk": on_bank(insights.contrast, "Debt-to-Income Impact"),
+    "insight_missed_vs_risk": on_bank(insights.contrast, "Missed Payments"),
+    "insight_products_vs_churn": on_bank(insights.contrast, "Products & Churn"),
+    "insight_top_account_type": on_bank(insights.top_account_type),
+    "insight_digital_vs_risk": on_bank(insights.contrast, "Digital Banking & Risk"),
+    "insight_default_by_state": on_bank(insights.default_by_state),
+    "insight_churn_by_segment": on_bank(insights.churn_by_segment),
+    "insights_all": on_bank(insights.all_findings),
+    "recommendations": on_bank(insights.recommendations),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**CORPUS, **DERIVED, **CLEANING}
+    return {**CORPUS, **DERIVED, **CLEANING, **PACKS, **STATISTICS, **PAGES, **INSIGHTS}
