@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .buckets import first_match
 from .numeric import clip, half_even, ratio
+from .text import fixed
 
 
 def _points(rules: list[tuple[Column, int]]) -> Column:
@@ -93,17 +94,21 @@ def indicator_text(code: Column) -> Column:
     """Sentence for one indicator code, with the customer's own numbers in it."""
     c = F.col
     times = ratio(c("Loan_Amount"), c("Monthly_Income"))
+
+    def say(before: str, number: Column, after: str) -> Column:
+        return F.concat(F.lit(before), number, F.lit(after))
+
     return (
         F.when(code == "LOW_CREDIT_SCORE",
-               F.format_string("Credit score %.0f is under 600.", c("Credit_Score")))
+               say("Credit score ", fixed(c("Credit_Score"), 0), " is under 600."))
         .when(code == "HIGH_DTI",
-              F.format_string("Debt-to-income ratio %.2f is over 0.4.", c("Debt_to_Income_Ratio")))
+              say("Debt-to-income ratio ", fixed(c("Debt_to_Income_Ratio"), 2), " is over 0.4."))
         .when(code == "MISSED_PAYMENTS",
-              F.format_string("%d payments were missed.", c("Missed_Payments")))
+              say("", fixed(c("Missed_Payments"), 0), " payments were missed."))
         .when(code == "HIGH_LOAN_BURDEN",
-              F.format_string("The loan is %.0f times the monthly income.", times))
+              say("The loan is ", fixed(times, 0), " times the monthly income."))
         .when(code == "MANY_LOANS",
-              F.format_string("There are %d loans already.", c("Existing_Loans")))
+              say("There are ", fixed(c("Existing_Loans"), 0), " loans already."))
         .otherwise(F.lit("No major risk indicator found."))
     )
 

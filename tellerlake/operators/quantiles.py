@@ -116,31 +116,37 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
                    descending: bool = False, slices: int = 64) -> DataFrame:
-    """Add ``<name>_upto``: the total of each of ``sums`` from the first row up to this one.
+    """Add ``<name>_upto``, the total from the first row up to this one, and ``<name>_next``.
 
-    Rows must be unique per ``by`` and ``order``. The range of ``order`` is cut
-    into slices of about equal row counts, each slice is summed by its own task,
-    and slice totals (``slices`` rows per group) carry over to the later ones.
+    Rows must be unique per ``by`` and ``order``; ``_next`` is null on the last
+    row of a group. The range of ``order`` is cut into slices of about equal row
+    counts, each slice is summed by its own task, and what crosses a slice border
+    (``slices`` rows per group) is carried over. ``df`` is read more than once:
+    pass a stored table.
     """
     by = list(by)
     fractions = [i / slices for i in range(1, slices)]
     cuts = df.agg(F.percentile_approx(
         F.col(order).cast("double"), F.array(*[F.lit(f) for f in fractions]), 10_000)).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
+    splits = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
     sliced = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice").transform(
         df.withColumn("_order", F.col(order).cast("double")))
-    direction = F.desc if descending else F.asc
-    total = sliced.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"_all_{s}") for s in sums])
-    before = Window.partitionBy(*by).orderBy(direction("_slice")).rowsBetween(
-        Window.unboundedPreceding, -1)
+    direction, first_by = (F.desc, F.max_by) if descending else (F.asc, F.min_by)
+    total = sliced.groupBy(*by, "_slice").agg(
+        *[F.sum(s).alias(f"_all_{s}") for s in sums],
+        *[first_by(s, "_order").alias(f"_first_{s}") for s in sums])
+    along = Window.partitionBy(*by).orderBy(direction("_slice"))
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     carried = total.select(
         *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_slice").alias("_slice_of"),
         *[F.coalesce(F.sum(f"_all_{s}").over(before), F.lit(0)).alias(f"_before_{s}")
-          for s in sums])
+          for s in sums],
+        *[F.lead(f"_first_{s}").over(along).alias(f"_after_{s}") for s in sums])
     match = [sliced[b].eqNullSafe(carried[f"_by{i}"]) for i, b in enumerate(by)]
     joined = sliced.join(carried, [*match, sliced["_slice"] == carried["_slice_of"]])
-    within = Window.partitionBy(*by, "_slice").orderBy(direction("_order")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*by, "_slice").orderBy(direction("_order"))
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
         *df.columns,
-        *[(F.col(f"_before_{s}") + F.sum(s).over(within)).alias(f"{s}_upto") for s in sums])
+        *[(F.col(f"_before_{s}") + F.sum(s).over(upto)).alias(f"{s}_upto") for s in sums],
+        *[F.coalesce(F.lead(s).over(within), f"_after_{s}").alias(f"{s}_next") for s in sums])

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import buckets, numeric, scores, text
 from ..functions.segments import segment
-from ..operators import (activity, cleaning, dashboard, geography, insights, kpis, lending, portfolio,
-                         risk, segmentation, stats)
-from ..schema import FLAG_COLUMNS, IMPUTED_COLUMNS, KEY, NUMERIC_COLUMNS, ORDINAL, TEXT_COLUMNS
-from ..sources import star, store
+from ..operators import (activity, cleaning, dashboard, evaluation, features, geography, insights,
+                         kpis, lending, portfolio, risk, scoring, segmentation, stats, training)
+from ..schema import (FEATURE_COLUMNS, FLAG_COLUMNS, IMPUTED_COLUMNS, KEY, NUMERIC_COLUMNS, ORDINAL,
+                      TABLE_COLUMNS, TEXT_COLUMNS)
+from ..sources import files, star, store
+from . import models
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -285,5 +288,170 @@ INSIGHTS: dict[str, Query] = {
 }
 
 
+# -- files and tables ----------------------------------------------------------
+
+def _scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "customers-csv")
+    files.write_csv(bank(spark, sf_dir), path)
+    return files.read_customers_csv(spark, path)
+
+
+def _write_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw and clean files as CSV; cleaning starts from the raw file and is read back."""
+    raw_path, path = (store.new_path(spark, n) for n in ("raw-csv", "clean-csv"))
+    files.write_csv(raw_rows(spark, sf_dir), raw_path)
+    files.write_csv(cleaning.clean_customers(files.read_raw_csv(spark, raw_path, ordinal=True)),
+                    path)
+    return files.read_customers_csv(spark, path)
+
+
+def _scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store.build_tables(bank(spark, sf_dir), store.new_path(spark, "bank-tables"))
+    return spark.sql("""
+        SELECT c.Customer_ID, c.State, t.Transaction_Count, l.Loan_Status, r.Risk_Label
+        FROM customers c
+        JOIN transactions t USING (Customer_ID)
+        JOIN loans l USING (Customer_ID)
+        JOIN risk_analysis r USING (Customer_ID)""")
+
+
+def _table(name: str) -> Query:
+    return lambda spark, d: store.split_tables(bank(spark, d))[name]
+
+
+FILES: dict[str, Query] = {
+    "scan_customers_csv": _scan_csv,
+    "write_clean": _write_clean,
+    "scan_tables": _scan_tables,
+    **{f"tbl_{name}": _table(name) for name in TABLE_COLUMNS},
+}
+
+
+# -- model inputs and evaluation -----------------------------------------------
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.encoders(spark, sf_dir).transform(bank(spark, sf_dir))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature vector, taken apart again so that every element has its name."""
+    inputs = features.feature_inputs(_encoded(spark, sf_dir))
+    vectors = features.assembler(inputs.columns).transform(inputs.select(KEY, *FEATURE_COLUMNS))
+    return vectors.select(KEY, vector_to_array("features").alias("v")).select(
+        KEY, *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(FEATURE_COLUMNS)])
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bank(spark, sf_dir).select(KEY, features.target(_c("Risk_Label")).alias("label"))
+
+
+def _train_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = features.stratified_split(_labelled(spark, sf_dir))
+    return features.class_weights(split.where(~_c("is_test")))
+
+
+_SCORES = ["s_low", "s_medium", "s_high"]
+
+
+def _rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels beside a rule-based prediction: evaluation input that needs no model."""
+    chance = scores.default_percent().cast("double")
+    return bank(spark, sf_dir).select(
+        features.target(_c("Risk_Label")).alias("label"), chance.alias("s_high"),
+        (100 - chance).alias("s_low"), (50 - F.abs(chance - 14)).alias("s_medium"),
+        buckets.first_match([(chance >= 25, 2), (chance >= 10, 1)], 0).alias("prediction"))
+
+
+LEARNING: dict[str, Query] = {
+    "encode_categories": lambda spark, d: _encoded(spark, d).select(
+        KEY, "Gender_enc", "Occupation_enc", "Account_Type_enc"),
+    "assemble_features": _features,
+    "encode_target": _labelled,
+    "class_counts": on_bank(features.class_counts),
+    "stratified_split": lambda spark, d: features.stratified_split(_labelled(spark, d)),
+    "class_weights": _train_weights,
+    "eval_auc_ovr_weighted": lambda spark, d: evaluation.auc_weighted(
+        _rule_scored(spark, d), "label", _SCORES),
+    "eval_weighted_f1_precision_recall": lambda spark, d: evaluation.weighted_scores(
+        _rule_scored(spark, d), "label", "prediction"),
+    "eval_confusion_matrix": lambda spark, d: evaluation.confusion_matrix(
+        _rule_scored(spark, d), "label", "prediction"),
+    "eval_roc_curve": lambda spark, d: evaluation.roc_curve(
+        _rule_scored(spark, d), "label", _SCORES),
+    "applicant_inputs": on_bank(scoring.applicant_inputs),
+    "score_explanations": on_bank(scoring.explanations),
+}
+
+
+# -- trained models: checked by row counts only ----------------------------------
+
+def _predictions(kind: str, **params) -> Query:
+    return lambda spark, d: models.tested(spark, d, kind, **params).select(
+        KEY, "label", "prediction", "p_low", "p_medium", "p_high")
+
+
+def _predict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer scored by the stored best model, input stages included."""
+    model, _features_, error = training.load_model(spark, models.saved(spark, sf_dir))
+    if error:
+        raise ValueError(error)
+    return training.predict(model, bank(spark, sf_dir)).select(
+        KEY, "prediction", "p_low", "p_medium", "p_high")
+
+
+def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.comparison(spark, list(models.results(spark, sf_dir).values()))
+
+
+def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.importances(models.fitted(spark, sf_dir, "forest"), spark)
+
+
+def _write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "reports")
+    files.write_report(_importance(spark, sf_dir), f"{path}/feature_importance")
+    return files.read_importance(spark, f"{path}/feature_importance")
+
+
+def _scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "reports")
+    files.write_report(_comparison(spark, sf_dir), f"{path}/model_metrics")
+    return files.read_metrics(spark, f"{path}/model_metrics")
+
+
+def _load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _model, names, error = training.load_model(spark, models.saved(spark, sf_dir))
+    if error:
+        raise ValueError(error)
+    return names
+
+
+def _save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{models.saved(spark, sf_dir)}/features").groupBy("best_name").agg(
+        F.count(F.lit(1)).alias("features"))
+
+
+def _score_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = models.fitted(spark, sf_dir, models.best_kind(spark, sf_dir))
+    return scoring.score_applicants(best, bank(spark, sf_dir))
+
+
+TRAINED: dict[str, Query] = {
+    "train_logistic": _predictions("logistic"),
+    "train_decision_tree": _predictions("tree"),
+    "train_random_forest": _predictions("forest"),
+    "train_boosted_trees": _predictions("boosted", rounds=10),
+    "model_comparison": _comparison,
+    "feature_importance": _importance,
+    "save_risk_model": _save,
+    "load_risk_model": _load,
+    "predict_risk": _predict_all,
+    "score_applicants": _score_applicants,
+    "write_reports": _write_reports,
+    "scan_model_metrics": _scan_metrics,
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**CORPUS, **DERIVED, **CLEANING, **PACKS, **STATISTICS, **PAGES, **INSIGHTS}
+    return {**CORPUS, **DERIVED, **CLEANING, **PACKS, **STATISTICS, **PAGES, **INSIGHTS,
+            **FILES, **LEARNING, **TRAINED}
