@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import age_group, credit_category, missed_bucket
@@ -42,10 +42,9 @@ def filtered_count(df: DataFrame, **filters) -> DataFrame:
 
 def gender_shares(df: DataFrame) -> DataFrame:
     """Counts per gender and their percentage; the total is the sum of the few counts."""
-    row = df.where(_c("Gender").isNotNull()).groupBy("Gender").agg(F.count(F.lit(1)).alias("Count"))
-    total = row.agg(F.sum("Count")).scalar()
-    return row.withColumn("Pct", F.round(_c("Count") * 100.0 / total, 1)).orderBy(
-        F.desc("Count"), "Gender")
+    counts = stats.value_counts(df, "Gender")
+    total = F.sum("Count").over(Window.partitionBy())
+    return counts.withColumn("Pct", F.round(_c("Count") * 100.0 / total, 1))
 
 
 def credit_score_histogram(df: DataFrame, bins: int = 40) -> DataFrame:

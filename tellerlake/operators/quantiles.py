@@ -18,6 +18,7 @@ from ..sources.store import cut
 
 ACCURACY = 20_000  # rank error of the sketch is at most rows / ACCURACY
 TARGETS = 24  # ranks searched by one plan
+SMALL = 1_000  # below this many values a column is counted whole
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -29,8 +30,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     each bracket, values inside), so pass a stored table rather than a long plan.
 
     The bracket of a rank spans six sketch errors to either side, about
-    ``12 / accuracy`` of the rows; the plan fails rather than answer wrongly
-    should a rank lie outside.
+    ``12 / accuracy`` of the rows (2 % where there are fewer than ``accuracy``);
+    the plan fails rather than answer wrongly should a rank lie outside.
     """
     columns, by = list(columns), list(by)
     if len(columns) * len(probs) > TARGETS:  # keep each plan small enough to compile
@@ -38,15 +39,18 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         parts = [exact_quantiles(df, columns[i:i + step], probs, by, accuracy)
                  for i in range(0, len(columns), step)]
         return reduce(DataFrame.unionByName, parts)
-    pad = 6.0 / accuracy
-    ends = [min(max(p + s * pad, 0.0), 1.0) for p in probs for s in (-1, 1)]
+    tight, loose = 6.0 / accuracy, 0.01
+    ends = [min(max(p + s * pad, 0.0), 1.0)
+            for pad in (tight, loose) for p in probs for s in (-1, 1)]
     data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
 
     def bracket(c: str) -> Column:
-        """Low and high end per rank; all values where there are few rows."""
-        whole = F.array_repeat(F.array(F.min(c), F.max(c)), len(probs))
+        """Low and high end per rank; wider, in ranks, where a column has few values."""
         near = F.percentile_approx(c, F.array(*[F.lit(e) for e in ends]), accuracy)
-        return F.when(F.count(c) >= accuracy, near).otherwise(F.flatten(whole))
+        whole = F.flatten(F.array_repeat(F.array(F.min(c), F.max(c)), len(probs)))
+        size = 2 * len(probs)
+        return (F.when(F.count(c) >= accuracy, F.slice(near, 1, size))
+                .when(F.count(c) >= SMALL, F.slice(near, size + 1, size)).otherwise(whole))
 
     sketch = data.groupBy(*by).agg(*[bracket(c).alias(f"_b{i}") for i, c in enumerate(columns)])
     if by:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import share
+from ..functions.text import rupees
 from ..schema import CORRELATED_COLUMNS
 from .quantiles import exact_quantiles
 
@@ -123,19 +125,51 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
     return joined.select("column", *[F.round(n, digits).alias(n) for n in names])
 
 
+def describe_rupees(df: DataFrame, column: str) -> DataFrame:
+    """The figures of :func:`describe` for one column as rows, with rupee text."""
+    row = describe(df, [column], digits=6)
+    names = [c for c in row.columns if c != "column"]
+    return row.select(*names).unpivot([], names, "statistic", "value").withColumn(
+        "text", rupees(F.col("value")))
+
+
+def describe_date(df: DataFrame, column: str) -> DataFrame:
+    """Count, mean, extremes and quartiles of a date column, as text to the second."""
+    seconds = F.unix_date(column).cast("double") * 86400
+    row = describe(df.select(seconds.alias(column)), [column], digits=0)
+    moment = lambda c: F.date_format(
+        F.timestamp_seconds(F.col(c)).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    return row.select("column", F.col("count").cast("bigint").alias("count"),
+                      *[moment(c).alias(c) for c in ("mean", "min", "q25", "q50", "q75", "max")])
+
+
+def pearson(a: str, b: str) -> Column:
+    spread_a = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+    spread_b = F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), spread_a * spread_b)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(CORRELATED_COLUMNS),
-                       digits: int = 9) -> DataFrame:
-    """Pearson correlation of every ordered pair, pairwise complete, from one pass."""
+                       digits: int = 9, step: int = 10) -> DataFrame:
+    """Pearson correlation of every ordered pair (a, b, r), pairwise complete.
+
+    A column without spread has no correlation (null); the built-in ``corr`` would
+    fail on it. ``step`` pairs share a plan, few enough to be compiled.
+    """
     columns = list(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[F.round(F.corr(a, b), digits).alias(f"_{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"),
-                                  F.col(f"_{i}").alias("r")))
-    return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+
+    def part(some: Sequence[tuple[str, str]]) -> DataFrame:
+        names = [f"{a}|{b}" for a, b in some]
+        row = df.agg(*[F.round(pearson(a, b), digits).alias(n) for (a, b), n in zip(some, names)])
+        return row.unpivot([], names, "pair", "r")
+
+    half = reduce(DataFrame.unionByName,
+                  [part(pairs[i:i + step]) for i in range(0, len(pairs), step)])
+    a, b = F.split_part("pair", F.lit("|"), F.lit(1)), F.split_part("pair", F.lit("|"), F.lit(2))
+    both = F.array_distinct(F.array(F.struct(a.alias("a"), b.alias("b")),
+                                    F.struct(b.alias("a"), a.alias("b"))))
+    return half.select(F.explode(both).alias("s"), "r").select("s.*", "r")
 
 
 def select_customers(df: DataFrame, age=None, genders=None, states=None, accounts=None,

@@ -26,6 +26,7 @@ MODEL_NAMES = {
 def pipeline(kind: str, rows_weight: float = 1.0, rounds: int = 200, trees: int = 200) -> Pipeline:
     """Unfitted pipeline of one model kind; ``rows_weight`` is the summed training weight."""
     common = {"featuresCol": "features", "labelCol": "label"}
+    trees_at_once = {"maxMemoryInMB": 1024}  # more tree nodes per pass over the data
     if kind == "logistic":
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
         model = LogisticRegression(
@@ -35,13 +36,14 @@ def pipeline(kind: str, rows_weight: float = 1.0, rounds: int = 200, trees: int
     if kind == "tree":
         return Pipeline(stages=[DecisionTreeClassifier(
             **common, weightCol="weight", maxDepth=8, minInstancesPerNode=20, maxBins=256,
-            seed=SEED)])
+            seed=SEED, **trees_at_once)])
     if kind == "forest":
         return Pipeline(stages=[RandomForestClassifier(
             **common, weightCol="weight", numTrees=trees, maxDepth=10, minInstancesPerNode=10,
-            featureSubsetStrategy="sqrt", maxBins=256, seed=SEED)])
+            featureSubsetStrategy="sqrt", maxBins=256, seed=SEED, **trees_at_once)])
     if kind == "boosted":  # unweighted on purpose
-        one = GBTClassifier(**common, maxIter=rounds, maxDepth=6, stepSize=0.1, seed=SEED)
+        one = GBTClassifier(**common, maxIter=rounds, maxDepth=6, stepSize=0.1, seed=SEED,
+                            **trees_at_once)
         return Pipeline(stages=[OneVsRest(classifier=one, **common)])
     raise ValueError(f"unknown model kind {kind!r}")
 

@@ -268,7 +268,8 @@ PAGES: dict[str, Query] = {
     "eda_credit_counts": on_bank(dashboard.credit_counts),
     "eda_credit_risk_crosstab": on_bank(dashboard.credit_risk_wide),
     "eda_describe": on_bank(stats.describe),
-    "eda_income_describe": on_bank(stats.describe, ["Monthly_Income"]),
+    "eda_income_describe": on_bank(stats.describe_rupees, "Monthly_Income"),
+    "eda_date_describe": on_bank(stats.describe_date, "Last_Transaction_Date"),
     "eda_correlation": on_bank(stats.correlation_matrix),
 }
 

@@ -13,7 +13,8 @@ _kept: dict[tuple, object] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make):
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"),
+           store.source_state(spark, sf_dir), name)
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]

@@ -204,7 +204,18 @@ def statements() -> dict[str, str]:
             ORDER BY Customer_ID LIMIT 20""",
         "risk_dti_quartiles": five("Risk_Label", "Debt_to_Income_Ratio"),
         "eda_describe": describe(NUMERIC),
-        "eda_income_describe": describe(["Monthly_Income"]),
+        "eda_income_describe": "SELECT statistic, v AS value, '₹' || format('{:,}', CAST(round_even(v, 0) AS BIGINT)) AS text FROM ("
+            + "\nUNION ALL ".join(f"SELECT '{n}' AS statistic, {rnd(e, 6)} AS v FROM bank" for n, e in [
+                ("count", "count(Monthly_Income)"), ("mean", "avg(Monthly_Income)"),
+                ("std", "stddev_samp(Monthly_Income)"), ("min", "min(Monthly_Income)"),
+                ("q25", "quantile_cont(Monthly_Income, 0.25)"), ("q50", "quantile_cont(Monthly_Income, 0.5)"),
+                ("q75", "quantile_cont(Monthly_Income, 0.75)"), ("max", "max(Monthly_Income)")]) + ")",
+        "eda_date_describe": "SELECT 'Last_Transaction_Date' AS \"column\", n AS count, " + ", ".join(
+            f"strftime(make_timestamp(CAST({rnd(c, 0)} AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS {c}"
+            for c in ("mean", "min", "q25", "q50", "q75", "max")) + """ FROM (SELECT count(x) AS n, avg(x) AS mean,
+            min(x) AS min, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50,
+            quantile_cont(x, 0.75) AS q75, max(x) AS max FROM (
+            SELECT date_diff('day', DATE '1970-01-01', Last_Transaction_Date) * 86400.0::DOUBLE AS x FROM bank))""",
         "eda_correlation": correlation(CORRELATED_COLUMNS),
     }
     page = {

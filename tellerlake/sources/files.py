@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,14 @@ def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("Last_Transaction_Date", parse_date(F.col("Last_Transaction_Date")))
 
 
+def load_customers(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | None]:
+    """(customers, None), or (None, reason) when there is no readable file at ``path``."""
+    try:
+        return read_customers_csv(spark, path), None
+    except AnalysisException as ex:
+        return None, f"customers not found at {path}: {ex.getCondition()}"
+
+
 def read_raw_csv(spark: SparkSession, path: str, ordinal: bool = False) -> DataFrame:
     """Raw customer CSV, all text, with the ``_seq`` file order.
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..schema import KEY, TABLE_COLUMNS, require
 
 _scratch: dict[str, str] = {}
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple, str] = {}
+_SOURCES = ("customer", "nation", "orders", "lineitem")
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -46,34 +47,66 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Bucket count: ``spark.tellerlake.buckets``, else the shuffle partition count."""
-    return int(spark.conf.get("spark.tellerlake.buckets",
-                              spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(spark: SparkSession, source_bytes: int) -> int:
+    """Bucket count: ``spark.tellerlake.buckets`` if set, else by the size of the sources.
+
+    One bucket per 4 GB of source rows keeps a bucket of the far smaller customer
+    table near 100 MB; small inputs still get a bucket per core, if worth a task.
+    """
+    fixed = spark.conf.get("spark.tellerlake.buckets", None)
+    if fixed:
+        return int(fixed)
+    tasks = min(spark.sparkContext.defaultParallelism, 1 + source_bytes // 4_000_000)
+    return max(tasks, 1 + source_bytes // 4_000_000_000)
 
 
-def store_customers(df: DataFrame, table: str, path: str) -> DataFrame:
-    """Write a customer table bucketed and sorted by customer, one file per bucket."""
+def store_customers(df: DataFrame, table: str, path: str, n: int) -> DataFrame:
+    """Write a customer table in ``n`` buckets by customer, sorted, one file per bucket."""
     require(df, [KEY])
-    n = buckets(df.sparkSession)
     (df.repartition(n, KEY).write.mode("overwrite").format("parquet")
      .bucketBy(n, KEY).sortBy(KEY).option("path", path).saveAsTable(table))
     return df.sparkSession.table(table)
 
 
-def customers_of(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
-    """The stored customer table of one star schema, built on first use in a session."""
+def source_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Size and age of the source files: a stored table is only good for the same state."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for name in _SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files = path.getFileSystem(conf).listStatus(path)
+        state.append((len(files), sum(f.getLen() for f in files),
+                      max((f.getModificationTime() for f in files), default=0)))
+    return tuple(state)
+
+
+def customers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer table of one star schema: built on first use, and again when it changed."""
     from .star import customer_table
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if refresh or key not in _stored:
-        tag = hashlib.md5("|".join(key).encode()).hexdigest()[:10] + uuid.uuid4().hex[:6]
+    app = spark.sparkContext.applicationId
+    state = source_state(spark, sf_dir)
+    key = (app, sf_dir.rstrip("/"), state)
+    if key not in _stored:
+        tag = hashlib.md5(f"{app}|{sf_dir}".encode()).hexdigest()[:10] + uuid.uuid4().hex[:6]
         table = f"tellerlake_customers_{tag}"
-        store_customers(customer_table(spark, sf_dir), table, f"{work_dir(spark)}/{table}")
+        size = sum(length for _count, length, _time in state)
+        store_customers(customer_table(spark, sf_dir), table, f"{work_dir(spark)}/{table}",
+                        buckets(spark, size))
         _stored[key] = table
     return spark.table(_stored[key])
 
 
+def release(spark: SparkSession) -> None:
+    """Drop every stored table of this application and delete its own work folder."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _stored if k[0] == app]:
+        spark.sql(f"DROP TABLE IF EXISTS {_stored.pop(key)}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def split_tables(df: DataFrame) -> dict[str, DataFrame]:
     """The four relational tables as projections of a customer table.
 
