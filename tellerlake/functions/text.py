@@ -9,25 +9,25 @@ _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _BLANKS = " \t\n\r\x0b\x0c"
 
 
-def title_case(col: Column) -> Column:
+def title_case(name: str) -> Column:
     """Upper-case the first letter of every run of letters, lower-case the rest.
 
     ``initcap`` only splits on blanks; here ``self-employed`` becomes ``Self-Employed``.
     A null stays null.
     """
-    runs = F.regexp_extract_all(
-        F.lower(F.btrim(col, F.lit(_BLANKS))), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)
-    )
-    return F.array_join(F.transform(runs, F.initcap), "")
+    return F.expr(
+        f"array_join(transform(regexp_extract_all(lower(btrim(`{name}`, '{_BLANKS}')), "
+        r"r'(\p{L}+|\P{L}+)', 1), run -> initcap(run)), '')")
 
 
-def parse_number(col: Column) -> Column:
-    """Text to double; anything that is not a plain decimal number becomes null."""
-    return F.when(col.rlike(_NUMBER), F.btrim(col, F.lit(_BLANKS)).try_cast("double"))
+def parse_number(name: str) -> Column:
+    """Text column to double; anything that is not a plain decimal number becomes null."""
+    return F.expr(f"if(`{name}` RLIKE r'{_NUMBER}', "
+                  f"try_cast(btrim(`{name}`, '{_BLANKS}') AS DOUBLE), NULL)")
 
 
-def parse_date(col: Column) -> Column:
-    return col.try_cast("date")
+def parse_date(name: str) -> Column:
+    return F.expr(f"try_cast(`{name}` AS DATE)")
 
 
 def fixed(col: Column, digits: int, grouped: bool = False) -> Column:

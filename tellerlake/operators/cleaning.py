@@ -33,17 +33,17 @@ def drop_repeats(df: DataFrame, key: str = KEY, order: str = ORDINAL) -> DataFra
 
 
 def coerce_numbers(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: parse_number(F.col(c)) for c in NUMERIC_COLUMNS})
+    return df.withColumns({c: parse_number(c) for c in NUMERIC_COLUMNS})
 
 
 def coerce_flags(df: DataFrame) -> DataFrame:
     """0/1 columns as whole numbers; unreadable or missing means 0."""
     return df.withColumns({
-        c: F.coalesce(parse_number(F.col(c)), F.lit(0.0)).cast("int") for c in FLAG_COLUMNS})
+        c: F.coalesce(parse_number(c), F.lit(0.0)).cast("int") for c in FLAG_COLUMNS})
 
 
 def parse_dates(df: DataFrame) -> DataFrame:
-    return df.withColumn("Last_Transaction_Date", parse_date(F.col("Last_Transaction_Date")))
+    return df.withColumn("Last_Transaction_Date", parse_date("Last_Transaction_Date"))
 
 
 def impute_medians(df: DataFrame, columns=tuple(IMPUTED_COLUMNS)) -> DataFrame:
@@ -67,7 +67,7 @@ def fill_zero(df: DataFrame) -> DataFrame:
 def tidy_text(df: DataFrame) -> DataFrame:
     """Trim and title-case; a missing category becomes the text ``Nan``."""
     return df.withColumns({
-        c: F.coalesce(title_case(F.col(c)), F.lit("Nan")) for c in TEXT_COLUMNS})
+        c: F.coalesce(title_case(c), F.lit("Nan")) for c in TEXT_COLUMNS})
 
 
 def add_recency(df: DataFrame, as_of: str = AS_OF, fallback: str = FALLBACK_DATE) -> DataFrame:

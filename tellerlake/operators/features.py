@@ -38,16 +38,16 @@ def applicant_encoders() -> StringIndexerModel:
 
 
 def tidy_categories(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: title_case(F.col(c)) for c in ENCODED_COLUMNS})
+    return df.withColumns({c: title_case(c) for c in ENCODED_COLUMNS})
 
 
 def feature_inputs(df: DataFrame) -> DataFrame:
     """The model input columns as doubles without gaps; a missing recency counts as 0."""
     if "Days_Since_Transaction" not in df.columns:
         df = df.withColumn("Days_Since_Transaction", F.lit(0))
-    return df.withColumns({
-        c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0))
-        for c in FEATURE_COLUMNS if c in df.columns})
+    known = set(df.columns)
+    return df.withColumns({c: F.expr(f"coalesce(nanvl(CAST({c} AS DOUBLE), NULL), 0D)")
+                           for c in FEATURE_COLUMNS if c in known})
 
 
 def assembler(columns: Sequence[str]) -> VectorAssembler:

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut
@@ -40,19 +41,20 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                  for i in range(0, len(columns), step)]
         return reduce(DataFrame.unionByName, parts)
     tight, loose = 6.0 / accuracy, 0.01
-    ends = [min(max(p + s * pad, 0.0), 1.0)
-            for pad in (tight, loose) for p in probs for s in (-1, 1)]
-    data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-
-    def bracket(c: str) -> Column:
-        """Low and high end per rank; wider, in ranks, where a column has few values."""
-        near = F.percentile_approx(c, F.array(*[F.lit(e) for e in ends]), accuracy)
-        whole = F.flatten(F.array_repeat(F.array(F.min(c), F.max(c)), len(probs)))
-        size = 2 * len(probs)
-        return (F.when(F.count(c) >= accuracy, F.slice(near, 1, size))
-                .when(F.count(c) >= SMALL, F.slice(near, size + 1, size)).otherwise(whole))
-
-    sketch = data.groupBy(*by).agg(*[bracket(c).alias(f"_b{i}") for i, c in enumerate(columns)])
+    ends = ", ".join(str(min(max(p + s * pad, 0.0), 1.0)) + "D"
+                     for pad in (tight, loose) for p in probs for s in (-1, 1))
+    size = 2 * len(probs)
+    xs = [f"_x{i}" for i in range(len(columns))]
+    data = df.select(*by, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
+
+    # Low and high end per rank; wider, in ranks, where a column has few values.
+    sketch = data.groupBy(*by).agg(*[F.expr(f"""
+        CASE WHEN count({x}) >= {accuracy}
+               THEN slice(percentile_approx({x}, array({ends}), {accuracy}), 1, {size})
+             WHEN count({x}) >= {SMALL}
+               THEN slice(percentile_approx({x}, array({ends}), {accuracy}), {size + 1}, {size})
+             ELSE flatten(array_repeat(array(min({x}), max({x})), {len(probs)})) END AS _b{i}""")
+        for i, x in enumerate(xs)])
     if by:
         # Stored, so that its true size decides between broadcast and shuffle join.
         same = [data[b].eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
@@ -61,34 +63,22 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         data = data.join(keyed, same, "left")
     else:
         row = sketch.first()  # a single row, whatever the size of df
-        data = data.withColumns({
-            f"_b{i}": F.array(*[F.lit(v).cast("double") for v in row[i]])
-            for i in range(len(columns))
-        })
-
-    targets = [(i, j) for i in range(len(columns)) for j in range(len(probs))]
-    low = lambda i, j: F.get(f"_b{i}", F.lit(2 * j))
-    high = lambda i, j: F.get(f"_b{i}", F.lit(2 * j + 1))
-    val = lambda i: F.col(columns[i])
-
-    below = data.groupBy(*by).agg(*[
-        F.struct(
-            F.lit(t).alias("_t"), F.lit(columns[i]).alias("column"),
-            F.lit(float(probs[j])).alias("prob"), F.count(val(i)).alias("_n"),
-            F.count_if(val(i) < low(i, j)).alias("_below"),
-        ).alias(f"_s{t}") for t, (i, j) in enumerate(targets)
-    ])
+        data = data.withColumns({f"_b{i}": F.lit(row[i]).cast("array<double>")
+                                 for i in range(len(xs))})
+
+    targets = [(t, xs[i], f"_b{i}[{2 * j}]", f"_b{i}[{2 * j + 1}]", columns[i], float(probs[j]))
+               for t, (i, j) in enumerate(product(range(len(xs)), range(len(probs))))]
+    below = data.groupBy(*by).agg(*[F.expr(
+        f"struct({t} AS _t, {name!r} AS column, {p}D AS prob, count({x}) AS _n, "
+        f"count_if({x} < {lo}) AS _below) AS _s{t}") for t, x, lo, _hi, name, p in targets])
     below = below.select(
-        *by, F.explode(F.array(*[f"_s{t}" for t in range(len(targets))])).alias("_s")
+        *by, F.explode(F.array(*[f"_s{t[0]}" for t in targets])).alias("_s")
     ).select(*by, "_s.*")
 
-    inside = F.array_compact(F.array(*[
-        F.when(val(i).between(low(i, j), high(i, j)),
-               F.struct(F.lit(t).alias("_t"), val(i).alias("_v")))
-        for t, (i, j) in enumerate(targets)
-    ]))
-    values = (data.select(*by, F.explode(inside).alias("_e")).select(*by, "_e.*")
-              .groupBy(*by, "_t", "_v").agg(F.count(F.lit(1)).alias("_m")))
+    inside = ", ".join(f"if({x} BETWEEN {lo} AND {hi}, struct({t} AS _t, {x} AS _v), NULL)"
+                       for t, x, lo, hi, _name, _p in targets)
+    values = (data.select(*by, F.expr(f"explode(array_compact(array({inside}))) AS _e"))
+              .select(*by, "_e.*").groupBy(*by, "_t", "_v").agg(F.count(F.lit(1)).alias("_m")))
     v = values.withColumnsRenamed({**{b: f"_by{i}" for i, b in enumerate(by)}, "_t": "_tv"})
     match = [below[b].eqNullSafe(v[f"_by{i}"]) for i, b in enumerate(by)]
     joined = below.join(v, [*match, below["_t"] == v["_tv"]], "left")

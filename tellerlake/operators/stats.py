@@ -143,10 +143,11 @@ def describe_date(df: DataFrame, column: str) -> DataFrame:
                       *[moment(c).alias(c) for c in ("mean", "min", "q25", "q50", "q75", "max")])
 
 
-def pearson(a: str, b: str) -> Column:
-    spread_a = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
-    spread_b = F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))
-    return F.try_divide(F.covar_pop(a, b), spread_a * spread_b)
+def pearson(a: str, b: str, digits: int) -> Column:
+    """Correlation over the rows where both are known; null where either has no spread."""
+    return F.expr(
+        f"round(try_divide(covar_pop({a}, {b}), stddev_pop(if({b} IS NOT NULL, {a}, NULL))"
+        f" * stddev_pop(if({a} IS NOT NULL, {b}, NULL))), {digits}) AS `{a}|{b}`")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(CORRELATED_COLUMNS),
@@ -161,7 +162,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(CORRELATED_
 
     def part(some: Sequence[tuple[str, str]]) -> DataFrame:
         names = [f"{a}|{b}" for a, b in some]
-        row = df.agg(*[F.round(pearson(a, b), digits).alias(n) for (a, b), n in zip(some, names)])
+        row = df.agg(*[pearson(a, b, digits) for a, b in some])
         return row.unpivot([], names, "pair", "r")
 
     half = reduce(DataFrame.unionByName,

@@ -24,7 +24,7 @@ def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
         for f in CLEAN_SCHEMA
     ])
     df = spark.read.schema(as_text).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return df.withColumn("Last_Transaction_Date", parse_date(F.col("Last_Transaction_Date")))
+    return df.withColumn("Last_Transaction_Date", parse_date("Last_Transaction_Date"))
 
 
 def load_customers(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | None]:

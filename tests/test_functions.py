@@ -10,7 +10,8 @@ from tellerlake.functions.segments import segment
 
 def values(spark, kind, rows, expr):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], f"i int, v {kind}")
-    return [r[0] for r in df.select("i", expr(F.col("v")).alias("x")).orderBy("i").select("x").collect()]
+    made = expr("v" if expr in (text.title_case, text.parse_number, text.parse_date) else F.col("v"))
+    return [r[0] for r in df.select("i", made.alias("x")).orderBy("i").select("x").collect()]
 
 
 def test_title_case(spark):
