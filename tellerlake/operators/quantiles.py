@@ -8,8 +8,6 @@ the brackets are counted, ordered and searched.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import product
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -18,7 +16,6 @@ from pyspark.sql import functions as F
 from ..sources.store import cut
 
 ACCURACY = 20_000  # rank error of the sketch is at most rows / ACCURACY
-TARGETS = 24  # ranks searched by one plan
 SMALL = 1_000  # below this many values a column is counted whole
 
 
@@ -27,79 +24,71 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Interpolated quantiles: one row per group, column and probability.
 
     Returns ``by..., column, prob, value``; nulls are left out and a column
-    without values gets a null. ``df`` is read three times (sketch, rows below
+    without values gets a null. Columns become rows first, so one small plan
+    serves any number of them. ``df`` is read three times (sketch, rows below
     each bracket, values inside), so pass a stored table rather than a long plan.
 
     The bracket of a rank spans six sketch errors to either side, about
     ``12 / accuracy`` of the rows (2 % where there are fewer than ``accuracy``);
     the plan fails rather than answer wrongly should a rank lie outside.
     """
-    columns, by = list(columns), list(by)
-    if len(columns) * len(probs) > TARGETS:  # keep each plan small enough to compile
-        step = max(1, TARGETS // len(probs))
-        parts = [exact_quantiles(df, columns[i:i + step], probs, by, accuracy)
-                 for i in range(0, len(columns), step)]
-        return reduce(DataFrame.unionByName, parts)
-    tight, loose = 6.0 / accuracy, 0.01
+    by, groups = list(by), [f"_g{i}" for i in range(len(by))]
+    ranks = range(len(probs))
     ends = ", ".join(str(min(max(p + s * pad, 0.0), 1.0)) + "D"
-                     for pad in (tight, loose) for p in probs for s in (-1, 1))
+                     for pad in (6.0 / accuracy, 0.01) for p in probs for s in (-1, 1))
     size = 2 * len(probs)
-    xs = [f"_x{i}" for i in range(len(columns))]
-    data = df.select(*by, *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs)])
+    data = df.select(
+        *[F.col(b).alias(g) for b, g in zip(by, groups)],
+        *[F.col(c).cast("double").alias(c) for c in columns],
+    ).unpivot(groups, list(columns), "_c", "_v")
 
     # Low and high end per rank; wider, in ranks, where a column has few values.
-    sketch = data.groupBy(*by).agg(*[F.expr(f"""
-        CASE WHEN count({x}) >= {accuracy}
-               THEN slice(percentile_approx({x}, array({ends}), {accuracy}), 1, {size})
-             WHEN count({x}) >= {SMALL}
-               THEN slice(percentile_approx({x}, array({ends}), {accuracy}), {size + 1}, {size})
-             ELSE flatten(array_repeat(array(min({x}), max({x})), {len(probs)})) END AS _b{i}""")
-        for i, x in enumerate(xs)])
-    if by:
-        # Stored, so that its true size decides between broadcast and shuffle join.
-        same = [data[b].eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
-        keyed = cut(sketch.withColumnsRenamed({b: f"_by{i}" for i, b in enumerate(by)}),
-                    "quantile-brackets")
-        data = data.join(keyed, same, "left")
-    else:
-        row = sketch.first()  # a single row, whatever the size of df
-        data = data.withColumns({f"_b{i}": F.lit(row[i]).cast("array<double>")
-                                 for i in range(len(xs))})
-
-    targets = [(t, xs[i], f"_b{i}[{2 * j}]", f"_b{i}[{2 * j + 1}]", columns[i], float(probs[j]))
-               for t, (i, j) in enumerate(product(range(len(xs)), range(len(probs))))]
-    below = data.groupBy(*by).agg(*[F.expr(
-        f"struct({t} AS _t, {name!r} AS column, {p}D AS prob, count({x}) AS _n, "
-        f"count_if({x} < {lo}) AS _below) AS _s{t}") for t, x, lo, _hi, name, p in targets])
-    below = below.select(
-        *by, F.explode(F.array(*[f"_s{t[0]}" for t in targets])).alias("_s")
-    ).select(*by, "_s.*")
-
-    inside = ", ".join(f"if({x} BETWEEN {lo} AND {hi}, struct({t} AS _t, {x} AS _v), NULL)"
-                       for t, x, lo, hi, _name, _p in targets)
-    values = (data.select(*by, F.expr(f"explode(array_compact(array({inside}))) AS _e"))
-              .select(*by, "_e.*").groupBy(*by, "_t", "_v").agg(F.count(F.lit(1)).alias("_m")))
-    v = values.withColumnsRenamed({**{b: f"_by{i}" for i, b in enumerate(by)}, "_t": "_tv"})
-    match = [below[b].eqNullSafe(v[f"_by{i}"]) for i, b in enumerate(by)]
-    joined = below.join(v, [*match, below["_t"] == v["_tv"]], "left")
-
-    upto = Window.partitionBy(*by, "_t").orderBy("_v").rowsBetween(
+    sketch = data.groupBy(*groups, "_c").agg(F.expr(f"""
+        CASE WHEN count(_v) >= {accuracy}
+               THEN slice(percentile_approx(_v, array({ends}), {accuracy}), 1, {size})
+             WHEN count(_v) >= {SMALL}
+               THEN slice(percentile_approx(_v, array({ends}), {accuracy}), {size + 1}, {size})
+             ELSE flatten(array_repeat(array(min(_v), max(_v)), {len(probs)})) END AS _b"""))
+    # Stored, so that its true size decides between broadcast and shuffle join.
+    brackets = cut(sketch, "quantile-brackets")
+    data = _same_group(data, brackets, groups, "_c")
+
+    below = data.groupBy(*groups, "_c").agg(
+        F.expr("count(_v) AS _n"),
+        F.expr("array(" + ", ".join(f"count_if(_v < _b[{2 * j}])" for j in ranks) + ") AS _under"))
+    inside = " OR ".join(f"_v BETWEEN _b[{2 * j}] AND _b[{2 * j + 1}]" for j in ranks)
+    values = data.where(inside).groupBy(*groups, "_c", "_v").agg(F.expr("count(1) AS _m"))
+
+    hits = ", ".join(f"if(_v BETWEEN _b[{2 * j}] AND _b[{2 * j + 1}], {j}, NULL)" for j in ranks)
+    values = _same_group(values, brackets, groups, "_c").select(
+        *groups, "_c", "_v", "_m", F.expr(f"explode(array_compact(array({hits}))) AS _t"))
+    wanted = below.select(*groups, "_c", "_n", F.expr("posexplode(_under) AS (_t, _below)"))
+    probabilities = ", ".join(f"{float(p)}D" for p in probs)
+    wanted = wanted.withColumn("prob", F.expr(f"array({probabilities})[_t]"))
+
+    upto = Window.partitionBy(*groups, "_c", "_t").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    pos = (F.col("_n") - 1) * F.col("prob")
-    ranked = joined.withColumns({
-        "_cum": F.col("_below") + F.sum("_m").over(upto),
-        "_pos": pos, "_r0": F.floor(pos), "_r1": F.ceil(pos),
-    })
-    found = ranked.groupBy(*by, "column", "prob", "_n", "_pos", "_r0", "_r1", "_below").agg(
-        F.min(F.when(F.col("_cum") > F.col("_r0"), F.col("_v"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") > F.col("_r1"), F.col("_v"))).alias("_v1"),
-    )
-    missed = (F.col("_n") > 0) & ((F.col("_below") > F.col("_r0")) | F.col("_v1").isNull())
-    value = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_r0"))
+    ranked = _same_group(wanted, values, groups, "_c", "_t").withColumn(
+        "_cum", F.col("_below") + F.sum("_m").over(upto)).withColumn(
+        "_pos", F.expr("(_n - 1) * prob"))
+    found = ranked.groupBy(*groups, "_c", "_t", "prob", "_n", "_pos", "_below").agg(
+        F.expr("min(if(_cum > floor(_pos), _v, NULL)) AS _v0"),
+        F.expr("min(if(_cum > ceil(_pos), _v, NULL)) AS _v1"))
     return found.select(
-        *by, "column", "prob",
-        F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-        .otherwise(value).alias("value"))
+        *[F.col(g).alias(b) for b, g in zip(by, groups)], F.col("_c").alias("column"), "prob",
+        F.expr("""CASE WHEN _n > 0 AND (_below > floor(_pos) OR _v1 IS NULL)
+                       THEN CAST(raise_error('quantile outside its bracket') AS DOUBLE)
+                       ELSE _v0 + (_v1 - _v0) * (_pos - floor(_pos)) END AS value"""))
+
+
+def _same_group(left: DataFrame, right: DataFrame, groups: Sequence[str],
+                *keys: str) -> DataFrame:
+    """Left join on group columns, nulls being equal, and on plain keys."""
+    names = {k: f"_r{k}" for k in (*groups, *keys)}
+    other = right.withColumnsRenamed(names)
+    match = [left[g].eqNullSafe(other[names[g]]) for g in groups]
+    match += [left[k] == other[names[k]] for k in keys]
+    return left.join(other, match, "left").drop(*names.values())
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

@@ -111,16 +111,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
     numeric = ("bigint", "int", "double", "float", "smallint", "tinyint")
     columns = list(columns) if columns else [c for c, t in df.dtypes if t in numeric]
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "_column", "value")
-    basics = long.groupBy(F.col("_column").alias("column")).agg(
+        [], columns, "column", "value")
+    basics = long.groupBy("column").agg(
         F.count("value").cast("double").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
-    quartiles = (exact_quantiles(long, ["value"], [0.25, 0.5, 0.75], by=["_column"])
-                 .groupBy("_column")
+    quartiles = (exact_quantiles(df, columns, [0.25, 0.5, 0.75]).groupBy("column")
                  .agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75")))
-    joined = basics.join(quartiles, F.col("column") == F.col("_column"))
+    joined = basics.join(quartiles, "column")
     names = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     return joined.select("column", *[F.round(n, digits).alias(n) for n in names])
 

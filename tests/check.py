@@ -17,7 +17,7 @@ import __spark_entry__ as e  # noqa: E402
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     only = sys.argv[2:]
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     spark, con = local_session(), connect(sf_dir)
     queries, oracle = e.queries(), e.oracle_sql()
     bad = 0
