@@ -18,13 +18,16 @@ IMPORTANCE_SCHEMA = struct("feature string, importance double")
 
 
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Clean customer CSV with header; a date that does not parse becomes null."""
+    """Clean customer CSV with header; a date that does not parse and a NaN become null."""
     as_text = T.StructType([
         T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType)
         for f in CLEAN_SCHEMA
     ])
     df = spark.read.schema(as_text).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return df.withColumn("Last_Transaction_Date", parse_date("Last_Transaction_Date"))
+    doubles = [f.name for f in CLEAN_SCHEMA if isinstance(f.dataType, T.DoubleType)]
+    return df.withColumns({
+        "Last_Transaction_Date": parse_date("Last_Transaction_Date"),
+        **{c: F.expr(f"nanvl({c}, NULL)") for c in doubles}})
 
 
 def load_customers(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | None]:

@@ -86,3 +86,32 @@ def test_applicants(spark, bank):
 def test_first_best_model_is_marked(spark):
     rows = [("A", 0.9, 0.5, 0.5, 0.5), ("B", 0.95, 0.5, 0.5, 0.5), ("C", 0.95, 0.6, 0.6, 0.6)]
     assert [r.Best for r in evaluation.comparison(spark, rows).collect()] == ["", "✓", ""]
+
+
+def test_batch_run(spark, bank, tmp_path):
+    from tellerlake.plans.build import build_all
+    from tellerlake.sources import files, star, store
+
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    files.write_csv(star.with_defects(bank).drop("_seq").coalesce(1), raw)
+    report = build_all(files.read_raw_csv(spark, raw), out, kinds=("tree", "forest"),
+                       params={"forest": {"trees": 5}})
+    assert [r.Model for r in report.collect()] == ["Decision Tree", "Random Forest"]
+    assert files.read_metrics(spark, f"{out}/models/model_metrics").count() == 2
+    assert files.read_importance(spark, f"{out}/reports/feature_importance").count() == 29
+    clean, error = files.load_customers(spark, f"{out}/processed/customers_clean")
+    assert error is None
+    assert store.open_tables(spark, f"{out}/database")["loans"].count() == clean.count() > 100
+    model, _names, error = training.load_model(spark, f"{out}/models/risk_model")
+    assert error is None and training.predict(model, clean).count() == clean.count()
+    assert spark.read.parquet(f"{out}/reports/roc_curve").where("threshold = 'Infinity'").count() == 3
+
+
+def test_csv_gaps_become_null(spark, bank, tmp_path):
+    from tellerlake.sources import files
+
+    path = str(tmp_path / "gaps")
+    gaps = bank.limit(3).withColumns({"Age": F.lit("NaN"), "Last_Transaction_Date": F.lit("soon")})
+    files.write_csv(gaps, path)
+    rows = files.read_customers_csv(spark, path).collect()
+    assert len(rows) == 3 and all(r.Age is None and r.Last_Transaction_Date is None for r in rows)
