@@ -9,32 +9,23 @@ from ..operators import evaluation, features, training
 from ..sources import store
 
 DEFAULT_KINDS = ("logistic", "tree", "forest")
-_kept: dict[tuple, object] = {}
-
-
-def _once(spark: SparkSession, sf_dir: str, name: str, make):
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"),
-           store.source_state(spark, sf_dir), name)
-    if key not in _kept:
-        _kept[key] = make()
-    return _kept[key]
 
 
 def encoders(spark: SparkSession, sf_dir: str):
     """Category codes over the whole table, before any split."""
-    return _once(spark, sf_dir, "encoders",
-                 lambda: features.fit_encoders(store.customers_of(spark, sf_dir)))
+    return store.once(spark, sf_dir, "encoders",
+                      lambda: features.fit_encoders(store.customers_of(spark, sf_dir)))
 
 
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "table", lambda: store.cut(
+    return store.once(spark, sf_dir, "table", lambda: store.cut(
         features.model_table(store.customers_of(spark, sf_dir), encoders(spark, sf_dir)),
         "model-table"))
 
 
 def fitted(spark: SparkSession, sf_dir: str, kind: str, **params) -> PipelineModel:
-    return _once(spark, sf_dir, f"{kind}{params}",
-                 lambda: training.train(table(spark, sf_dir), kind, **params))
+    return store.once(spark, sf_dir, f"{kind}{params}",
+                      lambda: training.train(table(spark, sf_dir), kind, **params))
 
 
 def tested(spark: SparkSession, sf_dir: str, kind: str, **params) -> DataFrame:
@@ -47,7 +38,7 @@ def results(spark: SparkSession, sf_dir: str) -> dict[str, tuple]:
     def run():
         return {k: evaluation.evaluate(tested(spark, sf_dir, k), training.MODEL_NAMES[k])
                 for k in DEFAULT_KINDS}
-    return _once(spark, sf_dir, "results", run)
+    return store.once(spark, sf_dir, "results", run)
 
 
 def best_kind(spark: SparkSession, sf_dir: str) -> str:
@@ -62,4 +53,4 @@ def saved(spark: SparkSession, sf_dir: str) -> str:
         head = features.input_stages(store.customers_of(spark, sf_dir), encoders(spark, sf_dir))
         training.save_model(fitted(spark, sf_dir, kind), head, training.MODEL_NAMES[kind], path)
         return path
-    return _once(spark, sf_dir, "saved", save)
+    return store.once(spark, sf_dir, "saved", save)

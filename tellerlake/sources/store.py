@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..schema import KEY, TABLE_COLUMNS, require
 
 _scratch: dict[str, str] = {}
-_stored: dict[tuple, str] = {}
+_kept: dict[tuple, object] = {}
+_PREFIX = "tellerlake_customers_"
 _SOURCES = ("customer", "nation", "orders", "lineitem")
 
 
@@ -81,28 +82,37 @@ def source_state(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(state)
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, make):
+    """``make()``, remembered for this application and the present state of the sources."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), source_state(spark, sf_dir), name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def customers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer table of one star schema: built on first use, and again when it changed."""
     from .star import customer_table
 
-    app = spark.sparkContext.applicationId
-    state = source_state(spark, sf_dir)
-    key = (app, sf_dir.rstrip("/"), state)
-    if key not in _stored:
+    def build() -> str:
+        app = spark.sparkContext.applicationId
         tag = hashlib.md5(f"{app}|{sf_dir}".encode()).hexdigest()[:10] + uuid.uuid4().hex[:6]
-        table = f"tellerlake_customers_{tag}"
-        size = sum(length for _count, length, _time in state)
+        table = f"{_PREFIX}{tag}"
+        size = sum(length for _count, length, _time in source_state(spark, sf_dir))
         store_customers(customer_table(spark, sf_dir), table, f"{work_dir(spark)}/{table}",
                         buckets(spark, size))
-        _stored[key] = table
-    return spark.table(_stored[key])
+        return table
+
+    return spark.table(once(spark, sf_dir, "customers", build))
 
 
 def release(spark: SparkSession) -> None:
-    """Drop every stored table of this application and delete its own work folder."""
+    """Forget and drop all that this application stored, and delete its own work folder."""
     app = spark.sparkContext.applicationId
-    for key in [k for k in _stored if k[0] == app]:
-        spark.sql(f"DROP TABLE IF EXISTS {_stored.pop(key)}")
+    for key in [k for k in _kept if k[0] == app]:
+        kept = _kept.pop(key)
+        if isinstance(kept, str) and kept.startswith(_PREFIX):
+            spark.sql(f"DROP TABLE IF EXISTS {kept}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

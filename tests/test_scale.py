@@ -136,3 +136,11 @@ def test_missing_file_is_reported(spark, bank, tmp_path):
     files.write_csv(bank, str(tmp_path / "some"))
     df, error = files.load_customers(spark, str(tmp_path / "some"))
     assert error is None and df.exceptAll(bank).count() == 0
+
+
+def test_memo_is_per_source(spark, bank):
+    made = []
+    for _ in range(2):
+        assert store.once(spark, SMALL, "probe", lambda: made.append(1) or "kept") == "kept"
+    assert store.once(spark, "/root/testdata/sf0.01", "probe", lambda: "other") == "other"
+    assert made == [1]
