@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash
+from . import decontaminate, hilbert, html_text, minhash, quality, rollup, scratch, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +18,55 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 runs of a Hilbert curve."""
+    return hilbert.shards(_read(spark, sf_dir, "documents"), 16)
+
+
 def op3_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    judged = quality.rules(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return judged.drop("text")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.rate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer after three batches over all documents."""
+    return rollup.replay(_read(spark, sf_dir, "documents"), scratch.new_path(spark, "rollup"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hilbert_shards": op2_hilbert_shards,
     "op3_contaminated": op3_contaminated,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
+    "op9_token_rollup": op9_token_rollup,
+    "op10_main_text": op10_main_text,
 }
 
 STATEMENTS: dict[str, str] = {
+    "op2_hilbert_shards": hilbert.statement(),
     "op3_contaminated": decontaminate.statement(),
+    "op9_token_rollup": rollup.STATEMENT,
 }
