@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hilbert, html_text, minhash, quality, rollup, scratch, toxicity
+from . import decontaminate, hilbert, html_text, minhash, packing, quality, rollup, scratch, surrogates, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data."""
+    return surrogates.pseudonymise(_read(spark, sf_dir, "documents"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 runs of a Hilbert curve."""
     return hilbert.shards(_read(spark, sf_dir, "documents"), 16)
@@ -44,6 +49,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 words."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer after three batches over all documents."""
     return rollup.replay(_read(spark, sf_dir, "documents"), scratch.new_path(spark, "rollup"))
@@ -55,12 +65,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_hilbert_shards": op2_hilbert_shards,
     "op3_contaminated": op3_contaminated,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
     "op9_token_rollup": op9_token_rollup,
     "op10_main_text": op10_main_text,
 }
