@@ -1,4 +1,70 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality rules, near-duplicates, decontamination, surrogates and packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns what
+it keeps, with the columns of ``documents``; the last returns packed pieces. :func:`run` writes
+each result as Parquet below the folder the cluster shares and reads it for the next stage, so
+a lost executor costs a few tasks only.
+
+Rows with nulls, empty or repeated texts and extra columns pass as the operators say: texts
+without words fail the quality rules; rows that repeat a doc_id share one verdict.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tellerlake.llm import decontaminate, minhash, packing, quality, scratch, surrogates
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality.rules(docs, _table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least doc_id, of each group of near-duplicates."""
+    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    hit = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data; n_chars follows the new text."""
+    replaced = surrogates.pseudonymise(docs)
+    length = F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return replaced.withColumn("n_chars", length).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("minhash near-dedup", keep_first_copies),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("pii surrogates", with_surrogates),
+    ("best-fit packing", packed),
+]
+
+#: Trained models, minima of hashes and best-fit search are beyond SQL: tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
