@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 #: Positions that count within a window of words; the others may hold anything. The longest first.
 MASKS = ("1101100110011", "1100011011")
 WINDOW, PERCENT = 20, 80
@@ -78,9 +80,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
                         ).where("doc_id IS NOT NULL")
     doc_seeds = _exploded(words, "doc_id", word_hashes(F.col("text")), masks)
     few = item_seeds.count() <= BROADCAST_ROWS
-    hits = doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed").select(
-        "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")
-    ).distinct()
+    # stored: both the choice of texts and the comparison read them
+    hits = cut(doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed").select(
+        "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
 
     texts = words.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     laid = hits.join(texts, "doc_id").join(F.broadcast(items) if few else items, "item_id")
