@@ -41,7 +41,7 @@ def main() -> None:
     def build() -> None:
         table = f"bench_{time.time_ns()}"
         state = store.source_state(spark, sf_dir)
-        n = store.buckets(spark, sum(length for _c, length, _t in state))
+        n = store.buckets(spark, sum(s[1] for s in state))
         store.store_customers(star.customer_table(spark, sf_dir), table,
                               store.new_path(spark, table), n)
 

@@ -23,7 +23,7 @@ def _points(rules: list[tuple[Column, int]]) -> Column:
 def risk_points() -> Column:
     """Additive risk score in tenths."""
     c = F.col
-    return _points([
+    return _points([  # fixed values: limits and points
         (c("Credit_Score") < 600, 25),
         (c("Debt_to_Income_Ratio") > 0.4, 20),
         (c("Missed_Payments") > 2, 18),
@@ -49,7 +49,7 @@ def default_percent() -> Column:
     """Probability of default in whole percent, held inside [0, 100]."""
     c = F.col
     return clip(
-        F.lit(2) + _points([
+        F.lit(2) + _points([  # fixed values: limits and points
             (c("Credit_Score") < 550, 25),
             (c("Debt_to_Income_Ratio") > 0.5, 15),
             (c("Missed_Payments") > 3, 12),
@@ -61,7 +61,7 @@ def default_percent() -> Column:
 def churn_percent() -> Column:
     """Probability of churn in whole percent."""
     c = F.col
-    return F.lit(5) + _points([
+    return F.lit(5) + _points([  # fixed values: limits and points
         (c("Customer_Satisfaction") < 2.5, 15),
         (c("Days_Since_Transaction") > 60, 10),
         (c("Complaints") > 2, 10),

@@ -28,7 +28,7 @@ def segment(rules: str = "dashboard") -> Column:
         digital = online & (c("Mobile_Banking_Usage") == 1)
         low = c("Transaction_Count") < 5
     return first_match(
-        [
+        [  # fixed values: limits and names
             ((balance >= 500_000) & (score >= 750) & (c("Number_of_Products") >= 3), "Premium"),
             ((balance >= 200_000) & (score >= 650), "High Value"),
             (digital, "Digital First"),

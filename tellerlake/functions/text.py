@@ -26,8 +26,27 @@ def parse_number(name: str) -> Column:
                   f"try_cast(btrim(`{name}`, '{_BLANKS}') AS DOUBLE), NULL)")
 
 
+# Accepted dates: year-month-day, also with slashes or a clock time behind it, and month/day/year.
+_YEAR_FIRST = r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"
+_MONTH_FIRST = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
+
+
+def parse_whole(name: str, kind: str) -> Column:
+    """:func:`parse_number`, null also where the number does not fit the whole-number ``kind``."""
+    number = parse_number(name)
+    return F.when(number.try_cast(kind).isNotNull(), number)
+
+
 def parse_date(name: str) -> Column:
-    return F.expr(f"try_cast(`{name}` AS DATE)")
+    """Text column to date; text that is not wholly one of the accepted forms becomes null."""
+    text = f"btrim(`{name}`, '{_BLANKS}')"
+    part = lambda form, order: ", ".join(
+        f"regexp_extract({text}, r'{form}', {i})" for i in order)
+    return F.expr(
+        f"CASE WHEN {text} RLIKE r'{_YEAR_FIRST}' "
+        f"THEN try_cast(concat_ws('-', {part(_YEAR_FIRST, (1, 2, 3))}) AS DATE) "
+        f"WHEN {text} RLIKE r'{_MONTH_FIRST}' "
+        f"THEN try_cast(concat_ws('-', {part(_MONTH_FIRST, (3, 1, 2))}) AS DATE) END")
 
 
 def fixed(col: Column, digits: int, grouped: bool = False) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scores import debt_ratio
-from ..functions.text import parse_date, parse_number, title_case
+from ..functions.text import parse_date, parse_number, parse_whole, title_case
 from ..schema import (CLEAN_SCHEMA, FLAG_COLUMNS, IMPUTED_COLUMNS, KEY, NUMERIC_COLUMNS, ORDINAL,
                       RAW_COLUMNS, RISK_LABELS, TEXT_COLUMNS, require)
 from ..sources.store import cut
@@ -33,13 +33,17 @@ def drop_repeats(df: DataFrame, key: str = KEY, order: str = ORDINAL) -> DataFra
 
 
 def coerce_numbers(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: parse_number(c) for c in NUMERIC_COLUMNS})
+    """Numeric columns as doubles; a number too large for its column is as good as unreadable."""
+    kinds = {f.name: f.dataType.simpleString() for f in CLEAN_SCHEMA}
+    return df.withColumns({
+        c: parse_number(c) if kinds[c] == "double" else parse_whole(c, kinds[c])
+        for c in NUMERIC_COLUMNS})
 
 
 def coerce_flags(df: DataFrame) -> DataFrame:
-    """0/1 columns as whole numbers; unreadable or missing means 0."""
+    """0/1 columns as whole numbers; unreadable, too large or missing means 0."""
     return df.withColumns({
-        c: F.coalesce(parse_number(c), F.lit(0.0)).cast("int") for c in FLAG_COLUMNS})
+        c: F.coalesce(parse_number(c).try_cast("int"), F.lit(0)) for c in FLAG_COLUMNS})
 
 
 def parse_dates(df: DataFrame) -> DataFrame:

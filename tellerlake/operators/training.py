@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import FEATURE_COLUMNS, RISK_LABELS
+from ..schema import RISK_LABELS
 
 SEED = 42
 
@@ -42,9 +44,9 @@ def pipeline(kind: str, rows_weight: float = 1.0, rounds: int = 200, trees: int
             **common, weightCol="weight", numTrees=trees, maxDepth=10, minInstancesPerNode=10,
             featureSubsetStrategy="sqrt", maxBins=256, seed=SEED, **trees_at_once)])
     if kind == "boosted":  # unweighted on purpose
-        one = GBTClassifier(**common, maxIter=rounds, maxDepth=6, stepSize=0.1, seed=SEED,
-                            **trees_at_once)
-        return Pipeline(stages=[OneVsRest(classifier=one, **common)])
+        one = GBTClassifier(**common, maxIter=rounds, maxDepth=6, stepSize=0.1, maxBins=256,
+                            seed=SEED, **trees_at_once)
+        return Pipeline(stages=[OneVsRest(classifier=one, parallelism=3, **common)])
     raise ValueError(f"unknown model kind {kind!r}")
 
 
@@ -71,11 +73,24 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
         "prediction", F.col("prediction").cast("int"))
 
 
-def importances(model: PipelineModel, spark: SparkSession) -> DataFrame:
-    """(feature, importance), highest first; empty for models that have none."""
+def feature_names(table: DataFrame) -> list[str]:
+    """Names of the entries of the assembled vector, in order, as the column itself tells."""
+    kinds = table.schema["features"].metadata["ml_attr"]["attrs"]
+    return [a["name"] for a in sorted((a for k in kinds.values() for a in k),
+                                      key=lambda a: a["idx"])]
+
+
+def importances(model: PipelineModel, spark: SparkSession, names: Sequence[str],
+                top: int | None = None) -> DataFrame:
+    """(feature, importance) of the fitted vector's ``names``, highest first, ``top`` at most.
+
+    Empty for models that have none.
+    """
     last = model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else []
-    rows = sorted(zip(FEATURE_COLUMNS, map(float, values)), key=lambda r: -r[1])
+    if len(values) and len(values) != len(names):
+        raise ValueError(f"{len(values)} importances for {len(names)} features")
+    rows = sorted(zip(names, map(float, values)), key=lambda r: -r[1])[:top]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
@@ -83,7 +98,8 @@ def save_model(model: PipelineModel, head: PipelineModel, name: str, path: str)
     """Store input stages and fitted model together with name and feature order."""
     spark = SparkSession.active()
     PipelineModel(stages=[*head.stages, *model.stages]).write().overwrite().save(f"{path}/model")
-    rows = [(name, i, f) for i, f in enumerate(FEATURE_COLUMNS)]
+    inputs = next(s for s in head.stages if isinstance(s, VectorAssembler)).getInputCols()
+    rows = [(name, i, f) for i, f in enumerate(inputs)]
     (spark.createDataFrame(rows, "best_name string, position int, feature string")
      .coalesce(1).write.mode("overwrite").parquet(f"{path}/features"))
 

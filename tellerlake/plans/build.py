@@ -45,7 +45,7 @@ def build_all(raw: DataFrame, out: str, kinds: Sequence[str] = KINDS,
     training.save_model(fitted[best], features.input_stages(clean, encoders), best,
                         f"{out}/models/risk_model")
     files.write_report(report, f"{out}/models/model_metrics")
-    files.write_report(training.importances(fitted[best], spark),
+    files.write_report(training.importances(fitted[best], spark, training.feature_names(table)),
                        f"{out}/reports/feature_importance")
     files.write_report(evaluation.confusion_matrix(scored[best], "label", "prediction"),
                        f"{out}/reports/confusion_matrix")

@@ -405,7 +405,9 @@ def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.importances(models.fitted(spark, sf_dir, "forest"), spark)
+    """Importances of the best model; a model without any gives no rows."""
+    best = models.fitted(spark, sf_dir, models.best_kind(spark, sf_dir))
+    return training.importances(best, spark, training.feature_names(models.table(spark, sf_dir)))
 
 
 def _write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,7 +443,7 @@ TRAINED: dict[str, Query] = {
     "train_logistic": _predictions("logistic"),
     "train_decision_tree": _predictions("tree"),
     "train_random_forest": _predictions("forest"),
-    "train_boosted_trees": _predictions("boosted", rounds=10),
+    "train_boosted_trees": _predictions("boosted"),
     "model_comparison": _comparison,
     "feature_importance": _importance,
     "save_risk_model": _save,

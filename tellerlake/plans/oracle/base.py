@@ -128,11 +128,12 @@ risk_analysis AS (
   SELECT Customer_ID, Credit_Score, Debt_to_Income_Ratio, Missed_Payments, Late_Payments,
     Default_Status, Churn_Status, Risk_Label, Complaints FROM bank)"""
 
-_RAW_KEPT = """City, State, Account_Type, CAST(Account_Balance AS VARCHAR) AS Account_Balance,
+_RAW_KEPT = """City, State, Account_Type, CASE WHEN k % 170 = 23 THEN '1e30' WHEN k % 170 = 123 THEN '1234.56'
+      ELSE CAST(Account_Balance AS VARCHAR) END AS Account_Balance,
     CAST(Tenure_Years AS VARCHAR) AS Tenure_Years, CAST(Number_of_Products AS VARCHAR) AS Number_of_Products,
     Loan_Status, CAST(Loan_Amount AS VARCHAR) AS Loan_Amount, CAST(Loan_Tenure AS VARCHAR) AS Loan_Tenure,
     CAST(EMI AS VARCHAR) AS EMI, CAST(Monthly_Expenses AS VARCHAR) AS Monthly_Expenses,
-    CAST(Transaction_Count AS VARCHAR) AS Transaction_Count,
+    CASE WHEN k % 170 = 63 THEN '1e20' ELSE CAST(Transaction_Count AS VARCHAR) END AS Transaction_Count,
     CAST(Transaction_Amount AS VARCHAR) AS Transaction_Amount,
     CAST(Average_Transaction_Value AS VARCHAR) AS Average_Transaction_Value,
     CAST(Mobile_Banking_Usage AS VARCHAR) AS Mobile_Banking_Usage, CAST(ATM_Usage AS VARCHAR) AS ATM_Usage,
@@ -160,8 +161,9 @@ raw AS (
     CASE WHEN k % 160 = 11 THEN 'nan' WHEN k % 160 = 91 THEN '1200'
       ELSE CAST(CAST(Credit_Score AS BIGINT) AS VARCHAR) END AS Credit_Score,
     CASE WHEN k % 100 <> 13 THEN CAST(Customer_Satisfaction AS VARCHAR) END AS Customer_Satisfaction,
-    CASE WHEN k % 90 <> 5 THEN CAST(Online_Banking_Usage AS VARCHAR) END AS Online_Banking_Usage,
-    CASE WHEN k % 150 = 31 THEN 'not-a-date' WHEN k % 150 <> 81 THEN CAST(Last_Transaction_Date AS VARCHAR)
+    CASE WHEN k % 90 = 55 THEN '9999999999' WHEN k % 90 <> 5 THEN CAST(Online_Banking_Usage AS VARCHAR) END AS Online_Banking_Usage,
+    CASE WHEN k % 150 = 31 THEN 'not-a-date' WHEN k % 150 = 41 THEN '2024'
+      WHEN k % 150 = 51 THEN '03/05/2024' WHEN k % 150 = 61 THEN '2024-03-05T99' WHEN k % 150 <> 81 THEN CAST(Last_Transaction_Date AS VARCHAR)
       END AS Last_Transaction_Date,
     CASE WHEN k % 75 = 19 THEN 'unknown' WHEN k % 5 = 2 THEN lower(Risk_Label) ELSE Risk_Label END AS Risk_Label,
     {_RAW_KEPT}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ...schema import (FLAG_COLUMNS, IMPUTED_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS, RISK_LABELS,
+from ...schema import (CLEAN_SCHEMA, FLAG_COLUMNS, IMPUTED_COLUMNS, NUMERIC_COLUMNS, RAW_COLUMNS, RISK_LABELS,
                        TEXT_COLUMNS)
 from .base import over_raw
 
@@ -13,14 +13,28 @@ def number(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '{_NUM}') THEN try_cast(trim({c}) AS DOUBLE) END"
 
 
+_KINDS = {f.name: f.dataType.simpleString() for f in CLEAN_SCHEMA}
+
+
+def fitting(c: str) -> str:
+    """:func:`number`, null where it does not fit the column's whole-number type."""
+    if _KINDS[c] == "double":
+        return number(c)
+    return f"CASE WHEN try_cast(trunc({number(c)}) AS {_KINDS[c]}) IS NOT NULL THEN {number(c)} END"
+
+
 def title(c: str) -> str:
     return (f"array_to_string(list_transform(regexp_extract_all(lower(trim({c})), "
             r"'(\p{L}+|\P{L}+)', 1), lambda p: upper(p[1]) || p[2:]), '')")
 
 
-NUMBERS = ", ".join(f"{number(c)} AS {c}" for c in NUMERIC_COLUMNS)
-FLAGS = ", ".join(f"CAST(trunc(coalesce({number(c)}, 0)) AS INT) AS {c}" for c in FLAG_COLUMNS)
-DATE = "try_cast(Last_Transaction_Date AS DATE)"
+NUMBERS = ", ".join(f"{fitting(c)} AS {c}" for c in NUMERIC_COLUMNS)
+FLAGS = ", ".join(f"coalesce(try_cast(trunc({number(c)}) AS INT), 0) AS {c}" for c in FLAG_COLUMNS)
+DATE = r"""CASE
+  WHEN regexp_matches(trim(Last_Transaction_Date), '^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?)?$')
+    THEN try_cast(left(trim(Last_Transaction_Date), 10) AS DATE)
+  WHEN regexp_matches(trim(Last_Transaction_Date), '^\d{1,2}/\d{1,2}/\d{4}$')
+    THEN CAST(try_strptime(trim(Last_Transaction_Date), '%m/%d/%Y') AS DATE) END"""
 TEXTS = ", ".join(f"coalesce({title(c)}, 'Nan') AS {c}" for c in TEXT_COLUMNS)
 RAWS = ", ".join(RAW_COLUMNS)
 

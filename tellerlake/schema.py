@@ -107,6 +107,7 @@ FEATURE_COLUMNS = [
     "Days_Since_Transaction", "Gender_enc", "Occupation_enc",
     "Account_Type_enc",
 ]
+# The columns coded by category.
 ENCODED_COLUMNS = ["Gender", "Occupation", "Account_Type"]
 
 # The columns of the correlation matrix.
@@ -116,6 +117,7 @@ CORRELATED_COLUMNS = [
     "Customer_Satisfaction", "Complaints",
 ]
 
+# Risk classes and credit categories, from low to high.
 RISK_LABELS = ["Low", "Medium", "High"]
 CREDIT_CATEGORIES = ["Very Poor", "Poor", "Fair", "Good", "Excellent"]
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import parse_date
+from ..functions.text import parse_date, parse_number
 from ..schema import CLEAN_SCHEMA, ORDINAL, RAW_SCHEMA, struct
 
 # Columns of the model comparison and feature importance reports.
@@ -17,17 +19,45 @@ METRICS_SCHEMA = struct(
 IMPORTANCE_SCHEMA = struct("feature string, importance double")
 
 
+def read_by_name(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The named columns of CSV files with header, as text, wherever they stand in the files.
+
+    Fails when a column is missing, or when files below ``path`` differ in their headers.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [c for c in columns if c not in header]
+    if missing:
+        raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(
+        path).select(*columns)
+
+
+def typed_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns in the types of ``schema``.
+
+    A whole number may be written ``12.0``. A date that does not parse and a NaN become null;
+    any other text that does not fit its column fails the plan, naming the column.
+    """
+    def typed(field: T.StructField) -> Column:
+        name, kind = field.name, field.dataType.simpleString()
+        if kind == "string":
+            return F.col(name)
+        if kind == "date":
+            return parse_date(name).alias(name)
+        number = parse_number(name)
+        fits = number if kind == "double" else F.when(
+            number == F.floor(number), number).try_cast(kind)
+        blank = F.col(name).isNull() | (F.lower(F.trim(name)) == "nan")
+        return F.when(blank, None).when(fits.isNotNull(), fits).otherwise(F.raise_error(
+            F.concat(F.lit(f"{name}: not a {kind}: "), F.col(name))).cast(kind)).alias(name)
+
+    return df.select(*[typed(f) for f in schema])
+
+
 def read_customers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Clean customer CSV with header; a date that does not parse and a NaN become null."""
-    as_text = T.StructType([
-        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType)
-        for f in CLEAN_SCHEMA
-    ])
-    df = spark.read.schema(as_text).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    doubles = [f.name for f in CLEAN_SCHEMA if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({
-        "Last_Transaction_Date": parse_date("Last_Transaction_Date"),
-        **{c: F.expr(f"nanvl({c}, NULL)") for c in doubles}})
+    """Clean customer CSV with header, columns by name; see :func:`typed_columns`."""
+    return typed_columns(read_by_name(spark, path, CLEAN_SCHEMA.names), CLEAN_SCHEMA)
 
 
 def load_customers(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | None]:
@@ -36,6 +66,8 @@ def load_customers(spark: SparkSession, path: str) -> tuple[DataFrame | None, st
         return read_customers_csv(spark, path), None
     except AnalysisException as ex:
         return None, f"customers not found at {path}: {ex.getCondition()}"
+    except ValueError as ex:
+        return None, str(ex)
 
 
 def read_raw_csv(spark: SparkSession, path: str, ordinal: bool = False) -> DataFrame:
@@ -47,9 +79,9 @@ def read_raw_csv(spark: SparkSession, path: str, ordinal: bool = False) -> DataF
     sort by name.
     """
     if ordinal:
-        schema = T.StructType([T.StructField(ORDINAL, T.LongType()), *RAW_SCHEMA.fields])
-        return spark.read.schema(schema).option("header", True).csv(path)
-    df = spark.read.schema(RAW_SCHEMA).option("header", True).csv(path)
+        df = read_by_name(spark, path, [ORDINAL, *RAW_SCHEMA.names])
+        return df.withColumn(ORDINAL, F.col(ORDINAL).cast("long"))
+    df = read_by_name(spark, path, RAW_SCHEMA.names)
     meta = F.col("_metadata")
     # name, then block start, then row within the block: the order of the text itself
     return df.select(
@@ -73,8 +105,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS_SCHEMA).option("header", True).csv(path)
+    return typed_columns(read_by_name(spark, path, METRICS_SCHEMA.names), METRICS_SCHEMA)
 
 
 def read_importance(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(IMPORTANCE_SCHEMA).option("header", True).csv(path)
+    return typed_columns(read_by_name(spark, path, IMPORTANCE_SCHEMA.names), IMPORTANCE_SCHEMA)

@@ -178,12 +178,20 @@ def with_defects(clean: DataFrame) -> DataFrame:
         text["Credit_Score"] = (F.when(k % 160 == 11, "nan").when(k % 160 == 91, "1200")
                                 .otherwise(text["Credit_Score"]))
         text["Customer_Satisfaction"] = F.when(k % 100 != 13, text["Customer_Satisfaction"])
-        text["Online_Banking_Usage"] = F.when(k % 90 != 5, text["Online_Banking_Usage"])
+        text["Online_Banking_Usage"] = (F.when(k % 90 == 55, "9999999999")
+                                        .when(k % 90 != 5, text["Online_Banking_Usage"]))
+        text["Account_Balance"] = (F.when(k % 170 == 23, "1e30").when(k % 170 == 123, "1234.56")
+                                   .otherwise(text["Account_Balance"]))
+        text["Transaction_Count"] = F.when(k % 170 == 63, "1e20").otherwise(
+            text["Transaction_Count"])
         text["Gender"] = (F.when(k % 300 == 29, None)
                           .when(k % 3 == 0, F.concat(F.lit("  "), F.upper("Gender"), F.lit(" ")))
                           .otherwise(c("Gender")))
         text["Occupation"] = F.when(k % 4 == 1, F.lower("Occupation")).otherwise(c("Occupation"))
         text["Last_Transaction_Date"] = (F.when(k % 150 == 31, "not-a-date")
+                                         .when(k % 150 == 41, "2024")
+                                         .when(k % 150 == 51, "03/05/2024")
+                                         .when(k % 150 == 61, "2024-03-05T99")
                                          .when(k % 150 != 81, text["Last_Transaction_Date"]))
         text["Risk_Label"] = (F.when(k % 75 == 19, "unknown")
                               .when(k % 5 == 2, F.lower("Risk_Label")).otherwise(c("Risk_Label")))

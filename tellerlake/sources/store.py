@@ -28,9 +28,12 @@ _SOURCES = ("customer", "nation", "orders", "lineitem")
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for stored tables: the session's, or a temporary one in local tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = (spark.conf.get("spark.checkpoint.dir", None)
+              or spark.sparkContext.getCheckpointDir())
     app = spark.sparkContext.applicationId
     if app not in _scratch:
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = shared or tempfile.mkdtemp(prefix="tellerlake-")
         _scratch[app] = f"{base.rstrip('/')}/tellerlake-{app}"
     return _scratch[app]
@@ -70,15 +73,25 @@ def store_customers(df: DataFrame, table: str, path: str, n: int) -> DataFrame:
 
 
 def source_state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Size and age of the source files: a stored table is only good for the same state."""
+    """Files, bytes, newest and summed times of each source, folders below included.
+
+    A stored table is only good for the same state. A source without any byte fails.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     state = []
     for name in _SOURCES:
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        files = path.getFileSystem(conf).listStatus(path)
-        state.append((len(files), sum(f.getLen() for f in files),
-                      max((f.getModificationTime() for f in files), default=0)))
+        found, count, size, newest, times = path.getFileSystem(conf).listFiles(path, True), 0, 0, 0, 0
+        while found.hasNext():
+            file = found.next()
+            if not file.getPath().getName().startswith(("_", ".")):
+                count, size = count + 1, size + file.getLen()
+                newest = max(newest, file.getModificationTime())
+                times += file.getModificationTime()
+        if not size:
+            raise ValueError(f"{sf_dir}: {name} holds no data")
+        state.append((count, size, newest, times))
     return tuple(state)
 
 
@@ -98,7 +111,7 @@ def customers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         app = spark.sparkContext.applicationId
         tag = hashlib.md5(f"{app}|{sf_dir}".encode()).hexdigest()[:10] + uuid.uuid4().hex[:6]
         table = f"{_PREFIX}{tag}"
-        size = sum(length for _count, length, _time in source_state(spark, sf_dir))
+        size = sum(s[1] for s in source_state(spark, sf_dir))
         store_customers(customer_table(spark, sf_dir), table, f"{work_dir(spark)}/{table}",
                         buckets(spark, size))
         return table

@@ -119,3 +119,49 @@ def test_tables_skip_unknown_columns_and_replace(spark, bank, tmp_path):
     tables = store.build_tables(bank.limit(7), path)
     assert {n: t.count() for n, t in tables.items()} == {n: 7 for n in tables}
     assert spark.sql("SELECT count(*) FROM loans JOIN customers USING (Customer_ID)").first()[0] == 7
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    rows = raw(spark, {"Age": "20", "Account_Balance": "1234.0"}, {"Gender": "female"})
+    mixed = rows.select(F.lit("x").alias("More"), *sorted(RAW_COLUMNS, reverse=True))
+    path = str(tmp_path / "mixed")
+    files.write_csv(mixed.coalesce(1), path)
+    got = {r.Customer_ID: r for r in files.read_raw_csv(spark, path).collect()}
+    assert (got["CUST000000"].Age, got["CUST000000"].Gender, got["CUST000001"].Gender) == ("20", "male", "female")
+    clean = str(tmp_path / "clean")
+    files.write_csv(mixed.withColumn("Days_Since_Transaction", F.lit("3.0")).coalesce(1), clean)
+    read = {r.Customer_ID: r for r in files.read_customers_csv(spark, clean).collect()}
+    assert (read["CUST000000"].Account_Balance, read["CUST000000"].Days_Since_Transaction) == (1234, 3)
+    with pytest.raises(ValueError, match="EMI"):
+        files.write_csv(mixed.drop("EMI").coalesce(1), clean)
+        files.read_customers_csv(spark, clean)
+
+
+def test_text_that_fits_no_type_is_named(spark, tmp_path):
+    path = str(tmp_path / "bad")
+    files.write_csv(raw(spark, {"EMI": "12.5"}).drop("_seq").withColumn("Days_Since_Transaction", F.lit(1)), path)
+    with pytest.raises(Exception, match="EMI: not a bigint: 12.5"):
+        files.read_customers_csv(spark, path).collect()
+
+
+def test_large_numbers_and_odd_dates(spark):
+    df = raw(spark, {"Account_Balance": "1e30"}, {"Transaction_Count": "1e20", "Online_Banking_Usage": "9999999999"},
+             {"Last_Transaction_Date": "2024"}, {"Last_Transaction_Date": "03/05/2024"},
+             {"Last_Transaction_Date": "2024-03-05T99"}, {"Last_Transaction_Date": "2024-03-05 10:00:00"})
+    a, b, c, d, e, f = cleaning.clean_customers(df).orderBy("Customer_ID").collect()
+    assert (a.Account_Balance, b.Transaction_Count, b.Online_Banking_Usage) == (1000, 0, 0)
+    assert [str(r.Last_Transaction_Date) for r in (c, d, e, f)] == ["2024-01-01", "2024-03-05", "2024-01-01", "2024-03-05"]
+
+
+def test_partitioned_sources_count_all_bytes(spark, tmp_path):
+    for name in ("customer", "nation", "orders", "lineitem"):
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "lineitem":
+            table.write.partitionBy("l_returnflag").parquet(f"{tmp_path}/{name}.parquet")
+        else:
+            table.write.parquet(f"{tmp_path}/{name}.parquet")
+    before = store.source_state(spark, str(tmp_path))
+    assert before[3][1] > 50_000
+    more = spark.read.parquet(f"{tmp_path}/lineitem.parquet").where("l_returnflag = 'A'").limit(5)
+    more.write.mode("append").partitionBy("l_returnflag").parquet(f"{tmp_path}/lineitem.parquet")
+    assert store.source_state(spark, str(tmp_path)) != before

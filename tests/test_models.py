@@ -62,7 +62,7 @@ def test_store_load_score(spark, bank, tmp_path):
     want = training.predict(model, models.table(spark, SMALL)).select("Customer_ID", "prediction", "p_high")
     got = training.predict(loaded, bank).select("Customer_ID", "prediction", "p_high")
     assert got.count() == bank.count() and got.exceptAll(want).count() == 0
-    weights = training.importances(model, spark).collect()
+    weights = training.importances(model, spark, training.feature_names(models.table(spark, SMALL))).collect()
     assert sum(r.importance for r in weights) == pytest.approx(1.0)
     assert [r.importance for r in weights] == sorted((r.importance for r in weights), reverse=True)
 
@@ -115,3 +115,13 @@ def test_csv_gaps_become_null(spark, bank, tmp_path):
     files.write_csv(gaps, path)
     rows = files.read_customers_csv(spark, path).collect()
     assert len(rows) == 3 and all(r.Age is None and r.Last_Transaction_Date is None for r in rows)
+
+
+def test_names_follow_the_fitted_vector(spark, bank):
+    from tellerlake.operators import features
+    slim = bank.drop("EMI")
+    table = features.model_table(slim, features.fit_encoders(slim))
+    names = training.feature_names(table)
+    assert len(names) == 28 and "EMI" not in names
+    rows = training.importances(training.train(table, "tree"), spark, names, top=10).collect()
+    assert len(rows) == 10 and "EMI" not in {r.feature for r in rows}
