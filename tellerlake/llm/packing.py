@@ -70,8 +70,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, cluster:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         cluster.alias("cluster"), F.regexp_count(text, F.lit(PATTERNS["words-1"])).cast("long").alias("total"))
     groups = 1 + docs.count() // group
-    dealt = slim.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(groups))).repartition(
-        groups, "group").sortWithinPartitions("group", F.desc("total"), "doc_id", "source", "cluster")
+    # by id and text: rows without an id still spread; a task may hold many groups, one at a time
+    dealt = slim.withColumn("group", F.pmod(F.xxhash64("doc_id", "cluster", F.lit("group")), F.lit(groups))).repartition(
+        "group").sortWithinPartitions("group", F.desc("total"), "doc_id", "source", "cluster")
     return dealt.mapInArrow(_packer(capacity), _OUT)
 
 
