@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,34 +141,30 @@ def describe_date(df: DataFrame, column: str) -> DataFrame:
                       *[moment(c).alias(c) for c in ("mean", "min", "q25", "q50", "q75", "max")])
 
 
-def pearson(a: str, b: str, digits: int) -> Column:
-    """Correlation over the rows where both are known; null where either has no spread."""
-    return F.expr(
-        f"round(try_divide(covar_pop({a}, {b}), stddev_pop(if({b} IS NOT NULL, {a}, NULL))"
-        f" * stddev_pop(if({a} IS NOT NULL, {b}, NULL))), {digits}) AS `{a}|{b}`")
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(CORRELATED_COLUMNS),
-                       digits: int = 9, step: int = 10) -> DataFrame:
+                       digits: int = 9) -> DataFrame:
     """Pearson correlation of every ordered pair (a, b, r), pairwise complete.
 
     A column without spread has no correlation (null); the built-in ``corr`` would
-    fail on it. ``step`` pairs share a plan, few enough to be compiled.
+    fail on it. Pairs become rows, so one scan and one small map-side aggregate
+    serve any number of columns.
     """
     columns = list(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-
-    def part(some: Sequence[tuple[str, str]]) -> DataFrame:
-        names = [f"{a}|{b}" for a, b in some]
-        row = df.agg(*[pearson(a, b, digits) for a, b in some])
-        return row.unpivot([], names, "pair", "r")
-
-    half = reduce(DataFrame.unionByName,
-                  [part(pairs[i:i + step]) for i in range(0, len(pairs), step)])
-    a, b = F.split_part("pair", F.lit("|"), F.lit(1)), F.split_part("pair", F.lit("|"), F.lit(2))
+    x, y = {}, {}
+    for a, b in pairs:
+        one, two = F.col(a).cast("double"), F.col(b).cast("double")
+        x[a, b], y[a, b] = F.when(two.isNotNull(), one), F.when(one.isNotNull(), two)
+    rows = df.select(F.posexplode(F.array(*[
+        F.struct(x[p].alias("x"), y[p].alias("y")) for p in pairs])).alias("id", "v"))
+    found = rows.select("id", "v.x", "v.y").groupBy("id").agg(F.round(F.try_divide(
+        F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")), digits).alias("r"))
+    # every pair has its rows, also where the table has none
+    every = df.sparkSession.range(len(pairs)).withColumn("id", F.col("id").cast("int"))
+    a, b = (F.get(F.array(*[F.lit(p[k]) for p in pairs]), F.col("id")) for k in (0, 1))
     both = F.array_distinct(F.array(F.struct(a.alias("a"), b.alias("b")),
                                     F.struct(b.alias("a"), a.alias("b"))))
-    return half.select(F.explode(both).alias("s"), "r").select("s.*", "r")
+    return every.join(found, "id", "left").select(F.explode(both).alias("s"), "r").select("s.*", "r")
 
 
 def select_customers(df: DataFrame, age=None, genders=None, states=None, accounts=None,

@@ -102,9 +102,12 @@ def test_counts_leave_nulls_out(spark):
 def test_correlation_is_pairwise_complete(spark):
     pdf = pd.DataFrame({"a": [1.0, 2, 3, 4, None], "b": [2.0, 1, 4, None, 5], "c": [1.0] * 5})
     df = spark.createDataFrame(pdf).select(*[F.nanvl(c, F.lit(None)).alias(c) for c in pdf])
-    got = {(r.a, r.b): r.r for r in stats.correlation_matrix(df, list(pdf), step=2).collect()}
+    got = {(r.a, r.b): r.r for r in stats.correlation_matrix(df, list(pdf)).collect()}
     assert len(got) == 9 and got["a", "b"] == got["b", "a"]
     assert got["a", "b"] == pytest.approx(pdf["a"].corr(pdf["b"]), abs=1e-9)
+    assert got["a", "c"] is None
+    empty = stats.correlation_matrix(df.limit(0), list(pdf)).collect()
+    assert len(empty) == 9 and {r.r for r in empty} == {None}
 
 
 def test_empty_filter(bank):
