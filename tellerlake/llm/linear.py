@@ -95,25 +95,29 @@ def adagrad(rows: list[tuple[Features, int]], size: int, epochs: int = 6, rate:
 
 def fit(sampled: DataFrame, features: Callable[[str, WordHashes], Features], size: int,
         train: Callable[..., np.ndarray], shards: int = SHARDS) -> np.ndarray:
-    """Mean of the models that ``shards`` tasks fit on their parts of a bounded sample.
+    """Mean of the models fitted on ``shards`` parts of a bounded sample.
 
-    No labelled row at all gives a model of zeros, whose scores are all one half.
+    Parts are dealt by hash of the id and fitted one by one, in order of the id, so the model
+    does not depend on how many tasks hold them. No labelled row at all gives a model of
+    zeros, whose scores are all one half.
     """
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows = WordHashes(), []
+        known, parts = WordHashes(), {}
         for batch in batches:
-            for _, text, y in sorted(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)):
-                rows.append((features(text, known), y))
-        if rows:
+            names = ("shard", "doc_id", "text", "y")
+            for shard, _, text, y in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                parts.setdefault(shard, []).append((features(text, known), y))
+        for shard, rows in parts.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([train(rows, size).astype(np.float32).tobytes()], pa.binary()),
-                 pa.array([len(rows)], pa.int64())], names=["model", "rows"])
+                [pa.array([shard], pa.int64()), pa.array([train(rows, size).astype(np.float32).tobytes()], pa.binary()),
+                 pa.array([len(rows)], pa.int64())], names=["shard", "model", "rows"])
 
-    dealt = sampled.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards))).repartition(
-        shards, "shard").sortWithinPartitions("doc_id")
-    found = dealt.mapInArrow(one, "model binary, rows long").collect()  # ``shards`` rows of ``size`` numbers
+    dealt = sampled.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("long")).repartition(
+        shards, "shard").sortWithinPartitions("shard", "doc_id", "text", "y")
+    found = dealt.mapInArrow(one, "shard long, model binary, rows long").collect()  # ``shards`` rows of ``size`` numbers
     if not found:
         return np.zeros(size + 1, np.float32)
+    found.sort(key=lambda r: r.shard)
     weight = np.array([r.rows for r in found], float)
     return (np.stack([np.frombuffer(r.model, np.float32) for r in found]) * (weight / weight.sum())[:, None]
             ).sum(axis=0).astype(np.float32)
