@@ -35,7 +35,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     Nulls and texts without a word have an empty set, are linked with nothing and kept. A
     null doc_id gives a null component and is kept. Rows that repeat a doc_id are one
-    document for ``kept`` but each text is linked by itself. Other columns are ignored.
+    document for ``kept``; where their texts differ, either may stand for the id when links
+    are confirmed. Other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(slim.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, "
