@@ -29,7 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least doc_id, of each group of near-duplicates."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    judged = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("stays"))
+    gone = judged.where("NOT stays").select("doc_id")  # an id with two texts goes only if both are copies
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -34,9 +34,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     nor a row list grows with its square. A unit reports a spanning forest of its links.
 
     Nulls and texts without a word have an empty set, are linked with nothing and kept. A
-    null doc_id gives a null component and is kept. Rows that repeat a doc_id are one
-    document for ``kept``; where their texts differ, either may stand for the id when links
-    are confirmed. Other columns are ignored.
+    null doc_id gives a null component and is kept. Where rows repeat a doc_id, each takes the
+    component of its own text; links hold between texts, and classes with one least doc_id
+    are one component. Other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(slim.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, "
@@ -77,26 +77,25 @@ def _signer(size: int, bands: int, rows: int):
 
 def _verified(slim: DataFrame, classes: DataFrame, size: int, percent: int, unit: int) -> DataFrame:
     """(a, b): links between class representatives, a spanning forest of each bucket's."""
-    each = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    tag = F.xxhash64("rep")
+    each = classes.select("rep", "set_key", "n", F.xxhash64("set_key").alias("tag"), F.explode("bands").alias("bucket"))
     buckets = (each.groupBy("bucket").agg(
         F.count("*").alias("members"), F.sum("n").alias("total"), F.min("n").alias("low"), F.max("n").alias("high"),
-        F.bit_xor(tag).alias("x1"), F.bit_xor(F.xxhash64(tag, F.lit(1))).alias("x2")).where("members > 1")
+        F.bit_xor("tag").alias("x1"), F.bit_xor(F.xxhash64("tag", F.lit(1))).alias("x2")).where("members > 1")
         # a bucket of two whose sizes rule a link out needs no look at the texts
         .where(f"members > 2 OR 100 * low >= {percent} * high"))
     # equal member lists arise in many bands: one bucket of each is enough
     chosen = (buckets.groupBy("members", "total", "x1", "x2").agg(F.min("bucket").alias("bucket"))
               .select("bucket", F.ceil(F.col("total") / unit).cast("int").alias("blocks")))
-    member = each.select("rep", "bucket").join(chosen, "bucket")
+    member = each.select("rep", "set_key", "bucket").join(chosen, "bucket")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = member.select(
-        "rep", "bucket", block.alias("block"),
+        "rep", "set_key", "bucket", block.alias("block"),
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
             F.least(block, j).alias("one"), F.greatest(block, j).alias("two")))).alias("pair"))
     texts = slim.withColumnRenamed("doc_id", "rep").join(member.select("rep").distinct(), "rep", "left_semi")
     units = spread.join(texts, "rep").select(
         F.xxhash64("bucket", "pair.one", "pair.two").alias("unit"), "bucket", "pair.one", "pair.two",
-        "block", "rep", "text")
+        "block", "rep", "set_key", "text")
     dealt = units.repartition("unit").sortWithinPartitions("unit", "bucket", "one", "two")
     return dealt.mapInArrow(_verifier(size, percent), "a long, b long").distinct()
 
@@ -105,12 +104,15 @@ def _verifier(size: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, left, known, out = None, {}, WordHashes(), []
         for batch in batches:
-            names = zip(*(batch.column(c).to_pylist() for c in ("bucket", "one", "two", "block", "rep")), strict=True)
-            for (bucket, one, two, block, rep), text in zip(names, batch.column("text"), strict=True):
+            names = zip(*(batch.column(c).to_pylist()
+                          for c in ("bucket", "one", "two", "block", "rep", "set_key")), strict=True)
+            for (bucket, one, two, block, rep, key), text in zip(names, batch.column("text"), strict=True):
                 if (bucket, one, two) != current:
                     out += linked(left, current, percent)
                     current, left = (bucket, one, two), {}
-                left[rep] = (block, shingle_set(text.as_py(), size, known))
+                hashes = shingle_set(text.as_py(), size, known)
+                if set_key(hashes) == key:  # a repeated doc_id brings its other texts along
+                    left[rep, key] = (block, hashes)
             if len(known) > 1_000_000:
                 known.clear()
             yield _pairs(out)
@@ -125,7 +127,7 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def linked(members: dict, unit: tuple | None, percent: int, strip: int = 256) -> list[tuple[int, int]]:
-    """Spanning forest of the links among ``{id: (block, set)}``, on the full sets.
+    """Spanning forest of the links among ``{(id, set name): (block, set)}``, on the full sets.
 
     In a unit of two different blocks only pairs across them count. Intersections of all
     pairs come from one incidence matrix, strip by strip, over the shingles that two or
@@ -133,9 +135,10 @@ def linked(members: dict, unit: tuple | None, percent: int, strip: int = 256) ->
     """
     if len(members) < 2:
         return []
-    ids = sorted(members)
-    blocks = np.array([members[i][0] for i in ids])
-    sets = [members[i][1] for i in ids]
+    named = sorted(members)
+    ids = [rep for rep, _ in named]
+    blocks = np.array([members[i][0] for i in named])
+    sets = [members[i][1] for i in named]
     across = unit is not None and unit[1] != unit[2]
     size = np.array([len(s) for s in sets], np.int64)
     if len(ids) == 2:

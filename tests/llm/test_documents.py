@@ -68,6 +68,22 @@ def test_near_duplicates_of_odd_documents(odd, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_one_id_with_different_texts(spark):
+    """Links are confirmed on each text by itself; each row takes its own text's component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (6, b + " end"), (7, a + " end"), (3, c), (8, c + " end"), (5, c), (9, None), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for unit in (minhash.UNIT, 100):
+        found = [(r.doc_id, r.n_shingles, r.component_id, r.kept)
+                 for r in minhash.near_duplicates(docs, 2, unit=unit).collect()]
+        assert sorted(found) == sorted([
+            (5, 79, 5, True), (5, 79, 5, True), (5, 79, 5, True), (6, 80, 5, False), (7, 80, 5, False),
+            (3, 79, 3, True), (8, 80, 3, False), (5, 79, 3, False), (9, 0, 9, True), (9, 79, 3, False)])
+    wide = docs.selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    left = corpus_pipeline.keep_first_copies(spark, wide, SMALL).collect()
+    assert {r.doc_id for r in left} == {3, 5, 9} and len(left) == 7
+
+
 def test_replaced_words_are_tolerated(spark):
     item = [f"item{i}" for i in range(30)]
     near = [w if i % 9 else "other" for i, w in enumerate(item)]
