@@ -96,7 +96,7 @@ def fix_labels(df: DataFrame) -> DataFrame:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Columns and types of the clean table; whole-number columns drop any fraction."""
+    """Columns and types of the clean table: money keeps its fraction, counts drop theirs."""
     return df.select(*[F.col(f.name).cast(f.dataType) for f in CLEAN_SCHEMA])
 
 

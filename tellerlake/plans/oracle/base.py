@@ -93,14 +93,14 @@ bank AS (
       WHEN (k * 17) % 100 < 98 THEN 'Homemaker' ELSE 'Student' END AS Occupation,
     CASE mkt WHEN 'MACHINERY' THEN 'Current' WHEN 'HOUSEHOLD' THEN 'Salary'
       WHEN 'AUTOMOBILE' THEN 'Nri' ELSE 'Savings' END AS Account_Type,
-    CAST(floor(abs(bal) * 100) AS BIGINT) AS Account_Balance,
+    floor(abs(bal) * 100)::DOUBLE AS Account_Balance,
     CAST(inc AS DOUBLE) AS Monthly_Income, CAST(cs AS DOUBLE) AS Credit_Score,
     CAST(tenure AS BIGINT) AS Tenure_Years, CAST(prods AS BIGINT) AS Number_of_Products,
-    stat AS Loan_Status, CAST(loan AS BIGINT) AS Loan_Amount, CAST(ten AS BIGINT) AS Loan_Tenure,
-    CAST(emi AS BIGINT) AS EMI,
-    CAST(floor(inc * (30 + k % 56) / 100.0::DOUBLE) AS BIGINT) AS Monthly_Expenses,
-    n_ord AS Transaction_Count, tamt AS Transaction_Amount,
-    CASE WHEN n_ord > 0 THEN CAST(floor(tamt / (n_ord * 1.0::DOUBLE)) AS BIGINT) ELSE 0 END AS Average_Transaction_Value,
+    stat AS Loan_Status, CAST(loan AS DOUBLE) AS Loan_Amount, CAST(ten AS BIGINT) AS Loan_Tenure,
+    CAST(emi AS DOUBLE) AS EMI,
+    floor(inc * (30 + k % 56) / 100.0::DOUBLE) AS Monthly_Expenses,
+    n_ord AS Transaction_Count, CAST(tamt AS DOUBLE) AS Transaction_Amount,
+    CASE WHEN n_ord > 0 THEN floor(tamt / (n_ord * 1.0::DOUBLE)) ELSE 0 END AS Average_Transaction_Value,
     (n_high >= 2)::INT AS Online_Banking_Usage, (n_medium >= 2)::INT AS Mobile_Banking_Usage,
     n_ret % 20 AS ATM_Usage, n_late % 10 AS Branch_Visits,
     (n_low >= 2)::INT AS Credit_Card_Usage, (n_nospec >= 1)::INT AS Debit_Card_Usage,
@@ -128,14 +128,18 @@ risk_analysis AS (
   SELECT Customer_ID, Credit_Score, Debt_to_Income_Ratio, Missed_Payments, Late_Payments,
     Default_Status, Churn_Status, Risk_Label, Complaints FROM bank)"""
 
-_RAW_KEPT = """City, State, Account_Type, CASE WHEN k % 170 = 23 THEN '1e30' WHEN k % 170 = 123 THEN '1234.56'
-      ELSE CAST(Account_Balance AS VARCHAR) END AS Account_Balance,
+def _whole(c: str) -> str:
+    return f"CAST(CAST({c} AS BIGINT) AS VARCHAR)"
+
+
+_RAW_KEPT = f"""City, State, Account_Type, CASE WHEN k % 170 = 23 THEN '1e30' WHEN k % 170 = 123 THEN '1234.56'
+      ELSE {_whole("Account_Balance")} END AS Account_Balance,
     CAST(Tenure_Years AS VARCHAR) AS Tenure_Years, CAST(Number_of_Products AS VARCHAR) AS Number_of_Products,
-    Loan_Status, CAST(Loan_Amount AS VARCHAR) AS Loan_Amount, CAST(Loan_Tenure AS VARCHAR) AS Loan_Tenure,
-    CAST(EMI AS VARCHAR) AS EMI, CAST(Monthly_Expenses AS VARCHAR) AS Monthly_Expenses,
+    Loan_Status, {_whole("Loan_Amount")} AS Loan_Amount, CAST(Loan_Tenure AS VARCHAR) AS Loan_Tenure,
+    {_whole("EMI")} AS EMI, {_whole("Monthly_Expenses")} AS Monthly_Expenses,
     CASE WHEN k % 170 = 63 THEN '1e20' ELSE CAST(Transaction_Count AS VARCHAR) END AS Transaction_Count,
-    CAST(Transaction_Amount AS VARCHAR) AS Transaction_Amount,
-    CAST(Average_Transaction_Value AS VARCHAR) AS Average_Transaction_Value,
+    {_whole("Transaction_Amount")} AS Transaction_Amount,
+    {_whole("Average_Transaction_Value")} AS Average_Transaction_Value,
     CAST(Mobile_Banking_Usage AS VARCHAR) AS Mobile_Banking_Usage, CAST(ATM_Usage AS VARCHAR) AS ATM_Usage,
     CAST(Branch_Visits AS VARCHAR) AS Branch_Visits, CAST(Credit_Card_Usage AS VARCHAR) AS Credit_Card_Usage,
     CAST(Debit_Card_Usage AS VARCHAR) AS Debit_Card_Usage, CAST(Missed_Payments AS VARCHAR) AS Missed_Payments,

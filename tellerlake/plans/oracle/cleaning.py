@@ -53,10 +53,9 @@ DAYS = "CAST(greatest(date_diff('day', {d}, DATE '2024-12-31'), 0) AS INT)"
 RATIO = ("CASE WHEN Monthly_Income > 0 THEN least(greatest(round_even(EMI / Monthly_Income * 1000, 0)"
          " / 1000, 0.0::DOUBLE), 2.0::DOUBLE) ELSE 0.0::DOUBLE END")
 LABELS = ", ".join(f"'{v}'" for v in RISK_LABELS)
-_DOUBLES = ["Age", "Monthly_Income", "Credit_Score", "Customer_Satisfaction"]
 _FINAL_NUM = ", ".join(
-    f"CAST(trunc(coalesce({c}, 0)) AS {'INT' if c in ('Churn_Status', 'Default_Status') else 'BIGINT'}) AS {c}"
-    for c in NUMERIC_COLUMNS if c not in _DOUBLES)
+    f"coalesce({c}, 0) AS {c}" if _KINDS[c] == "double" else f"CAST(trunc(coalesce({c}, 0)) AS {_KINDS[c]}) AS {c}"
+    for c in NUMERIC_COLUMNS)
 CLEAN = FILLED + f""",
 tidy AS (SELECT * REPLACE ({TEXTS}, coalesce(Last_Transaction_Date, DATE '2024-01-01') AS Last_Transaction_Date,
     coalesce(Customer_Satisfaction, 0) AS Customer_Satisfaction, coalesce(EMI, 0) AS EMI)

@@ -103,7 +103,7 @@ def _kpis() -> dict[str, str]:
     cnt = lambda p: f"count(*) FILTER (WHERE {p})"
     lab = lambda v: cnt(f"Risk_Label = '{v}'")
     labshare = lambda v: f"(avg(CASE WHEN Risk_Label = '{v}' THEN 1.0::DOUBLE ELSE 0 END) * 100)"
-    dep, lns, vol = (big(f"sum({c})") for c in ("Account_Balance", "Loan_Amount", "Transaction_Amount"))
+    dep, lns, vol = (f"sum({c})" for c in ("Account_Balance", "Loan_Amount", "Transaction_Amount"))
     summary = [
         ("Total Customers", "count(*)", "format('{{:,}}', {v})"),
         ("Active Customers", cnt("Churn_Status = 0"), "format('{{:,}}', {v})"),
@@ -147,7 +147,7 @@ def _kpis() -> dict[str, str]:
             {rnd('avg(Online_Banking_Usage) * 100', 0)} AS Online_Pct FROM bank"""),
         "kpi_loans": over_bank(f"""SELECT {cnt('Loan_Amount > 0')} AS Loan_Customers,
             {rnd('avg(CASE WHEN Loan_Amount > 0 THEN 1.0::DOUBLE ELSE 0 END) * 100', 0)} AS Loan_Customer_Pct,
-            {big('sum(Loan_Amount) FILTER (WHERE Loan_Amount > 0)')} AS Loan_Portfolio,
+            sum(Loan_Amount) FILTER (WHERE Loan_Amount > 0) AS Loan_Portfolio,
             {rnd('avg(Loan_Amount) FILTER (WHERE Loan_Amount > 0)', 2)} AS Avg_Loan,
             {rnd('(avg(Default_Status) FILTER (WHERE Loan_Amount > 0)) * 100', 2)} AS Loan_Default_Pct,
             {rnd('avg(Debt_to_Income_Ratio) FILTER (WHERE Loan_Amount > 0)', 3)} AS Avg_Loan_DTI FROM bank"""),
@@ -234,9 +234,9 @@ def statements() -> dict[str, str]:
         "loanpage_status_counts": counts("Loan_Status", "Status", "lend"),
         "loanpage_amount_hist": hist("Loan_Amount", 40, "lend"),
         "loanpage_dti_hist": hist("Debt_to_Income_Ratio", 40, "lend"),
-        "loanpage_top_states": """SELECT State, CAST(sum(Loan_Amount) AS BIGINT) AS Loan_Amount,
-            CAST(sum(Loan_Amount) AS BIGINT) / 1e7::DOUBLE AS Loan_Cr,
-            printf('₹%.1fCr', CAST(sum(Loan_Amount) AS BIGINT) / 1e7::DOUBLE) AS Text
+        "loanpage_top_states": """SELECT State, sum(Loan_Amount) AS Loan_Amount,
+            sum(Loan_Amount) / 1e7::DOUBLE AS Loan_Cr,
+            printf('₹%.1fCr', sum(Loan_Amount) / 1e7::DOUBLE) AS Text
             FROM lend GROUP BY State ORDER BY 2 DESC, 1 LIMIT 10""",
     }
     dash = {

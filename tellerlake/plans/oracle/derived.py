@@ -55,7 +55,7 @@ def statements() -> dict[str, str]:
         "scale_crore": per(f"{rnd('Loan_Amount / 1e7', 2)} AS Loan_Crore, "
                            f"{rnd('Account_Balance / 1e7', 2)} AS Balance_Crore"),
         "derive_loan_fields": per("""CAST(floor(Loan_Amount / (greatest(Loan_Tenure, 1) * 1.0::DOUBLE)) AS BIGINT)
-            AS EMI, Transaction_Amount // greatest(Transaction_Count, 1) AS Average_Transaction_Value,
+            AS EMI, CAST(floor(Transaction_Amount / greatest(Transaction_Count, 1)) AS BIGINT) AS Average_Transaction_Value,
             CASE WHEN EMI > 0 THEN """ + rnd("EMI / greatest(Monthly_Income, 1.0::DOUBLE)", 3)
             + " ELSE 0.0::DOUBLE END AS Debt_to_Income_Ratio"),
         "score_risk_rules": per(f"""{POINTS} / 10.0::DOUBLE AS Risk_Score,

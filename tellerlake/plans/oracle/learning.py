@@ -78,7 +78,7 @@ def statements() -> dict[str, str]:
             Tenure_Years, Loan_Amount, EMI, Monthly_Expenses, Missed_Payments, Late_Payments, Transaction_Count,
             Transaction_Amount, Number_of_Products, Complaints, Customer_Satisfaction, Existing_Loans,
             Online_Banking_Usage, Mobile_Banking_Usage, ATM_Usage, Branch_Visits, Gender, Occupation, Account_Type,
-            Transaction_Amount // greatest(Transaction_Count, 1) AS Average_Transaction_Value,
+            CAST(floor(Transaction_Amount / greatest(Transaction_Count, 1)) AS BIGINT) AS Average_Transaction_Value,
             CASE WHEN EMI > 0 THEN """ + rnd("EMI / greatest(Monthly_Income, 1.0::DOUBLE)", 3) + """
             ELSE 0.0::DOUBLE END AS Debt_to_Income_Ratio, Complaints + 1 AS Support_Calls,
             1 AS Credit_Card_Usage, 1 AS Debit_Card_Usage, 7 AS Days_Since_Transaction FROM bank"""),

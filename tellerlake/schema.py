@@ -10,12 +10,12 @@ ORDINAL = "_seq"
 # The column order and types of the customer table.
 _CLEAN_COLUMNS = """
 Customer_ID string, Age double, Gender string, City string, State string,
-Occupation string, Account_Type string, Account_Balance bigint,
+Occupation string, Account_Type string, Account_Balance double,
 Monthly_Income double, Credit_Score double, Tenure_Years bigint,
-Number_of_Products bigint, Loan_Status string, Loan_Amount bigint,
-Loan_Tenure bigint, EMI bigint, Monthly_Expenses bigint,
-Transaction_Count bigint, Transaction_Amount bigint,
-Average_Transaction_Value bigint, Online_Banking_Usage int,
+Number_of_Products bigint, Loan_Status string, Loan_Amount double,
+Loan_Tenure bigint, EMI double, Monthly_Expenses double,
+Transaction_Count bigint, Transaction_Amount double,
+Average_Transaction_Value double, Online_Banking_Usage int,
 Mobile_Banking_Usage int, ATM_Usage bigint, Branch_Visits bigint,
 Credit_Card_Usage int, Debit_Card_Usage int, Missed_Payments bigint,
 Late_Payments bigint, Existing_Loans bigint, Debt_to_Income_Ratio double,
@@ -45,6 +45,10 @@ RAW_COLUMNS = [c for c in CLEAN_SCHEMA.names if c != "Days_Since_Transaction"]
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
 # Which columns the cleaning rules treat as what.
+MONEY_COLUMNS = [
+    "Account_Balance", "Monthly_Income", "Loan_Amount", "EMI",
+    "Monthly_Expenses", "Transaction_Amount", "Average_Transaction_Value",
+]
 NUMERIC_COLUMNS = [
     "Age", "Account_Balance", "Monthly_Income", "Credit_Score", "Tenure_Years",
     "Number_of_Products", "Loan_Amount", "Loan_Tenure", "EMI",

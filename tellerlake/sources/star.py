@@ -1,6 +1,6 @@
 """Derive the customer table from a sales star schema, and a raw, dirty copy of it.
 
-Money stays in whole numbers and every share is computed from whole numbers, so
+Money is drawn in whole numbers and every share is computed from whole numbers, so
 the result does not depend on partitioning.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.buckets import first_match
-from ..schema import CLEAN_SCHEMA, ORDINAL, RAW_COLUMNS
+from ..schema import CLEAN_SCHEMA, MONEY_COLUMNS, ORDINAL, RAW_COLUMNS
 
 AS_OF = "2024-12-31"
 
@@ -169,7 +169,7 @@ def with_defects(clean: DataFrame) -> DataFrame:
     def damaged(df: DataFrame) -> DataFrame:
         k = c("k")
         text = {n: c(n).cast("string") for n in RAW_COLUMNS}
-        for n in ("Age", "Monthly_Income", "Credit_Score"):
+        for n in ("Age", "Credit_Score", *MONEY_COLUMNS):
             text[n] = c(n).cast("bigint").cast("string")
         text["Age"] = (F.when(k % 200 == 3, None).when(k % 200 == 53, "abc")
                        .when(k % 200 == 103, "150").otherwise(text["Age"]))

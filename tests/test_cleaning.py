@@ -95,6 +95,17 @@ def test_cleaning_is_idempotent(spark, bank):
     assert not cleaning.null_census(once).collect()
 
 
+def test_money_keeps_its_fraction(spark):
+    df = raw(spark, {"Account_Balance": "1234.56", "EMI": "104.50", "Loan_Amount": "10.25", "ATM_Usage": "2.9"},
+             {"Account_Balance": None, "EMI": None}, {"Account_Balance": "1000.1", "Complaints": "1e20"})
+    got = {r.Customer_ID: r for r in cleaning.clean_customers(df).collect()}
+    first, second, third = (got[f"CUST00000{i}"] for i in range(3))
+    assert (first.Account_Balance, first.EMI, first.Loan_Amount, first.ATM_Usage) == (1234.56, 104.5, 10.25, 2)
+    assert first.Debt_to_Income_Ratio == 0.104  # of the whole instalment; the tie goes to even
+    assert (second.Account_Balance, second.EMI) == ((1234.56 - 1000.1) * 0.5 + 1000.1, 0.0)
+    assert (third.Account_Balance, third.Complaints) == (1000.1, 0)
+
+
 def test_raw_file_order_is_kept(spark, tmp_path):
     rows = raw(spark, {"Customer_ID": "A", "Age": "20"}, {"Customer_ID": "B"}, {"Customer_ID": "A", "Age": "30"})
     path = str(tmp_path / "raw")
@@ -139,8 +150,8 @@ def test_columns_are_read_by_name(spark, tmp_path):
 
 def test_text_that_fits_no_type_is_named(spark, tmp_path):
     path = str(tmp_path / "bad")
-    files.write_csv(raw(spark, {"EMI": "12.5"}).drop("_seq").withColumn("Days_Since_Transaction", F.lit(1)), path)
-    with pytest.raises(Exception, match="EMI: not a bigint: 12.5"):
+    files.write_csv(raw(spark, {"EMI": "12.5", "ATM_Usage": "12.5"}).drop("_seq").withColumn("Days_Since_Transaction", F.lit(1)), path)
+    with pytest.raises(Exception, match="ATM_Usage: not a bigint: 12.5"):
         files.read_customers_csv(spark, path).collect()
 
 
