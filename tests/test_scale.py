@@ -43,13 +43,16 @@ def test_customer_joins_need_no_exchange(no_broadcast, bucketed, operator):
     assert below.count("SelectedBucketsCount: 4 out of 4") == below.count("FileScan") > 1
 
 
-def test_lines_collapse_before_the_join(no_broadcast):
-    text = plan(star.customer_table(no_broadcast, SMALL))
-    lines = text[text.index("SortMergeJoin [o_orderkey"):]
-    assert lines.count("partial_count(1)") == 1
+def test_line_items_move_once(no_broadcast):
+    text = plan(star.activity(*star.read_star(no_broadcast, SMALL, "orders", "lineitem")))
+    joined = text[text.index("SortMergeJoin [o_orderkey"):]
+    lines = joined[joined.index("Exchange hashpartitioning(l_orderkey"):]
+    assert lines.count("Exchange") == 1
     assert "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string,l_linestatus:string,l_shipdate" in lines
-    per_order = text[:text.index("SortMergeJoin [o_orderkey")].rsplit("Exchange", 1)[1]
-    assert "partial_count(1)" in per_order  # no exchange between the join and the customer totals
+    totals = text[:text.index("SortMergeJoin [o_orderkey")].rsplit("Exchange", 1)[1]
+    assert "partial_count(1)" in totals  # lines are summed per customer before they move again
+    top = text[text.index("SortMergeJoin [o_custkey"):text.index("SortMergeJoin [o_orderkey")]
+    assert top.count("Exchange") == 2  # one for each sum by customer, none for joining them
 
 
 @pytest.mark.parametrize("key", sorted({**catalog.CORPUS, **catalog.DERIVED, **catalog.PACKS,
