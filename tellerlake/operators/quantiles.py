@@ -9,14 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut
 
 ACCURACY = 20_000  # rank error of the sketch is at most rows / ACCURACY
-SMALL = 1_000  # below this many values a column is counted whole
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -28,38 +26,40 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     serves any number of them. ``df`` is read three times (sketch, rows below
     each bracket, values inside), so pass a stored table rather than a long plan.
 
-    The bracket of a rank spans six sketch errors to either side, about
-    ``12 / accuracy`` of the rows (2 % where there are fewer than ``accuracy``);
-    the plan fails rather than answer wrongly should a rank lie outside.
+    The bracket of a rank reaches ``6 / accuracy`` of the rows and two rows more to either
+    side, at any number of rows. Should a rank lie outside all the same, all brackets are
+    widened eightfold and counted again. Building the frame therefore runs two jobs over
+    ``df``: they store the brackets and the rows below each, one row per group and column.
     """
     by, groups = list(by), [f"_g{i}" for i in range(len(by))]
     ranks = range(len(probs))
-    ends = ", ".join(str(min(max(p + s * pad, 0.0), 1.0)) + "D"
-                     for pad in (6.0 / accuracy, 0.01) for p in probs for s in (-1, 1))
-    size = 2 * len(probs)
     data = df.select(
         *[F.col(b).alias(g) for b, g in zip(by, groups)],
         *[F.col(c).cast("double").alias(c) for c in columns],
     ).unpivot(groups, list(columns), "_c", "_v")
 
-    # Low and high end per rank; wider, in ranks, where a column has few values.
-    sketch = data.groupBy(*groups, "_c").agg(F.expr(f"""
-        CASE WHEN count(_v) >= {accuracy}
-               THEN slice(percentile_approx(_v, array({ends}), {accuracy}), 1, {size})
-             WHEN count(_v) >= {SMALL}
-               THEN slice(percentile_approx(_v, array({ends}), {accuracy}), {size + 1}, {size})
-             ELSE flatten(array_repeat(array(min(_v), max(_v)), {len(probs)})) END AS _b"""))
-    # Stored, so that its true size decides between broadcast and shuffle join.
-    brackets = cut(sketch, "quantile-brackets")
-    data = _same_group(data, brackets, groups, "_c")
-
-    below = data.groupBy(*groups, "_c").agg(
-        F.expr("count(_v) AS _n"),
-        F.expr("array(" + ", ".join(f"count_if(_v < _b[{2 * j}])" for j in ranks) + ") AS _under"))
-    inside = " OR ".join(f"_v BETWEEN _b[{2 * j}] AND _b[{2 * j + 1}]" for j in ranks)
+    within = lambda j: f"_v BETWEEN _b[{2 * j}] AND _b[{2 * j + 1}]"
+    position = lambda j: f"(_n - 1) * {float(probs[j])}D"
+    pad, misses, plain = 6.0 / accuracy, True, data
+    while misses:
+        # Stored, so that its true size decides between broadcast and shuffle join.
+        brackets = cut(plain.groupBy(*groups, "_c").agg(
+            F.expr(_brackets(probs, pad, accuracy)).alias("_b")), "quantile-brackets")
+        data = _same_group(plain, brackets, groups, "_c")
+        below = cut(data.groupBy(*groups, "_c").agg(
+            F.expr("count(_v) AS _n"),
+            F.expr("array(" + ", ".join(f"count_if(_v < _b[{2 * j}])" for j in ranks) + ") AS _under"),
+            F.expr("array(" + ", ".join(f"count_if({within(j)})" for j in ranks) + ") AS _in")),
+            "quantile-counts")
+        misses = pad < 1 and not below.where("_n > 0 AND (" + " OR ".join(
+            f"_under[{j}] > floor({position(j)}) OR _under[{j}] + _in[{j}] <= ceil({position(j)})"
+            for j in ranks) + ")").isEmpty()
+        pad *= 8
+
+    inside = " OR ".join(within(j) for j in ranks)
     values = data.where(inside).groupBy(*groups, "_c", "_v").agg(F.expr("count(1) AS _m"))
 
-    hits = ", ".join(f"if(_v BETWEEN _b[{2 * j}] AND _b[{2 * j + 1}], {j}, NULL)" for j in ranks)
+    hits = ", ".join(f"if({within(j)}, {j}, NULL)" for j in ranks)
     values = _same_group(values, brackets, groups, "_c").select(
         *groups, "_c", "_v", "_m", F.expr(f"explode(array_compact(array({hits}))) AS _t"))
     wanted = below.select(*groups, "_c", "_n", F.expr("posexplode(_under) AS (_t, _below)"))
@@ -76,9 +76,23 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.expr("min(if(_cum > ceil(_pos), _v, NULL)) AS _v1"))
     return found.select(
         *[F.col(g).alias(b) for b, g in zip(by, groups)], F.col("_c").alias("column"), "prob",
-        F.expr("""CASE WHEN _n > 0 AND (_below > floor(_pos) OR _v1 IS NULL)
-                       THEN CAST(raise_error('quantile outside its bracket') AS DOUBLE)
-                       ELSE _v0 + (_v1 - _v0) * (_pos - floor(_pos)) END AS value"""))
+        F.expr("_v0 + (_v1 - _v0) * (_pos - floor(_pos)) AS value"))
+
+
+def _brackets(probs: Sequence[float], pad: float, accuracy: int) -> str:
+    """Low and high end per rank: the sketch's values ``pad`` and two rows to either side.
+
+    A sketch wants its fractions fixed, so it is asked for pads that double, and the first
+    that is wide enough for the count is taken; the last reaches from end to end.
+    """
+    pads = [pad]
+    while pads[-1] < 1:
+        pads.append(pads[-1] * 2)
+    ends = ", ".join(str(min(max(p + s * w, 0.0), 1.0)) + "D" for w in pads for p in probs for s in (-1, 1))
+    size = 2 * len(probs)
+    which = "CASE " + " ".join(
+        f"WHEN {w - pad}D * count(_v) >= 2 THEN {k}" for k, w in enumerate(pads)) + f" ELSE {len(pads) - 1} END"
+    return f"slice(percentile_approx(_v, array({ends}), {accuracy}), {size} * ({which}) + 1, {size})"
 
 
 def _same_group(left: DataFrame, right: DataFrame, groups: Sequence[str],
@@ -98,26 +112,23 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (),
-                   descending: bool = False, slices: int = 64) -> DataFrame:
+                   descending: bool = False) -> DataFrame:
     """Add ``<name>_upto``, the total from the first row up to this one, and ``<name>_next``.
 
-    Rows must be unique per ``by`` and ``order``; ``_next`` is null on the last
-    row of a group. The range of ``order`` is cut into slices of about equal row
-    counts, each slice is summed by its own task, and what crosses a slice border
-    (``slices`` rows per group) is carried over. ``df`` is read more than once:
-    pass a stored table.
+    Rows must be unique per ``by`` and ``order``; ``_next`` is null on the last row of a
+    group. Spark deals the rows by ranges of ``by`` and ``order`` taken from a sample, so the
+    slices are even within every group and their number follows the size and the shuffle
+    partitions. Each slice is summed by itself, and what crosses a border (one row per group
+    and slice) is carried over. ``df`` is sampled before it is dealt: pass a stored table.
     """
     by = list(by)
-    fractions = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(
-        F.col(order).cast("double"), F.array(*[F.lit(f) for f in fractions]), 10_000)).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol="_order", outputCol="_slice").transform(
-        df.withColumn("_order", F.col(order).cast("double")))
+    # stored, because a slice is named by the task that wrote it
+    sliced = cut(df.repartitionByRange(*by, order).withColumn("_slice", F.spark_partition_id()),
+                 "ordered-slices")
     direction, first_by = (F.desc, F.max_by) if descending else (F.asc, F.min_by)
     total = sliced.groupBy(*by, "_slice").agg(
         *[F.sum(s).alias(f"_all_{s}") for s in sums],
-        *[first_by(s, "_order").alias(f"_first_{s}") for s in sums])
+        *[first_by(s, order).alias(f"_first_{s}") for s in sums])
     along = Window.partitionBy(*by).orderBy(direction("_slice"))
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     carried = total.select(
@@ -127,7 +138,7 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str], by: Sequence[
         *[F.lead(f"_first_{s}").over(along).alias(f"_after_{s}") for s in sums])
     match = [sliced[b].eqNullSafe(carried[f"_by{i}"]) for i, b in enumerate(by)]
     joined = sliced.join(carried, [*match, sliced["_slice"] == carried["_slice_of"]])
-    within = Window.partitionBy(*by, "_slice").orderBy(direction("_order"))
+    within = Window.partitionBy(*by, "_slice").orderBy(direction(order))
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(
         *df.columns,

@@ -56,6 +56,34 @@ def test_median_of_every_size(spark, n):
     assert quantiles.exact_quantiles(df, ["v"], [0.5], accuracy=50).first()["value"] == want
 
 
+def test_ranks_outside_their_brackets_are_searched_again(spark, monkeypatch):
+    """A sketch that answers with one value brackets nothing at first."""
+    whole = quantiles._brackets
+    monkeypatch.setattr(quantiles, "_brackets", lambda probs, pad, accuracy: whole(
+        probs, pad, accuracy) if pad > 0.1 else f"array_repeat(min(_v), {2 * len(probs)})")
+    df = spark.range(1001).select(F.col("id").cast("double").alias("v"))
+    got = [r["value"] for r in quantiles.exact_quantiles(df, ["v"], [0.25, 0.5], accuracy=200).collect()]
+    assert sorted(got) == [250.0, 500.0]
+
+
+def test_slices_are_even_in_a_narrow_group(spark):
+    """A group whose values lie close together is cut like any other."""
+    df = spark.range(20_000).select(
+        (F.col("id") % 2).alias("g"), F.lit(1).alias("m"),
+        F.when(F.col("id") % 2 == 0, F.col("id") * 1e-9).otherwise(F.col("id")).cast("double").alias("k"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = quantiles.running_totals(df, "k", ["m"], by=["g"])
+        totals = {r.g: r.top for r in out.groupBy("g").agg(F.max("m_upto").alias("top")).collect()}
+        assert totals == {0: 10_000, 1: 10_000}
+        stored = [r[1] for r in quantiles.cut(df.repartitionByRange("g", "k").withColumn(
+            "s", F.spark_partition_id()), "even").groupBy("s").count().collect()]
+        assert len(stored) == 8 and max(stored) < 4_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals(spark, descending):
     rng = random.Random(3)
@@ -63,7 +91,7 @@ def test_running_totals(spark, descending):
     rows = [(g, float(k), rng.randint(0, 5)) for g, ks in keys.items() for k in ks]
     df = spark.createDataFrame(rows, "g string, k double, m int").repartition(8).cache()
     got = {(r.g, r.k): (r.m_upto, r.m_next) for r in quantiles.running_totals(
-        df, "k", ["m"], by=["g"], descending=descending, slices=16).collect()}
+        df, "k", ["m"], by=["g"], descending=descending).collect()}
     assert len(got) == len(rows)
     for g in keys:
         part = sorted((r for r in rows if r[0] == g), key=lambda r: r[1], reverse=descending)
