@@ -72,8 +72,8 @@ def test_one_scan(spark, bank, key):
 
 def test_filter_and_columns_reach_the_scan(spark, bank):
     text = plan(catalog.all_queries()["loan_totals"](spark, SMALL))
-    assert "GreaterThan(Loan_Amount,0)" in text
-    assert re.search(r"ReadSchema: struct<Loan_Amount:bigint,Debt_to_Income_Ratio:double>", text)
+    assert "GreaterThan(Loan_Amount,0.0)" in text
+    assert re.search(r"ReadSchema: struct<Loan_Amount:double,Debt_to_Income_Ratio:double>", text)
 
 
 def test_repeats_are_cut_before_the_exchange(spark, bank, tmp_path):
