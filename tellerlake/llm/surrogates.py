@@ -19,7 +19,7 @@ _TITLE = "|".join(TITLES.values())
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": rf"(?<![A-Za-z]){SECRET_WORDS} ?[=:] ?[\"']?[A-Za-z0-9+/_-]{{8,}}",
+    "secret": rf"(?<![A-Za-z]){SECRET_WORDS} ?[=:] ?[\"']?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{{8,}}",
     "phone": r"(?<![\w+])\+?1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
              r"|(?<![\w+(.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"
              r"|(?<![\w+])\+(?!1[ .-]?\()\d{1,3}(?:[ .-]?\(?\d{2,5}\)?){2,5}(?!\d)",
@@ -64,12 +64,41 @@ def _chars(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "(?!^)")).otherwise(F.array().cast("array<string>"))
 
 
-def _draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+def _longer(key: str, kind: Column, value: Column, attempt: Column, level: Column, drawn: Column, tail: Column) -> Column:
+    """``drawn`` with ``level`` syllables more, of its own script: a space that never runs out.
+
+    Mail gets them before its name, names before the letter that stays, numbers and secrets at the end.
+    """
+    own = F.regexp_replace(F.lower(value), r"[^\p{L}]", "")
+    digits, text = kind.isin("phone", "ssn"), kind.isin("email", "secret")
+    hexadecimal = (kind == "secret") & value.rlike("^[0-9a-f]+$")
+
+    def pool(latin: str, cyrillic: str, greek: str) -> Column:
+        return (F.when(digits, F.lit(POOLS[0])).when(hexadecimal, F.lit(HEX)).when(text, F.lit(latin))
+                .when(value.rlike(r"\p{IsCyrillic}"), F.lit(cyrillic)).when(value.rlike(r"\p{IsGreek}"), F.lit(greek))
+                .when(value.rlike(r"\p{IsLatin}") | (own == ""), F.lit(latin)).otherwise(own))
+
+    def letter(i: Column) -> Column:
+        n = F.conv(F.substring(F.sha2(F.concat_ws(
+            "|", F.lit(key), kind, value, attempt.cast("string"), F.lit("more"), i.cast("string")), 256), 1, 6), 16, 10).cast("int")
+        return bound(F.when(i % 2 == 0, pool(POOLS[2], POOLS[6], POOLS[10])).otherwise(pool(POOLS[1], POOLS[5], POOLS[9])),
+                     lambda p: F.substring(p, n % F.length(p) + 1, F.lit(1)))
+
+    more = F.array_join(F.transform(F.sequence(F.lit(0), level * 2 - 1), letter), "")
+    stays = F.when(kind.startswith("name"), tail).otherwise(F.lit(0))
+    return F.when(kind == "email", F.concat(more, drawn)).otherwise(F.concat(
+        F.substring(drawn, F.lit(1), F.length(drawn) - stays), more,
+        F.substring(drawn, F.length(drawn) - stays + 1, stays)))
+
+
+def _draw(key: str, kind: Column, value: Column, attempt: Column, rounds: int) -> Column:
     """Surrogate of a canonical value: every letter and digit gives way to one of its own pool.
 
     The choice is read off SHA-256 of key, kind, value and attempt, four hexadecimal digits a
     character. Separators, the first digit of a card, country code, the fixed head of a key
-    and the top domain of an address stay.
+    and the top domain of an address stay. From attempt ``rounds`` on, and at once where a value
+    holds nothing that could give way, the surrogate grows longer (see :func:`_longer`). The
+    forms of IP addresses, cards and keys hold 10^9 values and more and are kept.
     """
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 16).cast("int")), lambda b: F.sha2(
         F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"), b.cast("string")), 256))
@@ -99,7 +128,11 @@ def _draw(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     # a card keeps what it was: passing the check digit or not
     card = bound(drawn, lambda x: F.concat(F.substring(x, F.lit(1), size - 1), ((
         F.substring(x, size, F.lit(1)).cast("int") + 10 - _luhn(x) + _luhn(value)) % 10).cast("string")))
-    return F.when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card).otherwise(drawn)
+    level = F.when(attempt >= rounds, F.floor((attempt - rounds) / 4).cast("int") + 1).when(attempt > 0, 1).otherwise(0)
+    wider = bound(drawn, lambda x: F.when((attempt >= rounds) | ((attempt > 0) & (x == value)), _longer(
+        key, kind, value, attempt, level, x, tail)).otherwise(x))
+    return (F.when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card)
+            .when(kind == "key", drawn).otherwise(wider))
 
 
 def _luhn(digits: Column) -> Column:
@@ -116,7 +149,8 @@ def _laid_out(kind: Column, entity: Column, surrogate: Column) -> Column:
                     F.concat(F.lit("1"), surrogate)).otherwise(surrogate)
     poured = F.aggregate(_chars(entity), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), lambda a, c: F.when(
         c.rlike(r"\d"), F.struct(F.concat(a["s"], F.substring(digits, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))
-    ).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))), lambda a: a["s"])
+    ).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k"))), lambda a: F.concat(
+        a["s"], F.substring(digits, a["k"], F.length(digits))))  # a longer surrogate goes on behind
     return (F.when(kind.isin("phone", "card", "ssn"), poured)
             .when((kind == "email") & (entity == F.upper(entity)), F.upper(surrogate)).otherwise(surrogate))
 
@@ -125,11 +159,13 @@ def entity_map(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """(kind, value, surrogate) for distinct ``entities(kind, value)``: no two alike, none real.
 
     A surrogate that is a real value of its kind, or that another value drew earlier (lower
-    attempt, then lower value), is drawn again with the next attempt until none is left.
+    attempt, then lower value), is drawn again with the next attempt until none is left. After
+    ``rounds`` attempts a value leaves its own form for longer ones, so the loop settles however
+    small a form is.
     """
     values = cut(entities.distinct().withColumn("attempt", F.lit(0)), "entities")
-    state = values.withColumn("surrogate", _draw(key, F.col("kind"), F.col("value"), F.col("attempt")))
-    for _ in range(rounds):
+    state = values.withColumn("surrogate", _draw(key, F.col("kind"), F.col("value"), F.col("attempt"), rounds))
+    while True:
         state = cut(state, "surrogates")
         real = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         first = state.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"))
@@ -140,8 +176,7 @@ def entity_map(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
             return state.select("kind", "value", "surrogate")
         again = F.col("attempt") + F.col("clash").cast("int")
         state = judged.select("kind", "value", again.alias("attempt"), F.when(
-            F.col("clash"), _draw(key, F.col("kind"), F.col("value"), again)).otherwise(F.col("surrogate")).alias("surrogate"))
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
+            F.col("clash"), _draw(key, F.col("kind"), F.col("value"), again, rounds)).otherwise(F.col("surrogate")).alias("surrogate"))
 
 
 def pseudonymise(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
@@ -150,7 +185,8 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     Mail and IP addresses, phone and card numbers, social security numbers, access keys and
     names after a title are found by pattern. Equal entities get equal surrogates throughout
     the corpus and different ones different surrogates (see :func:`entity_map`), which keep
-    kind, layout, script, case and length (IP addresses: only the form). Each part of a name
+    kind, layout, script, case and length (IP addresses: only the form; a value whose form is used
+    up gets a longer one). Values without a letter or digit are no secrets. Each part of a name
     is replaced by itself, so "Ms Ada Byron" and "Ms Byron" agree; the last letter stays where
     a title tells the gender. Text around entities is untouched.
 
