@@ -1,4 +1,4 @@
-"""Benchmark decontamination by spaced seeds: DataFrame and SQL functions only."""
+"""Benchmark decontamination by runs of words that no accepted pair can lack: DataFrame and SQL functions only."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-#: Positions that count within a window of words; the others may hold anything. The longest first.
+#: Masks of the check statement only: positions that count within a window of words.
 MASKS = ("1101100110011", "1100011011")
 WINDOW, PERCENT = 20, 80
 BROADCAST_ROWS = 2_000_000  # seeds of a benchmark up to 2 million words: about 60 MB
@@ -44,41 +44,59 @@ def _seeds_of(words: Column, pairs: Column, masks: Sequence[str]) -> Column:
             at += 1 + two
         return F.xxhash64(*parts)
 
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - len(masks[0]) + 1, F.lit(0)))
+    # near the end the longer masks hash fewer words: candidates more, which the comparison drops
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - min(map(len, masks)) + 1, F.lit(0)))
     return F.transform(starts, lambda _, i: F.array(*[value(m, i) for m in masks]))
 
 
-def _exploded(of: DataFrame, key: str, words: Column, masks: Sequence[str]) -> DataFrame:
-    """(key, at, seed): a seed says which mask made it, as masks differ in what they hash."""
+def run_length(words: int, window: int = WINDOW, percent: int = PERCENT) -> int:
+    """Words in a row that every accepted overlay of an item of ``words`` words agrees in.
+
+    ``agree`` words of a window agree and the ``wide - agree`` others cut them into at most one
+    part more than that, so one part has the mean length or more.
+    """
+    wide = min(words, window)
+    agree = -(-wide * percent // 100)
+    return -(-agree // (wide - agree + 1))
+
+
+def _exploded(of: DataFrame, keys: Sequence[str], words: Column, masks: Sequence[str]) -> DataFrame:
+    """(*keys, at, seeds): for every start one seed per mask, which says the mask that made it."""
     # the outer form keeps Spark from computing the array a second time for a filter
-    rows = of.select(key, F.posexplode_outer(_seeds(words, masks)).alias("at", "seeds"))
-    return rows.select(key, "at", F.explode_outer("seeds").alias("seed"))
+    return of.select(*keys, F.posexplode_outer(_seeds(words, masks)).alias("at", "seeds"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS,
-                 window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, matched, window): documents that hold a passage of a benchmark item.
 
-    Words at the counting positions of each mask are hashed at every start, in documents
-    and items; equal hashes put a document and an item on a diagonal. There the item is laid
-    over the document and words are compared one to one: a pair is reported when some
-    ``window`` words in a row (the whole item, if shorter) agree in ``percent`` or more, so
-    replaced words are tolerated. ``matched`` is the best count of agreeing words.
+    A pair is reported when some ``window`` words in a row (the whole item, if shorter) agree
+    in ``percent`` or more with the document's words at one shift, so replaced words are
+    tolerated. ``matched`` is the best count of agreeing words. Whatever words are replaced, some
+    :func:`run_length` words in a row agree (4 for 20 words, 3 for 15): such runs are hashed at
+    every start, in documents and items, and equal hashes put a document and an item on a
+    diagonal. There words are compared one to one. So no pair is missed.
 
-    Items shorter than a mask hold no seed and match nothing, likewise null or empty texts.
+    Items of any length count, down to one word; null or empty texts match nothing.
     Repeated items are reported each; repeated doc_ids give one row. Rows with a null id are
     left out (nothing could name them). Empty tables give no rows; other columns are ignored.
 
     The seeds of the benchmark are broadcast only where their count, taken first, is at most
     ``BROADCAST_ROWS``; a larger benchmark is joined by hash partitions.
     """
-    span = len(masks[0])
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item")
-                             ).where("item_id IS NOT NULL").distinct()
-    item_seeds = _exploded(items, "item_id", F.col("item"), masks).withColumnRenamed("at", "item_at")
+                             ).where("item_id IS NOT NULL AND size(item) > 0").distinct()
+    runs = F.element_at(F.array(*[F.lit(run_length(n, window, percent)) for n in range(1, window + 1)]),
+                        F.least(F.size("item"), F.lit(window)))
+    items = items.withColumn("run", runs)
+    lengths = sorted((r.run for r in items.select("run").distinct().collect()), reverse=True) or [1]
+    masks = ["1" * n for n in lengths]
+    own = F.get("seeds", F.array_position(F.array(*map(F.lit, lengths)), F.col("run")).cast("int") - 1)
+    item_seeds = _exploded(items, ["item_id", "run"], F.col("item"), masks).where("seeds IS NOT NULL").select(
+        "item_id", F.col("at").alias("item_at"), own.alias("seed")).distinct()
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                         ).where("doc_id IS NOT NULL")
-    doc_seeds = _exploded(words, "doc_id", word_hashes(F.col("text")), masks)
+    doc_seeds = _exploded(words, ["doc_id"], word_hashes(F.col("text")), masks).select(
+        "doc_id", "at", F.explode_outer("seeds").alias("seed"))
     few = item_seeds.count() <= BROADCAST_ROWS
     # stored: both the choice of texts and the comparison read them
     hits = cut(doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed").select(
@@ -93,15 +111,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     best = bound(F.col("agree"), lambda bits: F.array_max(F.transform(
         F.sequence(F.lit(1), F.size("item") - wide + 1),
         lambda at: F.aggregate(F.slice(bits, at, wide), F.lit(0), lambda x, y: x + y))))
-    scored = laid.select("doc_id", "item_id", "item", agree.alias("agree")).where(
-        F.size("item") >= span).select(
+    scored = laid.select("doc_id", "item_id", "item", agree.alias("agree")).select(
         "doc_id", "item_id", best.alias("matched"), wide.alias("window"))
     return scored.where(F.col("matched") * 100 >= F.col("window") * percent).groupBy("doc_id", "item_id").agg(
         F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
 
 
 def statement(masks: Sequence[str] = MASKS, window: int = WINDOW, percent: int = PERCENT) -> str:
-    """DuckDB SQL for the rows of :func:`contaminated` over ``documents`` and ``benchmark``."""
+    """DuckDB SQL for the rows of :func:`contaminated` over ``documents`` and ``benchmark``.
+
+    It still looks at pairs that share a seed of ``masks``, so it may lack pairs with many replaced
+    words and of short items.
+    """
     span = len(masks[0])
     seeds = " UNION ALL ".join(
         f"SELECT id, s AS at, {k} AS mask, [" + ", ".join(
