@@ -11,15 +11,16 @@ from .scratch import cut
 # Titles before a name, by the gender they tell.
 TITLES = {"f": "Mrs|Ms|Miss|Frau|Mme|Madame|Mlle|Sra|Señora|Srta|Госпожа|Κυρία",
           "m": "Mr|Herr|Monsieur|Sr|Señor|Господин|Κύριος", "u": "Dr|Prof"}
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-SECRET_WORDS = "(?:password|passwd|token|secret|api_?key)"
+_NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))+"  # without a possessive 's
+SECRET_WORDS = "(?i:password|passwd|token|secret|api_?key)"
+_SIGN = "[\"']? ?[=:] ?[\"']?"  # a quote before it in JSON
 _TITLE = "|".join(TITLES.values())
 
 #: Kinds of entities in order of precedence. Keys and names are matched with the word before them.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": rf"(?<![A-Za-z]){SECRET_WORDS} ?[=:] ?[\"']?(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{{8,}}",
+    "secret": rf"(?<![A-Za-z]){SECRET_WORDS}{_SIGN}(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{{8,}}",
     "phone": r"(?<![\w+])\+?1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
              r"|(?<![\w+(.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"
              r"|(?<![\w+])\+(?!1[ .-]?\()\d{1,3}(?:[ .-]?\(?\d{2,5}\)?){2,5}(?!\d)",
@@ -30,7 +31,8 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What an entity has in it: literal parts, and digits in a row. Cheap tests before the patterns.
-HINTS = ("@", "AKIA", "password", "passwd", "token", "secret", "api", *_TITLE.split("|"))
+HINTS = ("@", "AKIA", *_TITLE.split("|"))
+SECRET_HINTS = ("passw", "token", "secret", "api")  # in lower case
 DIGITS = r"\d[ .()-]{0,2}\d[ .()-]{0,2}\d"
 
 
@@ -38,6 +40,9 @@ def _hinted(text: Column) -> Column:
     found = text.rlike(DIGITS)
     for hint in HINTS:
         found = found | text.contains(hint)
+    lower = F.lower(text)
+    for hint in SECRET_HINTS:
+        found = found | lower.contains(hint)
     return found
 
 
@@ -91,11 +96,11 @@ def _longer(key: str, kind: Column, value: Column, attempt: Column, level: Colum
         F.substring(drawn, F.length(drawn) - stays + 1, stays)))
 
 
-def _draw(key: str, kind: Column, value: Column, attempt: Column, rounds: int) -> Column:
+def _draw(key: str, kind: Column, value: Column, attempt: Column, last: Column, rounds: int) -> Column:
     """Surrogate of a canonical value: every letter and digit gives way to one of its own pool.
 
     The choice is read off SHA-256 of key, kind, value and attempt, four hexadecimal digits a
-    character. Separators, the first digit of a card, country code, the fixed head of a key
+    character. The ``last`` characters, separators, the first digit of a card, country code, the fixed head of a key
     and the top domain of an address stay. From attempt ``rounds`` on, and at once where a value
     holds nothing that could give way, the surrogate grows longer (see :func:`_longer`). The
     forms of IP addresses, cards and keys hold 10^9 values and more and are kept.
@@ -103,8 +108,7 @@ def _draw(key: str, kind: Column, value: Column, attempt: Column, rounds: int) -
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 16).cast("int")), lambda b: F.sha2(
         F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"), b.cast("string")), 256))
     hexadecimal = (kind == "secret") & value.rlike("^[0-9a-f]+$")
-    tail = F.when(kind == "email", F.length(F.substring_index(value, ".", -1)) + 1).when(kind == "name_f", F.lit(1)
-                  ).when(kind == "name_m", F.lit(1)).otherwise(F.lit(0))
+    tail = F.when(kind == "email", F.length(F.substring_index(value, ".", -1)) + 1).otherwise(last)
     head = F.when(kind == "key", 4).when(kind == "card", 1).otherwise(0)
     us_phone = (kind == "phone") & value.rlike(r"^\d{10}$")
     size = F.length(value)
@@ -156,27 +160,30 @@ def _laid_out(kind: Column, entity: Column, surrogate: Column) -> Column:
 
 
 def entity_map(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
-    """(kind, value, surrogate) for distinct ``entities(kind, value)``: no two alike, none real.
+    """(kind, value, surrogate) for ``entities(kind, value)``: no two alike, none real.
 
     A surrogate that is a real value of its kind, or that another value drew earlier (lower
     attempt, then lower value), is drawn again with the next attempt until none is left. After
     ``rounds`` attempts a value leaves its own form for longer ones, so the loop settles however
-    small a form is.
+    small a form is. An optional column ``last`` says how many last characters stay.
     """
-    values = cut(entities.distinct().withColumn("attempt", F.lit(0)), "entities")
-    state = values.withColumn("surrogate", _draw(key, F.col("kind"), F.col("value"), F.col("attempt"), rounds))
+    if "last" not in entities.columns:
+        entities = entities.withColumn("last", F.when(F.col("kind").isin("name_f", "name_m"), 1).otherwise(0))
+    kind, value, attempt, last = (F.col(c) for c in ("kind", "value", "attempt", "last"))
+    values = cut(entities.groupBy("kind", "value").agg(F.max("last").alias("last")).withColumn("attempt", F.lit(0)), "entities")
+    state = values.withColumn("surrogate", _draw(key, kind, value, attempt, last, rounds))
     while True:
         state = cut(state, "surrogates")
         real = values.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
         first = state.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"))
         judged = state.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         clash = F.coalesce("real", F.lit(False)) | (F.struct("attempt", "value") != F.col("first"))
-        judged = judged.select("kind", "value", "attempt", "surrogate", clash.alias("clash"))
+        judged = judged.select("kind", "value", "last", "attempt", "surrogate", clash.alias("clash"))
         if not judged.where("clash").head(1):
             return state.select("kind", "value", "surrogate")
-        again = F.col("attempt") + F.col("clash").cast("int")
-        state = judged.select("kind", "value", again.alias("attempt"), F.when(
-            F.col("clash"), _draw(key, F.col("kind"), F.col("value"), again, rounds)).otherwise(F.col("surrogate")).alias("surrogate"))
+        again = attempt + F.col("clash").cast("int")
+        state = judged.select("kind", "value", "last", again.alias("attempt"), F.when(
+            F.col("clash"), _draw(key, kind, value, again, last, rounds)).otherwise(F.col("surrogate")).alias("surrogate"))
 
 
 def pseudonymise(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
@@ -187,8 +194,10 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     the corpus and different ones different surrogates (see :func:`entity_map`), which keep
     kind, layout, script, case and length (IP addresses: only the form; a value whose form is used
     up gets a longer one). Values without a letter or digit are no secrets. Each part of a name
-    is replaced by itself, so "Ms Ada Byron" and "Ms Byron" agree; the last letter stays where
-    a title tells the gender. Text around entities is untouched.
+    is replaced by itself, whatever title stands before it, so "Ms Ada Byron", "Dr Ada" and "Ms Byron" agree;
+    the last letter of a given name stays if a title tells its gender anywhere. Where a text has a
+    name after a title, all further mentions of the name's parts in it, as whole words in the same
+    case, are replaced likewise and counted. Text around entities is untouched.
 
     Null and empty texts and texts without entities come back as they are. Ids are not used,
     so null and repeated ids are no matter; equal texts get equal results. Columns called
@@ -208,28 +217,48 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
         "_text", "at", "entity", _kind(entity).alias("kind"))
     # an entity in words: those of a name, or what stands before a secret and the secret
     cuts = F.when(F.col("kind") == "name", r"(?<=[  ])").when(
-        F.col("kind") == "secret", rf"(?<={SECRET_WORDS} ?[=:] ?[\"']?)(?![ \"'=:])(?=[A-Za-z0-9+/_-]{{8,}}$)").otherwise("$^")
+        F.col("kind") == "secret", rf"(?<={SECRET_WORDS}{_SIGN})(?![ \"'=:])(?=[A-Za-z0-9+/_-]{{8,}}$)").otherwise("$^")
     words = parts.withColumn("words", F.split(entity, cuts)).select(
         "_text", "at", F.posexplode("words").alias("word_at", "word"), "kind", F.size("words").alias("n"),
         F.coalesce(*[F.when(F.get("words", F.lit(0)).rlike(f"^(?:{t})\\W"), g) for g, t in TITLES.items()]).alias("title"))
     fixed = F.col("kind").isin("name", "secret") & (F.col("word_at") == 0) & (F.col("n") > 1)
-    # given names carry the gender of the title; surnames are one kind for all
-    kind = F.when(fixed, F.lit(None)).when((F.col("kind") == "name") & (F.col("word_at") < F.col("n") - 1)
-                  & F.col("title").isin("f", "m"), F.concat(F.lit("name_"), "title")).otherwise(F.col("kind"))
-    words = cut(words.select("_text", "at", "word_at", "word", kind.alias("kind")).withColumn(
+    # a name part is one entity by its value; given names keep the letter that tells the gender
+    kind = F.when(fixed, F.lit(None)).otherwise(F.col("kind"))
+    given = (F.col("kind") == "name") & (F.col("word_at") < F.col("n") - 1) & F.col("title").isin("f", "m")
+    words = cut(words.select("_text", "at", "word_at", "word", kind.alias("kind"), F.coalesce(
+        given, F.lit(False)).cast("int").alias("last")).withColumn(
         "value", _canonical(F.col("kind"), F.rtrim(F.translate(word, " ", " ")))), "entities")
-    mapping = entity_map(words.where("kind IS NOT NULL").select("kind", "value"), key)
+    mapping = entity_map(words.where("kind IS NOT NULL").select("kind", "value", "last"), key)
     space = F.regexp_extract(word, r"[ \u00A0]$", 0)
     mapped = words.join(mapping, ["kind", "value"], "left").select("_text", "at", "word_at", F.when(
+        F.col("kind") == "name", F.struct("value", "surrogate")).alias("name"), F.when(
         F.col("kind").isNull(), word).otherwise(F.concat(
             _laid_out(F.col("kind"), word, F.col("surrogate")), F.when(F.col("kind").startswith("name"), space).otherwise(
                 F.lit("")))).alias("word"))
     entire = mapped.groupBy("_text", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("word_at", "word"))), lambda w: w["word"]), "").alias("entity"))
-    joined = entire.groupBy("_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "entity"))),
-                                                     lambda e: e["entity"]).alias("_new"))
+        F.struct("word_at", "word"))), lambda w: w["word"]), "").alias("entity"), F.collect_set("name").alias("names"))
+    joined = entire.groupBy("_text").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "entity"))), lambda e: e["entity"]).alias("_new"),
+        F.array_distinct(F.flatten(F.collect_list("names"))).alias("_names"))
+    joined = joined.withColumn("_mention", F.when(F.size("_names") > 0, F.concat(  # the longest first
+        F.lit(r"(?<!\p{L})(?:"), F.array_join(F.reverse(F.array_sort(F.transform(F.col("_names"), lambda n: F.struct(
+            F.length(n["value"]).alias("n"), n["value"].alias("v"))))).getField("v"), "|"), F.lit(r")(?!\p{L})")))
+    ).withColumn("_names", F.map_from_entries("_names"))
+
+    def mentions(piece: Column) -> Column:
+        return F.when(F.col("_mention").isNull(), F.array().cast("array<string>")).otherwise(
+            F.regexp_extract_all(piece, F.col("_mention"), F.lit(0)))
+
+    def renamed(piece: Column) -> Column:
+        return F.when(F.col("_mention").isNull(), piece).otherwise(bound(mentions(piece), lambda found: F.array_join(F.flatten(
+            F.transform(F.split(piece, F.col("_mention"), -1), lambda q, i: F.array(
+                q, F.coalesce(F.element_at(F.col("_names"), F.get(found, i)), F.lit(""))))), "")))
+
+    pieces = F.split("text", ANY, -1)
     woven = bound(F.col("_new"), lambda new: F.array_join(F.flatten(F.transform(
-        F.split("text", ANY, -1), lambda piece, i: F.array(piece, F.coalesce(F.get(new, i), F.lit(""))))), ""))
-    new = found.join(joined, "_text").select(
-        *[woven.alias("text") if c == "text" else c for c in columns], F.size("_new").cast("long").alias("n_replaced"))
+        pieces, lambda piece, i: F.array(renamed(piece), F.coalesce(F.get(new, i), F.lit(""))))), ""))
+    more = F.when(F.col("_mention").isNull(), 0).otherwise(
+        F.aggregate(pieces, F.lit(0), lambda n, piece: n + F.size(mentions(piece))))
+    new = found.join(joined, "_text").select(*[woven.alias("text") if c == "text" else c for c in columns],
+                                             (F.size("_new") + more).cast("long").alias("n_replaced"))
     return clean.unionByName(new)

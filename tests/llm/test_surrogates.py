@@ -1,6 +1,7 @@
 """Surrogates where forms run out, and what is found."""
 
 import itertools
+import re
 
 from tellerlake.llm import surrogates
 
@@ -23,3 +24,26 @@ def test_secrets_without_letters_or_digits(spark):
     out = {r.doc_id: (r.text, r.n_replaced) for r in surrogates.pseudonymise(docs).collect()}
     assert out[1] == ("password: ________", 0) and out[2] == ('token = "----------"', 0)
     assert out[3][1] == 1 and out[3][0] != "token=__abcd123"
+
+
+def replaced(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.text, r.n_replaced) for r in surrogates.pseudonymise(docs, "k").collect()}
+
+
+def test_secrets_in_any_case_and_in_json(spark):
+    texts = ("Password: hunter2xyz", "API_KEY=abcd1234efgh", "PASSWORD='Abc12345x'", '{"api_key": "abcd1234efgh"}')
+    out = replaced(spark, *texts)
+    for i, text in enumerate(texts):
+        assert out[i][1] == 1 and out[i][0] != text and len(out[i][0]) == len(text)
+    assert out[0][0].startswith("Password: ") and out[1][0].startswith("API_KEY=")
+    assert re.fullmatch(r"\{\"api_key\": \"[a-z0-9]{12}\"\}", out[3][0]) and out[1][0][8:] == out[3][0][13:25]
+
+
+def test_further_mentions_and_one_surrogate_a_name(spark):
+    out = replaced(spark, "Ms Ada Byron came. Then Byron said: Ada Byron's ada Byronic. Mail byron@Byron.com", "Dr Ada Byron",
+                   "Ms Ada", "Byron and Ada without a title")
+    m = re.fullmatch(r"Ms (\w+a) (\w+) came\. Then (\w+) said: (\w+) (\w+)'s ada Byronic\. Mail (\S+)", out[0][0])
+    assert m and m[2] == m[3] == m[5] != "Byron" and m[1] == m[4] != "Ada" and out[0][1] == 5
+    assert out[1][0] == f"Dr {m[1]} {m[2]}" and out[2][0] == f"Ms {m[1]}"
+    assert out[3] == ("Byron and Ada without a title", 0)
