@@ -31,6 +31,13 @@ comments comments-area cookie cookies consent disqus footer gdpr header login me
 notice notification pagination pager popup promo promoted promotion recommended related replies reply respond share
 sharing sidebar side-bar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets
 """.split())
+# Nouns that only say a thing is a container, words that make a name a property of something
+# else ("with-sidebar"), and names of what readers write, which may outweigh a short article.
+CONTAINERS = frozenset("""area bar block box button buttons cards col column container feed group holder icons inner item
+items left link links list module outer overlay panel post posts region right row section slot top bottom unit wrap wrapper
+""".split())
+PROPERTIES = frozenset("and enable enabled has hide hides is no not show shows with without".split())
+READERS = frozenset("comment comments comments-area disqus replies reply respond".split())
 
 LONG, SHORT = 200, 70  # characters
 LINKS, STOPS_HIGH, STOPS_LOW = 0.4, 0.30, 0.15  # shares of characters and of words
@@ -43,38 +50,76 @@ _NAME = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"\w+")
 
 
-def outside(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element marks menus, notices, adverts, comments and the like.
+def outside(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """Whether an element is no part of the text for certain, and the listed name it bears, or "".
 
     ``inside`` an article, its header stays: it holds the headline.
     """
     if tag in OUTSIDE_TAGS and not (inside and tag == "header"):
-        return True
+        return True, ""
     if not attributes.strip():
-        return False
+        return False, ""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in OUTSIDE_ROLES:
-        return True
+        return True, ""
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
+        return True, ""
     if tag in ("body", "html", "main", "article"):
-        return False
-    names = f"{found.get('class', '')} {found.get('id', '')}".split()
-    return any(n in OUTSIDE_NAMES or not OUTSIDE_NAMES.isdisjoint(_NAME.findall(n)) for n in names)
+        return False, ""
+    names = map(listed, f"{found.get('class', '')} {found.get('id', '')}".split())
+    return False, next((n for n in names if n and not (inside and n == "header")), "")
+
+
+def listed(token: str) -> str:
+    """The listed name that a class or id as a whole, or its head noun, is; else ""."""
+    if token in OUTSIDE_NAMES:
+        return token
+    parts = _NAME.findall(token)
+    if not PROPERTIES.isdisjoint(parts):
+        return ""
+    while len(parts) > 1 and parts[-1] in CONTAINERS:
+        parts.pop()
+    return parts[-1] if parts and parts[-1] in OUTSIDE_NAMES else ""
+
+
+def prose(text: str, links: float) -> bool:
+    """Whether a block by itself is running text."""
+    return links <= LINKS and len(text) >= SHORT and _stops(text) >= (STOPS_LOW if len(text) > LONG else STOPS_HIGH)
+
+
+def _stops(text: str) -> float:
+    known = [w.lower() in STOP_WORDS for w in _WORD.findall(text)]
+    return sum(known) / max(len(known), 1)
+
+
+def _resolved(found: list[tuple[str, float, bool, bool, tuple]]) -> list[tuple[str, float, bool, bool]]:
+    """Blocks with names judged: a name marks nothing where its element holds the main prose.
+
+    That is more than half of the page's prose, or all of it where readers' texts are named.
+    """
+    named = any(b[4] for b in found)  # else nothing is to be judged
+    sizes = [len(text) if named and not marked and prose(text, links) else 0 for text, links, marked, _, _ in found]
+    total, held = sum(sizes), {}
+    for n, (*_, names) in zip(sizes, found, strict=True):
+        for name in set(names):
+            held[name] = held.get(name, 0) + n
+    void = {name for name, n in held.items() if n and (n == total if name[1] in READERS else 2 * n > total)}
+    return [(text, links, marked or any(n not in void for n in names), inside) for text, links, marked, inside, names in found]
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, link share, in a marked element, in an article) for each text block in order."""
     found, parts, linked, total = [], [], 0, 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, in a marked element, in an article
-    link = 0
+    # tag, in a marked element, in an article, (number, name) of the elements around with a listed name
+    stack: list[tuple[str, bool, bool, tuple]] = []
+    none, link = ("", False, False, ()), 0
 
     def close() -> None:
         nonlocal parts, linked, total
         text = " ".join("".join(parts).split())
         if text:
-            _, marked, inside = stack[-1] if stack else ("", False, False)
-            found.append((text, linked / max(total, 1), marked, inside))
+            _, marked, inside, names = stack[-1] if stack else none
+            found.append((text, linked / max(total, 1), marked, inside, names))
         parts, linked, total = [], 0, 0
 
     at = 0
@@ -96,23 +141,21 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             link = 0
         if tag in VOID_TAGS:
             continue
-        _, marked, inside = stack[-1] if stack else ("", False, False)
+        _, marked, inside, names = stack[-1] if stack else none
         if not ending:
             if stack and stack[-1][0] == "p" and tag in BLOCK_TAGS:  # a paragraph ends where a block begins
                 stack.pop()
-                _, marked, inside = stack[-1] if stack else ("", False, False)
+                _, marked, inside, names = stack[-1] if stack else none
             if tag in BLOCK_TAGS or tag in OUTSIDE_TAGS or tag in ("span",):
-                if tag in OUTSIDE_TAGS or outside(tag, m[3], inside):
-                    new = marked or outside(tag, m[3], inside)
-                else:
-                    new = marked
-                if new and not marked and tag not in BLOCK_TAGS:
+                sure, name = outside(tag, m[3], inside)
+                new, named = marked or sure, (*names, (at, name)) if name else names
+                if (new and not marked or named != names) and tag not in BLOCK_TAGS:
                     close()
-                stack.append((tag, new, inside or tag in ("article", "main")))
+                stack.append((tag, new, inside or tag in ("article", "main"), named))
         else:
             open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if open_at is not None:
-                if tag not in BLOCK_TAGS and stack[-1][1]:
+                if tag not in BLOCK_TAGS and (stack[-1][1] or stack[-1][3]):
                     close()
                 del stack[open_at:]
     if at < len(page):
@@ -120,21 +163,23 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         parts.append(html.unescape(tail.partition("<")[0] if re.match(r"[^<]*</?[a-zA-Z]", tail) else tail))
         total += len(tail)
     close()
-    return found
+    return _resolved(found)
 
 
 def labels(found: list[tuple[str, float, bool, bool]]) -> list[bool]:
     """Pass one decides long, dense, linked and marked blocks; pass two lets the rest inherit."""
     first: list[bool | None] = []
-    article = any(inside and not marked for _, _, marked, inside in found)
+    # an article element counts if it holds most of the text that is kept: teasers do not
+    within = [(text, links) for text, links, marked, inside in found if inside and not marked]
+    article = bool(within) and sum(len(t) for t, links in within if links <= LINKS and len(t) >= SHORT) >= sum(
+        len(text) for text, links, marked, inside in found if not inside and not marked and prose(text, links))
     for text, links, marked, inside in found:
-        known = [w.lower() in STOP_WORDS for w in _WORD.findall(text)]
-        stops = sum(known) / max(len(known), 1)
+        stops = _stops(text)
         if marked or links > LINKS or (article and not inside):
             first.append(False)
         elif len(text) < SHORT:
             first.append(None)
-        elif inside or stops >= (STOPS_LOW if len(text) > LONG else STOPS_HIGH):
+        elif (inside and article) or stops >= (STOPS_LOW if len(text) > LONG else STOPS_HIGH):
             first.append(True)
         else:
             first.append(None if stops >= STOPS_LOW else False)
@@ -172,8 +217,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks inside elements marked as menus, forms, notices, adverts or comments are dropped.
     The others are classified by stop-word share, length and link share; ambiguous short
-    blocks take the label of their nearest decided neighbours. Where a page has an article
-    element, only its blocks count. A null or empty page gives an empty text; null ids and
+    blocks take the label of their nearest decided neighbours. Where article elements hold
+    most of a page's prose, only their blocks count. A class or id marks an element by its whole
+    or its head noun, and not where the element holds the page's main prose. A null or empty page gives an empty text; null ids and
     urls pass through, repeated rows give repeated results, other columns are ignored.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
