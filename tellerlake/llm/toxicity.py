@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,17 @@ STEMS = (4, 5, 6)  # lengths of word beginnings that may become an entry
 SUPPORT = 3  # labelled texts that an entry must explain by itself
 
 # Look-alike letters of other scripts, and signs written for letters within words.
-HOMOGLYPHS = str.maketrans("аеорсухіјѕԁһԛԝαεικνορτυωɑɡıⅼ", "aeopcyxijsdhqwaeikvoptuwagil")
+# Capitals come before lower-casing: there other letters look alike than among small ones.
+CAPITALS = str.maketrans("АВЕЅІЈКМНОРСТУХԚԜҮҺΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABESIJKMHOPCTYXQWYHABEZHIKMNOPTYXC")
+HOMOGLYPHS = str.maketrans("авекмнтгорсухіїјѕүһԁԛԝӏαβγεικνορτυχωϲɑɡıⅼ", "abekmhtropcyxiijsyhdqwlabyeikvoptuxwcagil")
+# Latin letters with a stroke or hook, which no decomposition takes off.
+HOMOGLYPHS |= str.maketrans({"ø": "o", "đ": "d", "ħ": "h", "ł": "l", "ŧ": "t", "ƀ": "b", "ɨ": "i", "ʉ": "u", "ß": "ss",
+                             "æ": "ae", "œ": "oe", "ð": "d", "ŋ": "n", "ɇ": "e", "ƙ": "k", "ƞ": "n", "ȼ": "c", "ᵽ": "p"})
+# Characters of category Cf with the variation selectors, and marks that stand on a Latin letter.
+FORMAT = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u0890\u0891\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064"
+                    "\u2066-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb\U000110bd\U000110cd\U00013430-\U0001343f"
+                    "\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0001\U000e0020-\U000e007f]")
+MARKS = re.compile("(?<=[a-z\u00df-\u024f])[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]+")
 SUBSTITUTES = str.maketrans("013457@$!|", "oieastasil")
 
 # Harmless phrases that hold words which may be entries.
@@ -28,13 +39,18 @@ EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "idiot proof"
               "stupid simple", "loser bracket", "pond scum")
 
 
+def _plain(text: str) -> str:
+    """Lower case without format characters, look-alike letters and marks on Latin letters."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKD", FORMAT.sub("", text)).translate(CAPITALS).lower()
+    return unicodedata.normalize("NFC", MARKS.sub("", text.translate(HOMOGLYPHS)))
+
+
 def folded(text: str | None) -> list[str]:
     """Words of a whole text with homoglyphs, accents of Latin letters and digit spellings folded."""
     out = []
-    for word in unicodedata.normalize("NFKC", text or "").lower().split():
-        plain = word.isascii()
-        if not plain:
-            word = word.translate(HOMOGLYPHS)
+    for word in _plain(text or "").split():
         if not word.isalpha():
             word = word.strip(".,;:?\"'()[]{}*#&%-_…»«")
             if any(c.isalpha() for c in word):
