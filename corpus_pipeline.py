@@ -6,7 +6,8 @@ each result as Parquet below the folder the cluster shares and reads it for the
 a lost executor costs a few tasks only.
 
 Rows with nulls, empty or repeated texts and extra columns pass as the operators say: texts
-without words fail the quality rules; rows that repeat a doc_id share one verdict.
+without words fail the quality rules; rows that repeat a doc_id share one verdict on near-duplicates,
+where rows with a null doc_id stay. Benchmark passages are judged row by row, whatever the ids.
 """
 
 from __future__ import annotations
@@ -36,8 +37,11 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    hit = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    # a stored number names each row: ids may be null or repeated
+    rows = scratch.cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
+    hit = found.select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+from conftest import SMALL
+
+import corpus_pipeline
 from tellerlake.llm import decontaminate
 
 
@@ -38,3 +41,10 @@ def test_no_accepted_pair_is_missed(spark):
         spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"),
         spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
     assert {(r.doc_id, r.item_id): r.matched for r in found.collect()} == want
+
+
+def test_stage_judges_each_row(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    rows = [(None, item), (None, "clean one"), (4, item), (4, "clean two"), (4, "clean two"), (None, None)]
+    left = corpus_pipeline.keep_uncontaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([rows[1], rows[3], rows[4], rows[5]], key=str)
