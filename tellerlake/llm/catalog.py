@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hilbert, html_text, minhash, packing, quality, rollup, scratch, surrogates, toxicity
+from . import byte_pairs, decontaminate, hilbert, html_text, minhash, packing, quality, rollup, scratch, surrogates, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,15 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of the bytes decoded from them."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = byte_pairs.encode(_read(spark, sf_dir, "documents"), path)
+    return byte_pairs.digests(byte_pairs.decode(tokens, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -75,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_rollup": op9_token_rollup,
     "op10_main_text": op10_main_text,
+    "op11_byte_pairs": op11_byte_pairs,
 }
 
 STATEMENTS: dict[str, str] = {
