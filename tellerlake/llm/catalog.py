@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs, decontaminate, hilbert, html_text, minhash, packing, quality, rollup, scratch, surrogates, toxicity
+from . import (byte_pairs, clustering, decontaminate, hilbert, html_text, minhash, packing, quality, rollup, scratch,
+               surrogates, toxicity)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,11 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(byte_pairs.decode(tokens, path))
 
 
+def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 clusters of all 64-dimensional embeddings after three rounds."""
+    return clustering.clusters(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_surrogates": op1_surrogates,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -85,10 +91,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_rollup": op9_token_rollup,
     "op10_main_text": op10_main_text,
     "op11_byte_pairs": op11_byte_pairs,
+    "op13_bisector_clusters": op13_bisector_clusters,
 }
 
 STATEMENTS: dict[str, str] = {
     "op2_hilbert_shards": hilbert.statement(),
     "op3_contaminated": decontaminate.statement(),
     "op9_token_rollup": rollup.STATEMENT,
+    "op13_bisector_clusters": clustering.statement(),
 }
