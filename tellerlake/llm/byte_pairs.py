@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .pretokens import Splitter, split
 
-CACHED = 300_000  # slices remembered by one task, and those of one run of texts
+CACHED = 200_000  # slices remembered by one task, and those of one run of texts
 NEVER = np.int64(1) << np.int64(62)  # rank of a pair that does not join
 LONG = 96  # slices of more bytes take a heap
-ROWS_BYTES = 2 << 20  # text that one Arrow batch of results covers, if a text is no longer by itself
+ROWS_BYTES = 1 << 20  # text that one Arrow batch of results covers, if a text is no longer by itself
 MOST_RANKS = 1 << 20  # a rank file is broadcast: larger ones are refused
 
 
@@ -59,12 +58,12 @@ class Merges:
         return np.where(self.keys[at] == key, self.values[at], NEVER)
 
 
-def merge_many(pieces: Sequence[bytes], merges: Merges) -> list[list[int]]:
-    """Ids of slices: in each, the pair of least rank is joined first, the leftmost among equals.
+def merge_many(pieces: Sequence[bytes], merges: Merges) -> list[bytes]:
+    """Ids of slices, four bytes each: in each, the pair of least rank is joined first, the leftmost among equals.
 
     All slices advance together, by one pair a round; those without a pair left leave.
     """
-    out: list[list[int]] = [[] for _ in pieces]
+    out = [b""] * len(pieces)
     count = np.fromiter(map(len, pieces), np.int64, len(pieces))
     names = np.flatnonzero(count)
     count = count[names]
@@ -80,9 +79,9 @@ def merge_many(pieces: Sequence[bytes], merges: Merges) -> list[list[int]]:
         least = np.minimum.reduceat(pairs, starts)
         done = least == NEVER
         if done.any():
-            flat = ids.tolist()
+            flat = ids.astype("<u4").tobytes()
             for name, a, n in zip(names[done].tolist(), starts[done].tolist(), count[done].tolist()):
-                out[name] = flat[a: a + n]
+                out[name] = flat[4 * a: 4 * (a + n)]
             stays = ~np.repeat(done, count)
             ids, pairs = ids[stays], pairs[stays]
             names, count, least = names[~done], count[~done], least[~done]
@@ -103,7 +102,7 @@ def merge_many(pieces: Sequence[bytes], merges: Merges) -> list[list[int]]:
     return out
 
 
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> bytes:
     """The same for long slices, in n log n: a heap of pairs over linked parts."""
     n = len(piece)
     end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it is joined to another
@@ -126,7 +125,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     while i < n:
         ids.append(ranks[piece[i: end[i]]])
         i = end[i]
-    return ids
+    return np.array(ids, "<u4").tobytes()
 
 
 class Encoder:
@@ -134,20 +133,19 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], merges: Merges, splitter: Splitter) -> None:
         self.ranks, self.merges, self.splitter, self.classes = ranks, merges, splitter, splitter.classes()
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Token ids of each text, as unsigned 32-bit numbers, low byte first."""
         data, starts, upto = split(texts, self.splitter, self.classes)
         pieces = [data[a:b] for a, b in zip(starts, starts[1:])]
         found = list(map(self._learned(pieces).__getitem__, pieces))
-        sizes = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        flat = np.fromiter(itertools.chain.from_iterable(found), "<u4", int(sizes[-1]) if len(sizes) else 0)
-        sizes = np.append(0, sizes)
+        sizes = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4))
+        flat = np.frombuffer(b"".join(found), "<u4")
         begin = np.append(0, upto[:-1] + 1)  # the byte behind a text is a piece too, of no text
         return [flat[a:b] for a, b in zip(sizes[begin].tolist(), sizes[upto].tolist())]
 
-    def _learned(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
+    def _learned(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of all ``pieces`` at least; what is new is merged at once."""
         if len(self.known) > CACHED:
             self.known = {}
@@ -156,7 +154,7 @@ class Encoder:
         for piece in fresh:
             whole = self.ranks.get(piece)
             if whole is not None:
-                self.known[piece] = [whole]
+                self.known[piece] = whole.to_bytes(4, "little")
             elif len(piece) > LONG:
                 self.known[piece] = _merge_long(piece, self.ranks)
             else:
@@ -191,18 +189,11 @@ def _text(value: bytes | None) -> str:
     return "" if value is None else value.decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, offsets) for every row of ``docs(doc_id, text, ...)``.
+Batches = Iterator[pa.RecordBatch]
 
-    ``ids`` holds the token ids as little-endian unsigned 32-bit numbers, four bytes each;
-    ``offsets`` the byte of the text's UTF-8 form at which each token starts, eight bytes each.
-    A null or empty text has no ids. Repeated rows give repeated results, a null doc_id passes
-    through, other columns are ignored; a table without rows gives none. Texts are encoded whole,
-    a run of a megabyte without any boundary included.
-    """
-    shared, splitter = _shared(docs.sparkSession, path), Splitter()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(shared, splitter: Splitter) -> Callable[[Batches], Batches]:
+    def encoded(batches: Batches) -> Batches:
         import pyarrow.compute  # noqa: F401
 
         encoder = Encoder(*shared.value, splitter)
@@ -215,22 +206,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[a:b], pa.array([x.tobytes() for x in found], pa.binary()),
                      pa.array([x.tobytes() for x in offsets], pa.binary())], names=["doc_id", "ids", "offsets"])
-
-    # as bytes: whatever the text column holds is read the same way on both sides
-    slim = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(encoded, f"doc_id {kind}, ids binary, offsets binary")
+    return encoded
 
 
-def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """``tokens(doc_id, ids, offsets)`` with ``decoded``, the bytes that the ids stand for.
-
-    The offsets must be those at which the ids' bytes fall. Null ids decode to null, no ids to
-    no bytes; an id that the file lacks is an error.
-    """
-    shared = _shared(tokens.sparkSession, path)
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoding(shared) -> Callable[[Batches], Batches]:
+    def decoded(batches: Batches) -> Batches:
         import pyarrow.compute  # noqa: F401
 
         ranks, merges = shared.value
@@ -242,10 +222,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[a:b], ids[a:b], offsets[a:b], pa.array(out, pa.binary())],
                     names=["doc_id", "ids", "offsets", "decoded"])
-
-    slim = tokens.select("doc_id", "ids", "offsets")
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(decoded, f"doc_id {kind}, ids binary, offsets binary, decoded binary")
+    return decoded
 
 
 def _placed(ids: bytes | None, offsets: bytes | None, pieces: dict[int, bytes], lengths: np.ndarray) -> bytes | None:
@@ -260,6 +237,45 @@ def _placed(ids: bytes | None, offsets: bytes | None, pieces: dict[int, bytes],
     return text
 
 
+def _slim(docs: DataFrame) -> tuple[DataFrame, str]:
+    # as bytes: whatever the text column holds is read the same way on both sides
+    slim = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    return slim, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}"
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, offsets) for every row of ``docs(doc_id, text, ...)``.
+
+    ``ids`` holds the token ids as little-endian unsigned 32-bit numbers, four bytes each;
+    ``offsets`` the byte of the text's UTF-8 form at which each token starts, eight bytes each.
+    A null or empty text has no ids. Repeated rows give repeated results, a null doc_id passes
+    through, other columns are ignored; a table without rows gives none. Texts are encoded whole,
+    a run of a megabyte without any boundary included.
+    """
+    slim, key = _slim(docs)
+    return slim.mapInArrow(_encoding(_shared(docs.sparkSession, path), Splitter()), f"{key}, ids binary, offsets binary")
+
+
+def decode(tokens: DataFrame, path: str) -> DataFrame:
+    """``tokens(doc_id, ids, offsets)`` with ``decoded``, the bytes that the ids stand for.
+
+    The offsets must be those at which the ids' bytes fall. Null ids decode to null, no ids to
+    no bytes; an id that the file lacks is an error.
+    """
+    slim = tokens.select("doc_id", "ids", "offsets")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(_decoding(_shared(tokens.sparkSession, path)),
+                           f"doc_id {kind}, ids binary, offsets binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass of the same workers."""
+    slim, key = _slim(docs)
+    shared = _shared(docs.sparkSession, path)
+    encoded, decoded = _encoding(shared, Splitter()), _decoding(shared)
+    return slim.mapInArrow(lambda batches: decoded(encoded(batches)), f"{key}, ids binary, offsets binary, decoded binary")
+
+
 def digests(tokens: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decoded tokens."""
     return tokens.select(
