@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (byte_pairs, clustering, decontaminate, hilbert, html_text, minhash, packing, quality, rollup, scratch,
-               surrogates, toxicity)
+               surrogates, toxicity, whitening)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,12 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokens = byte_pairs.encode(_read(spark, sf_dir, "documents"), path)
-    return byte_pairs.digests(byte_pairs.decode(tokens, path))
+    return byte_pairs.digests(byte_pairs.round_trip(_read(spark, sf_dir, "documents"), path))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along 16 whitened principal components."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
 
 def op13_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_rollup": op9_token_rollup,
     "op10_main_text": op10_main_text,
     "op11_byte_pairs": op11_byte_pairs,
+    "op12_whitening": op12_whitening,
     "op13_bisector_clusters": op13_bisector_clusters,
 }
 
