@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,8 +124,3 @@ def model_table(df: DataFrame, encoders: StringIndexerModel) -> DataFrame:
         KEY, target(F.col("Risk_Label")).alias("label"), "features")
     split = stratified_split(vectors)
     return with_weights(split, split.where(~F.col("is_test")))
-
-
-def input_stages(df: DataFrame, encoders: StringIndexerModel) -> PipelineModel:
-    """Encoders and assembler as the head of a fitted pipeline."""
-    return PipelineModel(stages=[encoders, assembler([*df.columns, *encoders.getOutputCols()])])

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..schema import KEY
 from .features import applicant_encoders, assembler, feature_inputs, tidy_categories
-from .training import predict
+from .training import Model, predict
 
 # What an applicant states, and the input bounds of each number.
 APPLICANT_COLUMNS = [
@@ -34,7 +33,7 @@ def applicant_inputs(applicants: DataFrame) -> DataFrame:
         F.lit(7).alias("Days_Since_Transaction"))
 
 
-def score_applicants(model: PipelineModel, applicants: DataFrame) -> DataFrame:
+def score_applicants(model: Model, applicants: DataFrame) -> DataFrame:
     """Risk class, its probability and all class probabilities in percent, per applicant.
 
     ``model`` is the fitted model without input stages: categories are coded by
@@ -43,7 +42,7 @@ def score_applicants(model: PipelineModel, applicants: DataFrame) -> DataFrame:
     rows = tidy_categories(applicant_inputs(applicants))
     coded = feature_inputs(applicant_encoders().transform(rows))
     ready = assembler(coded.columns).transform(coded)
-    scored = predict(model, ready)
+    scored = predict(model, ready, [KEY, "Debt_to_Income_Ratio"])
     names = F.array(*[F.lit(v) for v in ("LOW RISK", "MEDIUM RISK", "HIGH RISK")])
     chances = F.array("p_low", "p_medium", "p_high")
     return scored.select(

@@ -1,20 +1,30 @@
-"""Risk models on Spark ML: train, predict, store and load."""
+"""Risk models: train, predict, explain, store and load.
+
+Logistic regression is Spark ML's; trees, forests and boosted trees are relations grown by
+:mod:`trees` and :mod:`boosting`. Every kind can be stored as plain rows and applied to a customer
+table from these rows alone.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import RISK_LABELS
+from ..schema import FEATURE_COLUMNS, RISK_LABELS
+from . import boosting, trees
+from .boosting import Boosted
+from .trees import Trees
 
-SEED = 42
+VERSION = 1
+RESULTS = ["prediction", *(f"p_{v.lower()}" for v in RISK_LABELS)]
 
 # Display names in report order.
 MODEL_NAMES = {
@@ -24,53 +34,128 @@ MODEL_NAMES = {
     "boosted": "Boosted Trees",
 }
 
+# Sizes of the tree models.
+TREE_SIZES = {
+    "tree": {"trees": 1, "depth": 8, "least": 20},
+    "forest": {"trees": 200, "depth": 10, "least": 10, "take": 5, "sampled": True},  # 5 of 29: the square root
+}
+
+
+@dataclass
+class Linear:
+    """Weights by class and feature on raw values: rows (class, feature, weight), feature -1 being the constant."""
+
+    rows: DataFrame
+    names: list[str] = field(default_factory=list)
+
+
+Model = PipelineModel | Trees | Boosted | Linear
+
+
+def pipeline(rows_weight: float) -> Pipeline:
+    """Unfitted logistic regression; ``rows_weight`` is the summed training weight.
+
+    The tolerance is so small that the loss is at its minimum: :func:`logistic_gradient` shows it.
+    """
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+    model = LogisticRegression(
+        featuresCol="scaled", labelCol="label", weightCol="weight", family="multinomial", tol=1e-12,
+        maxIter=1000, regParam=1.0 / rows_weight, elasticNetParam=0.0, standardization=False)
+    return Pipeline(stages=[scaler, model])
 
-def pipeline(kind: str, rows_weight: float = 1.0, rounds: int = 200, trees: int = 200) -> Pipeline:
-    """Unfitted pipeline of one model kind; ``rows_weight`` is the summed training weight."""
-    common = {"featuresCol": "features", "labelCol": "label"}
-    trees_at_once = {"maxMemoryInMB": 1024}  # more tree nodes per pass over the data
+
+def train(table: DataFrame, kind: str, **params) -> Model:
+    """Fit one model on the training rows of a stored model table; ``params`` replace sizes."""
+    rows = table.where(~F.col("is_test"))
     if kind == "logistic":
-        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-        model = LogisticRegression(
-            featuresCol="scaled", labelCol="label", weightCol="weight", family="multinomial",
-            maxIter=1000, regParam=1.0 / rows_weight, elasticNetParam=0.0, standardization=False)
-        return Pipeline(stages=[scaler, model])
-    if kind == "tree":
-        return Pipeline(stages=[DecisionTreeClassifier(
-            **common, weightCol="weight", maxDepth=8, minInstancesPerNode=20, maxBins=256,
-            seed=SEED, **trees_at_once)])
-    if kind == "forest":
-        return Pipeline(stages=[RandomForestClassifier(
-            **common, weightCol="weight", numTrees=trees, maxDepth=10, minInstancesPerNode=10,
-            featureSubsetStrategy="sqrt", maxBins=256, seed=SEED, **trees_at_once)])
+        return pipeline(rows.agg(F.sum("weight")).first()[0]).fit(rows)
+    names = feature_names(table)
+    if kind in TREE_SIZES:
+        return trees.grow(rows, names, **{**TREE_SIZES[kind], **params})
     if kind == "boosted":  # unweighted on purpose
-        one = GBTClassifier(**common, maxIter=rounds, maxDepth=6, stepSize=0.1, maxBins=256,
-                            seed=SEED, **trees_at_once)
-        return Pipeline(stages=[OneVsRest(classifier=one, parallelism=3, **common)])
+        return boosting.fit(rows, names, **params)
     raise ValueError(f"unknown model kind {kind!r}")
 
 
-def train(table: DataFrame, kind: str, **params) -> PipelineModel:
-    """Fit one model on the training rows of a stored model table."""
-    rows = table.where(~F.col("is_test"))
-    if kind == "logistic":
-        params["rows_weight"] = rows.agg(F.sum("weight")).first()[0]
-    return pipeline(kind, **params).fit(rows)
+def predict(model: Model, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """Add ``prediction`` and the class probabilities ``p_low``, ``p_medium``, ``p_high``.
+
+    ``df`` has the vector ``features``; a loaded model also takes a table of its input columns.
+    ``keep`` names the columns of ``df`` that stay: all if not given.
+    """
+    values = vector_to_array("features") if "features" in df.columns else None
+    if isinstance(model, Loaded):
+        model, values = model.model, model.values(df) if values is None else values
+    if isinstance(model, Trees):
+        return trees.predict(model, df, values, keep)
+    if isinstance(model, Boosted):
+        return boosting.predict(model, df, values, keep)
+    if isinstance(model, Linear):
+        return _linear(model, df, values).select(*(keep or df.columns), *RESULTS)
+    p = vector_to_array("probability")
+    parts = {name: F.get(p, F.lit(i)) for i, name in enumerate(RESULTS[1:])}
+    scored = model.transform(df).withColumns(parts).withColumn("prediction", F.col("prediction").cast("int"))
+    return scored if keep is None else scored.select(*keep, *RESULTS)
+
+
+def _linear(model: Linear, df: DataFrame, values: Column) -> DataFrame:
+    """Soft-max of weighted sums; one small array of weights a class."""
+    found = {(r["class"], r.feature): r.weight for r in model.rows.collect()}  # classes * features rows
+    size = len(model.names)
+    kept = df.withColumn("_v", values)
+    margins = {}
+    for c in range(len(RISK_LABELS)):
+        weights = F.array(*[F.lit(found.get((c, i), 0.0)) for i in range(size)])
+        products = F.zip_with("_v", weights, lambda x, w: x * w)
+        margins[f"_m{c}"] = F.aggregate(products, F.lit(found.get((c, -1), 0.0)), lambda a, x: a + x)
+    kept = kept.withColumns(margins)
+    scores = [F.col(m) for m in margins]
+    odds = [F.exp(m - F.greatest(*scores)) for m in scores]
+    total = odds[0] + odds[1] + odds[2]
+    return kept.select(*df.columns, trees.most_likely(scores).alias("prediction"),
+                       *[(o / total).alias(p) for o, p in zip(odds, RESULTS[1:])])
+
+
+def linear_rows(model: PipelineModel) -> list[tuple[int, int, float]]:
+    """(class, feature, weight) on raw values: scaling is folded into weights and constants."""
+    scaler, fitted = model.stages
+    mean, std = scaler.mean.toArray(), scaler.std.toArray()
+    weights, constants = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    rows = []
+    for c in range(weights.shape[0]):
+        raw = [float(w / s) if s else 0.0 for w, s in zip(weights[c], std)]
+        rows.append((c, -1, float(constants[c] - sum(w * m for w, m in zip(raw, mean)))))
+        rows += [(c, i, w) for i, w in enumerate(raw)]
+    return rows
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``prediction`` and the class probabilities ``p_low``, ``p_medium``, ``p_high``."""
-    scored = model.transform(df)
-    if "probability" in scored.columns:
-        p = vector_to_array("probability")
-        parts = [F.get(p, F.lit(i)) for i in range(len(RISK_LABELS))]
-    else:  # one-vs-rest keeps margins only: logistic link per class, then normalised
-        raw = vector_to_array("rawPrediction")
-        odds = [1 / (1 + F.exp(-2 * F.get(raw, F.lit(i)))) for i in range(len(RISK_LABELS))]
-        parts = [o / (odds[0] + odds[1] + odds[2]) for o in odds]
-    names = [f"p_{v.lower()}" for v in RISK_LABELS]
-    return scored.withColumns(dict(zip(names, parts))).withColumn(
-        "prediction", F.col("prediction").cast("int"))
+def logistic_gradient(model: PipelineModel, table: DataFrame) -> DataFrame:
+    """(class, feature, gradient) of the penalised, weighted loss at the fitted weights.
+
+    The loss has one minimum, so a gradient of nothing but zeros shows that it was found.
+    One pass over the training rows; sums are made map-side, per feature.
+    """
+    rows = table.where(~F.col("is_test"))
+    names, fitted = feature_names(table), model.stages[-1]
+    weights = fitted.coefficientMatrix.toArray()
+    scored = model.transform(rows).select(
+        "label", "weight", vector_to_array("probability").alias("p"), vector_to_array("scaled").alias("x"))
+    miss = [F.col("weight") * (F.get("p", F.lit(c)) - (F.col("label") == c).cast("double"))
+            for c in range(len(RISK_LABELS))]
+    # the constant is the feature behind the last, with value 1 and without a penalty
+    long = scored.select(*[m.alias(f"r{c}") for c, m in enumerate(miss)], "weight",
+                         F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("at", "v"))
+    sums = long.groupBy("at").agg(F.sum("weight").alias("all"), *[
+        F.sum(F.col(f"r{c}") * F.col("v")).alias(f"g{c}") for c in range(len(RISK_LABELS))])
+    penalty = F.create_map(*[F.lit(v) for c in range(len(RISK_LABELS)) for i in range(len(names) + 1) for v in (
+        c * 1000 + i, float(weights[c][i]) if i < len(names) else 0.0)])
+    titles = F.array(*[F.lit(n) for n in [*names, "constant"]])
+    cells = F.array(*[F.struct(
+        F.lit(c).alias("class"), F.get(titles, F.col("at")).alias("feature"),
+        # the penalty of a feature is its weight over the summed row weights
+        ((F.col(f"g{c}") + F.try_element_at(penalty, F.lit(c * 1000) + F.col("at"))) / F.col("all")).alias("gradient"))
+        for c in range(len(RISK_LABELS))])
+    return sums.select(F.explode(cells).alias("s")).select("s.*")
 
 
 def feature_names(table: DataFrame) -> list[str]:
@@ -80,35 +165,123 @@ def feature_names(table: DataFrame) -> list[str]:
                                       key=lambda a: a["idx"])]
 
 
-def importances(model: PipelineModel, spark: SparkSession, names: Sequence[str],
+def importances(model: Model, spark: SparkSession, names: Sequence[str],
                 top: int | None = None) -> DataFrame:
     """(feature, importance) of the fitted vector's ``names``, highest first, ``top`` at most.
 
-    Empty for models that have none.
+    Sums of split gains from the node rows. Empty for models that have none.
     """
-    last = model.stages[-1]
-    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else []
-    if len(values) and len(values) != len(names):
-        raise ValueError(f"{len(values)} importances for {len(names)} features")
-    rows = sorted(zip(names, map(float, values)), key=lambda r: -r[1])[:top]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    model = model.model if isinstance(model, Loaded) else model
+    if not isinstance(model, Trees | Boosted):
+        return spark.createDataFrame([], "feature string, importance double")
+    if len(names) != len(model.names):
+        raise ValueError(f"{len(model.names)} importances for {len(names)} features")
+    return trees.importances(model.nodes, names, spark, top)
+
+
+# -- stored models ---------------------------------------------------------------
+
+@dataclass
+class Loaded:
+    """A stored model with the codes of its categories: scores tables of input columns."""
+
+    model: Trees | Boosted | Linear
+    name: str
+    codes: dict[str, list[str]]
+
+    def values(self, df: DataFrame) -> Column:
+        """The feature values of a customer table, in order; a gap counts as 0, an unknown category fails."""
+        return F.array(*[self._value(df, n) for n in self.model.names])
+
+    def _value(self, df: DataFrame, name: str) -> Column:
+        source = name.removesuffix("_enc")
+        if name in df.columns or source not in self.codes:
+            return F.expr(f"coalesce(nanvl(CAST({name} AS DOUBLE), NULL), 0D)")
+        known = F.array(*[F.lit(v) for v in self.codes[source]])
+        at = F.array_position(known, F.col(source))
+        return F.when(at > 0, (at - 1).cast("double")).otherwise(F.raise_error(
+            F.concat(F.lit(f"{source}: unknown value "), F.coalesce(F.col(source), F.lit("null")))).cast("double"))
+
+
+def codes_of(encoders: StringIndexerModel) -> dict[str, list[str]]:
+    return dict(zip(encoders.getInputCols(), map(list, encoders.labelsArray)))
 
 
-def save_model(model: PipelineModel, head: PipelineModel, name: str, path: str) -> None:
-    """Store input stages and fitted model together with name and feature order."""
+def input_columns(names: Sequence[str], codes: dict[str, list[str]]) -> list[str]:
+    """Columns of a customer table that the features come from."""
+    return [n.removesuffix("_enc") if n.removesuffix("_enc") in codes else n for n in names]
+
+
+def _hash(*parts) -> str:
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def save_model(model: Model, codes: dict[str, list[str]], name: str, path: str,
+               names: Sequence[str] = tuple(FEATURE_COLUMNS)) -> None:
+    """Store a model as rows: ``manifest``, ``features``, ``codes`` and ``model``.
+
+    The manifest is written last and holds the version, the hash of the input columns and
+    codes, and the number of model rows, so that a folder that was not written to its end, or
+    whose parts do not belong together, is not taken for a model.
+    """
     spark = SparkSession.active()
-    PipelineModel(stages=[*head.stages, *model.stages]).write().overwrite().save(f"{path}/model")
-    inputs = next(s for s in head.stages if isinstance(s, VectorAssembler)).getInputCols()
-    rows = [(name, i, f) for i, f in enumerate(inputs)]
-    (spark.createDataFrame(rows, "best_name string, position int, feature string")
-     .coalesce(1).write.mode("overwrite").parquet(f"{path}/features"))
+    model = model.model if isinstance(model, Loaded) else model
+    if isinstance(model, PipelineModel):
+        model = Linear(spark.createDataFrame(linear_rows(model), "class int, feature int, weight double"), list(names))
+    names = model.names or list(names)
+    kind = type(model).__name__
+    rows = model.rows if isinstance(model, Linear) else model.nodes
+    sizes = (0, 0, []) if isinstance(model, Linear) else (
+        model.trees, model.depth, model.weights if isinstance(model, Trees) else [])
+    _fs(spark, path)[0].delete(_fs(spark, f"{path}/manifest")[1], True)
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    spark.createDataFrame([(name, i, f) for i, f in enumerate(names)], "best_name string, position int, feature string"
+                          ).coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+    spark.createDataFrame([(c, v, i) for c, vs in codes.items() for i, v in enumerate(vs)],
+                          "column string, value string, code int").coalesce(1).write.mode("overwrite").parquet(f"{path}/codes")
+    manifest = [(VERSION, name, kind, *sizes, _hash(VERSION, *names, sorted(codes.items())), rows.count())]
+    spark.createDataFrame(manifest, "version int, best_name string, kind string, trees int, depth int, "
+                          "weights array<double>, inputs string, rows long").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/manifest")
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def load_model(spark: SparkSession, path: str
-               ) -> tuple[PipelineModel | None, DataFrame | None, str | None]:
-    """(model, features, None), or (None, None, reason) when there is no usable model."""
+def load_model(spark: SparkSession, path: str, columns: Sequence[str] | None = None
+               ) -> tuple[Loaded | None, DataFrame | None, str | None]:
+    """(model, features, None), or (None, None, reason) when there is no usable model.
+
+    Refused are folders without a manifest, another version, parts that do not belong to the
+    manifest, and, where ``columns`` of the table to score are given, a table that lacks an input.
+    """
     try:
+        head = spark.read.parquet(f"{path}/manifest").first()
         features = spark.read.parquet(f"{path}/features")
-        return PipelineModel.load(f"{path}/model"), features, None
+        rows = spark.read.parquet(f"{path}/model")
+        names = [r.feature for r in features.orderBy("position").collect()]
+        codes: dict[str, list[str]] = {}
+        for r in spark.read.parquet(f"{path}/codes").orderBy("column", "code").collect():
+            codes.setdefault(r.column, []).append(r.value)
+        found = rows.count()
     except Exception as ex:  # any unreadable artifact is reported, not raised
         return None, None, f"model not found at {path}: {type(ex).__name__}"
+    if head is None or head.version != VERSION:
+        return None, None, f"model at {path} has version {head and head.version}, not {VERSION}"
+    if head.inputs != _hash(VERSION, *names, sorted(codes.items())):
+        return None, None, f"model at {path}: features or categories are not those it was stored with"
+    if head.rows != found:
+        return None, None, f"model at {path} has {found} of {head.rows} rows"
+    if columns is not None:
+        lacking = [c for c in input_columns(names, codes) if c not in columns]
+        if lacking:
+            return None, None, f"model at {path} needs columns that the table lacks: {', '.join(lacking)}"
+    if head.kind == "Linear":
+        model: Trees | Boosted | Linear = Linear(rows, names)
+    elif head.kind == "Trees":
+        model = Trees(rows, head.trees, head.depth, list(head.weights), names)
+    else:
+        model = Boosted(rows, head.trees, head.depth, [], names)
+    return Loaded(model, head.best_name, codes), features, None

@@ -36,14 +36,14 @@ def build_all(raw: DataFrame, out: str, kinds: Sequence[str] = KINDS,
         name = training.MODEL_NAMES[kind]
         fitted[name] = training.train(table, kind, **(params or {}).get(kind, {}))
         scored[name] = store.cut(
-            training.predict(fitted[name], table.where("is_test"))
+            training.predict(fitted[name], table.where("is_test"), ["label"])
             .select("label", "prediction", *SCORES), "scored")
         results.append(evaluation.evaluate(scored[name], name))
     report = evaluation.comparison(spark, results)
     best = max(results, key=lambda r: r[1])[0]
 
-    training.save_model(fitted[best], features.input_stages(clean, encoders), best,
-                        f"{out}/models/risk_model")
+    training.save_model(fitted[best], training.codes_of(encoders), best, f"{out}/models/risk_model",
+                        training.feature_names(table))
     files.write_report(report, f"{out}/models/model_metrics")
     files.write_report(training.importances(fitted[best], spark, training.feature_names(table)),
                        f"{out}/reports/feature_importance")

@@ -384,7 +384,7 @@ LEARNING: dict[str, Query] = {
 }
 
 
-# -- trained models: checked by row counts only ----------------------------------
+# -- trained models --------------------------------------------------------------
 
 def _predictions(kind: str, **params) -> Query:
     return lambda spark, d: models.tested(spark, d, kind, **params).select(
@@ -392,28 +392,39 @@ def _predictions(kind: str, **params) -> Query:
 
 
 def _predict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer scored by the stored best model, input stages included."""
-    model, _features_, error = training.load_model(spark, models.saved(spark, sf_dir))
-    if error:
-        raise ValueError(error)
-    return training.predict(model, bank(spark, sf_dir)).select(
-        KEY, "prediction", "p_low", "p_medium", "p_high")
+    """Every customer scored from the rows of the stored best model."""
+    return training.predict(models.loaded(spark, sf_dir), bank(spark, sf_dir), [KEY])
+
+
+def _gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = training.logistic_gradient(models.fitted(spark, sf_dir, "logistic"), models.table(spark, sf_dir))
+    return found.withColumn("gradient", F.round("gradient", 6) + 0.0)
 
 
 def _comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.comparison(spark, list(models.results(spark, sf_dir).values()))
 
 
-def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _importance(top: int | None = None) -> Query:
     """Importances of the best model; a model without any gives no rows."""
-    best = models.fitted(spark, sf_dir, models.best_kind(spark, sf_dir))
-    return training.importances(best, spark, training.feature_names(models.table(spark, sf_dir)))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        best = models.fitted(spark, sf_dir, models.best_kind(spark, sf_dir))
+        return training.importances(best, spark, training.feature_names(models.table(spark, sf_dir)), top)
+    return query
 
 
 def _write_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison and importances, written as files and read back, one row a figure."""
     path = store.new_path(spark, "reports")
-    files.write_report(_importance(spark, sf_dir), f"{path}/feature_importance")
-    return files.read_importance(spark, f"{path}/feature_importance")
+    files.write_report(_importance()(spark, sf_dir), f"{path}/feature_importance")
+    files.write_report(_comparison(spark, sf_dir), f"{path}/model_metrics")
+    importance = files.read_importance(spark, f"{path}/feature_importance").select(
+        F.lit("feature_importance").alias("report"), _c("feature").alias("item"), F.lit("importance").alias("figure"),
+        _c("importance").alias("value"))
+    metrics = files.read_metrics(spark, f"{path}/model_metrics").unpivot(
+        "Model", ["ROC_AUC", "F1_Weighted", "Precision", "Recall"], "figure", "value").select(
+        F.lit("model_metrics").alias("report"), _c("Model").alias("item"), "figure", "value")
+    return importance.unionByName(metrics)
 
 
 def _scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,29 +434,47 @@ def _scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _model, names, error = training.load_model(spark, models.saved(spark, sf_dir))
-    if error:
-        raise ValueError(error)
-    return names
+    """The rows of the stored best tree model, with the names of their features."""
+    loaded = models.loaded(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in loaded.model.names])
+    rows = loaded.model.nodes
+    return rows.select("tree", "node", F.get(names, _c("feature")).alias("feature"), "threshold",
+                       *[c for c in rows.columns if c.startswith("n") and c[1:].isdigit()])
 
 
 def _save(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{models.saved(spark, sf_dir)}/features").groupBy("best_name").agg(
-        F.count(F.lit(1)).alias("features"))
+    """What the stored folder says of the model, held against its rows."""
+    path = models.saved(spark, sf_dir)
+    rows = spark.read.parquet(f"{path}/model").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count("feature").alias("splits"),
+        F.sum(F.when(_c("node") == 1, _c("n0") + _c("n1") + _c("n2"))).alias("sampled"))
+    features_ = spark.read.parquet(f"{path}/features").groupBy("best_name").agg(F.count(F.lit(1)).alias("features"))
+    head = spark.read.parquet(f"{path}/manifest").select("best_name", "kind", "trees", "depth", _c("rows").alias("nodes"))
+    return head.join(features_, "best_name").join(rows, "nodes").select(
+        "best_name", "kind", "trees", "depth", "features", "nodes", "splits", "sampled")
 
 
 def _score_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = models.fitted(spark, sf_dir, models.best_kind(spark, sf_dir))
-    return scoring.score_applicants(best, bank(spark, sf_dir))
+    return scoring.score_applicants(models.loaded(spark, sf_dir), bank(spark, sf_dir))
+
+
+def _boosting_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean training loss before each round of boosting and behind the last."""
+    losses = models.fitted(spark, sf_dir, "boosted").losses
+    return spark.createDataFrame(list(enumerate(losses)), "round int, loss double")
 
 
 TRAINED: dict[str, Query] = {
     "train_logistic": _predictions("logistic"),
+    "logistic_gradient": _gradient,
     "train_decision_tree": _predictions("tree"),
     "train_random_forest": _predictions("forest"),
     "train_boosted_trees": _predictions("boosted"),
+    "boosting_losses": _boosting_losses,
     "model_comparison": _comparison,
-    "feature_importance": _importance,
+    "feature_importance": _importance(),
+    "feature_importance_top20": _importance(20),
+    "feature_importance_top10": _importance(10),
     "save_risk_model": _save,
     "load_risk_model": _load,
     "predict_risk": _predict_all,

@@ -45,28 +45,186 @@ def test_models_predict_probabilities(spark, kind, params):
     assert 0.7 < auc <= 1 and 0.5 < f1 <= 1 and 0.5 < recall <= 1
 
 
-def test_training_repeats_itself(spark):
+def node_rows(model):
+    return sorted(map(tuple, model.nodes.collect()), key=str)
+
+
+@pytest.mark.parametrize("kind, params", [("tree", {}), ("forest", {"trees": 4}), ("boosted", {"rounds": 3})])
+def test_models_do_not_depend_on_how_rows_are_dealt(spark, kind, params):
     table = models.table(spark, SMALL)
-    first, second = (training.train(table, "tree") for _ in range(2))
-    assert first.stages[-1].toDebugString.split("\n")[1:] == second.stages[-1].toDebugString.split("\n")[1:]
+    first = training.train(table, kind, **params)
+    second = training.train(table.repartition(5, "features"), kind, **params)
+    assert len(node_rows(first)) > 5 and node_rows(first) == node_rows(second)
 
 
-def test_store_load_score(spark, bank, tmp_path):
-    model = models.fitted(spark, SMALL, "tree")
-    head = features.input_stages(bank, models.encoders(spark, SMALL))
-    path = str(tmp_path / "artifact")
-    training.save_model(model, head, "Decision Tree", path)
-    loaded, names, error = training.load_model(spark, path)
-    assert error is None
+def stored(spark, kind, path, **params):
+    codes = training.codes_of(models.encoders(spark, SMALL))
+    training.save_model(models.fitted(spark, SMALL, kind, **params), codes, training.MODEL_NAMES[kind], path)
+    return path
+
+
+@pytest.mark.parametrize("kind, params", [("logistic", {}), ("tree", {}), ("forest", {"trees": 10}),
+                                          ("boosted", {"rounds": 2})])
+def test_store_load_score(spark, bank, tmp_path, kind, params):
+    """A model scored from its stored rows gives every customer what the fitted one gives."""
+    path = stored(spark, kind, str(tmp_path / "artifact"), **params)
+    loaded, names, error = training.load_model(spark, path, bank.columns)
+    assert error is None and loaded.name == training.MODEL_NAMES[kind]
     assert [r.feature for r in names.orderBy("position").collect()] == FEATURE_COLUMNS
-    want = training.predict(model, models.table(spark, SMALL)).select("Customer_ID", "prediction", "p_high")
-    got = training.predict(loaded, bank).select("Customer_ID", "prediction", "p_high")
-    assert got.count() == bank.count() and got.exceptAll(want).count() == 0
+    want = training.predict(models.fitted(spark, SMALL, kind, **params), models.table(spark, SMALL))
+    want = {r.Customer_ID: r for r in want.select("Customer_ID", "prediction", "p_low", "p_high").collect()}
+    got = training.predict(loaded, bank).collect()
+    assert len(got) == bank.count() and "City" in got[0]
+    for r in got:
+        w = want[r.Customer_ID]
+        assert r.prediction == w.prediction
+        assert (r.p_low, r.p_high) == pytest.approx((w.p_low, w.p_high), abs=1e-9)
+
+
+def test_importances_are_shares(spark):
+    model = models.fitted(spark, SMALL, "tree")
     weights = training.importances(model, spark, training.feature_names(models.table(spark, SMALL))).collect()
-    assert sum(r.importance for r in weights) == pytest.approx(1.0)
+    assert len(weights) == 29 and sum(r.importance for r in weights) == pytest.approx(1.0)
     assert [r.importance for r in weights] == sorted((r.importance for r in weights), reverse=True)
 
 
+def test_unusable_artifacts_are_refused(spark, bank, tmp_path):
+    load = lambda path, **kw: training.load_model(spark, path, **kw)[2]
+    path = stored(spark, "tree", str(tmp_path / "good"))
+    assert load(path) is None and load(path, columns=bank.columns) is None
+    assert "EMI, Gender" in load(path, columns=[c for c in bank.columns if c not in ("EMI", "Gender")])
+    for part, change, text in [
+            ("features", lambda df: df.withColumn("feature", F.when(F.col("position") == 3, "Other").otherwise(F.col("feature"))), "features"),
+            ("features", lambda df: df.where("position < 20"), "features"),
+            ("codes", lambda df: df.withColumn("value", F.upper("value")), "categories"),
+            ("model", lambda df: df.limit(2), "2 of"),
+            ("manifest", lambda df: df.withColumn("version", F.lit(99)), "version 99")]:
+        path = stored(spark, "tree", str(tmp_path / f"bad-{part}-{text[:3]}-{hash(text) % 97}"))
+        rows = spark.createDataFrame(change(spark.read.parquet(f"{path}/{part}")).collect(),
+                                     spark.read.parquet(f"{path}/{part}").schema)
+        rows.write.mode("overwrite").parquet(f"{path}/{part}")
+        assert text in load(path)
+
+
+def test_unknown_category_fails(spark, bank, tmp_path):
+    loaded, _, _ = training.load_model(spark, stored(spark, "tree", str(tmp_path / "a")))
+    with pytest.raises(Exception, match="Occupation: unknown value Wizard"):
+        training.predict(loaded, bank.limit(3).withColumn("Occupation", F.lit("Wizard"))).collect()
+
+
+def test_duckdb_walks_the_node_rows(spark, tmp_path):
+    """The same class for every test row by a recursive query over the same rows."""
+    import duckdb
+    from pyspark.ml.functions import vector_to_array
+
+    model = models.fitted(spark, SMALL, "forest", trees=10)
+    rows = models.table(spark, SMALL).where("is_test")
+    model.nodes.write.parquet(str(tmp_path / "nodes"))
+    rows.select("Customer_ID", vector_to_array("features").alias("v")).write.parquet(str(tmp_path / "rows"))
+    w = model.weights
+    found = duckdb.sql(f"""
+        WITH RECURSIVE n AS (SELECT * FROM '{tmp_path}/nodes/*.parquet'),
+        walk AS (SELECT Customer_ID, v, tree, 1 AS node FROM '{tmp_path}/rows/*.parquet', (SELECT DISTINCT tree FROM n)
+          UNION ALL SELECT Customer_ID, v, walk.tree, 2 * walk.node + (v[feature + 1] > threshold)::INT
+          FROM walk JOIN n ON n.tree = walk.tree AND n.node = walk.node WHERE feature IS NOT NULL),
+        s AS (SELECT Customer_ID, {', '.join(f'avg(n{c} * {w[c]} / (n0 * {w[0]} + n1 * {w[1]} + n2 * {w[2]})) AS p{c}' for c in range(3))}
+          FROM walk JOIN n ON n.tree = walk.tree AND n.node = walk.node WHERE feature IS NULL GROUP BY 1)
+        SELECT Customer_ID, CASE WHEN p0 >= greatest(p1, p2) THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END, p2 FROM s""").fetchall()
+    mine = {r.Customer_ID: r for r in training.predict(model, rows).collect()}
+    assert len(found) == len(mine) > 20
+    for key, prediction, high in found:
+        assert mine[key].prediction == prediction and mine[key].p_high == pytest.approx(high, abs=1e-9)
+
+
+def test_logistic_weights_are_the_minimum(spark):
+    """The gradient is zero in Spark, and in numpy at the weights that the stored rows give."""
+    import numpy as np
+
+    table, model = models.table(spark, SMALL), models.fitted(spark, SMALL, "logistic")
+    rows = training.logistic_gradient(model, table).collect()
+    assert len(rows) == 3 * 30 and max(abs(r.gradient) for r in rows) < 5e-7
+    train = table.where("NOT is_test").collect()
+    x = np.array([r.features.toArray() for r in train])
+    y, w = np.array([r.label for r in train]), np.array([r.weight for r in train])
+    raw = np.zeros((3, 30))
+    for c, i, v in training.linear_rows(model):
+        raw[c, i] = v  # the constant is the last, -1
+    m = x @ raw[:, :29].T + raw[:, 29]
+    p = np.exp(m - m.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    std = x.std(axis=0, ddof=1)
+    z = np.where(std > 0, (x - x.mean(axis=0)) / np.where(std > 0, std, 1), 0)
+    gradient = ((w[:, None] * (p - np.eye(3)[y])).T @ z + raw[:, :29] * std) / w.sum()
+    assert np.abs(gradient).max() < 1e-6
+
+
+def test_boosting_lowers_the_loss_and_matches_plain_code(spark):
+    """Losses fall every round; the trees of two rounds are those of a plain exhaustive search."""
+    import numpy as np
+    from tellerlake.operators import boosting
+
+    table = models.table(spark, SMALL)
+    model = boosting.fit(table.where("NOT is_test"), training.feature_names(table), rounds=11, depth=3)
+    assert all(b < a for a, b in zip(model.losses, model.losses[1:])) and len(model.losses) == 12
+    assert model.losses[0] == pytest.approx(np.log(3))
+    train = table.where("NOT is_test").collect()
+    x, y = np.array([r.features.toArray() for r in train]), np.array([r.label for r in train])
+    nodes = {(r.tree, r.node): r for r in model.nodes.collect()}
+    edges = []  # the largest value of each bin: where a split may stand
+    for column in x.T:
+        code = np.floor((column[:, None] > column[None, :]).sum(axis=1) * 64 / len(column))
+        edges.append([column[code == k].max() for k in np.unique(code)])
+    margins = np.zeros((len(y), 3))
+    for number in range(2):
+        p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+        assert model.losses[number] == pytest.approx(-np.log(p[np.arange(len(y)), y]).mean(), abs=1e-7)
+        for c in range(3):
+            g, h = p[:, c] - (y == c), 2 * p[:, c] * (1 - p[:, c])
+            rows = {1: np.arange(len(y))}
+            for node in range(1, 8):
+                if node not in rows:
+                    continue
+                mine, r = rows[node], nodes[3 * number + c, node]
+                worth = lambda i: g[i].sum() ** 2 / (h[i].sum() + 1)
+                best = 0.0
+                for f in range(29):
+                    for t in edges[f][:-1]:
+                        left, right = mine[x[mine, f] <= t], mine[x[mine, f] > t]
+                        if h[left].sum() >= 1 and h[right].sum() >= 1:
+                            best = max(best, worth(left) + worth(right) - worth(mine))
+                if r.feature is None:
+                    assert best < 1e-6
+                    continue
+                left = x[mine, r.feature] <= r.threshold
+                assert r.gain == pytest.approx(worth(mine[left]) + worth(mine[~left]) - worth(mine), abs=1e-5)
+                assert r.gain == pytest.approx(best, abs=1e-5)
+                rows[2 * node], rows[2 * node + 1] = mine[left], mine[~left]
+            for node, mine in rows.items():
+                if nodes[3 * number + c, node].feature is None:
+                    assert nodes[3 * number + c, node].value == pytest.approx(-0.1 * g[mine].sum() / (h[mine].sum() + 1), abs=1e-6)
+                    margins[mine, c] += nodes[3 * number + c, node].value
+    scored = training.predict(model, table.where("is_test")).collect()
+    assert all(abs(r.p_low + r.p_medium + r.p_high - 1) < 1e-12 for r in scored)
+
+
+def test_trees_on_odd_rows(spark):
+    """No rows, one class, one row and equal rows grow no split and still score."""
+    from pyspark.ml.linalg import Vectors
+    from tellerlake.operators import boosting, trees
+
+    schema = models.table(spark, SMALL).select("Customer_ID", "label", "features").schema
+    make = lambda rows: spark.createDataFrame([(k, y, Vectors.dense(v)) for k, y, v in rows], schema)
+    names = ["a", "b"]
+    for rows in ([(f"c{i}", 2, [float(i), 0.0]) for i in range(60)], [(f"c{i}", i % 3, [1.0, 1.0]) for i in range(60)],
+                 [("x", 0, [1.0, 2.0]), ("x", 0, [1.0, 2.0])]):
+        for model in (trees.grow(make(rows), names), boosting.fit(make(rows), names, rounds=1)):
+            scored = training.predict(model, make(rows), ["Customer_ID", "label"]).collect()
+            assert len(scored) == len(rows)
+            assert all(abs(r.p_low + r.p_medium + r.p_high - 1) < 1e-9 for r in scored)
+            assert model.nodes.where("feature IS NOT NULL").count() == 0
+    assert trees.grow(make([]), names).nodes.count() == 0 == boosting.fit(make([]), names, rounds=2).nodes.count()
+
+
 def test_missing_model_is_reported(spark, tmp_path):
     model, names, error = training.load_model(spark, str(tmp_path / "none"))
     assert model is None and names is None and "not found" in error
