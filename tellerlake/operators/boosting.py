@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..schema import RISK_LABELS
 from ..sources.store import cut, discard
 from .trees import (BINS, CLASSES, Partial, bin_edges, binned, bins_of, edge_lists, level_sums, most_likely, summed_leaves,
-                    walked)
+                    walked, whole_if_small)
 
 UNIT = float(1 << 30)
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, gain double, value double"
@@ -72,7 +72,7 @@ def margins_of(batch: pa.RecordBatch, bins: np.ndarray, rounds: Sequence[Round],
     return out
 
 
-def _advanced(work: DataFrame, rounds: Sequence[Round], features: int, depth: int) -> DataFrame:
+def _advanced(work: DataFrame, rounds: Sequence[Round], features: int, depth: int, total: int) -> DataFrame:
     """The work table with the margins of ``rounds`` added, stored."""
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,8 +81,8 @@ def _advanced(work: DataFrame, rounds: Sequence[Round], features: int, depth: in
                 [batch.column("label"), batch.column("bins"), *[pa.array(m[:, c]) for c in range(CLASSES)]],
                 names=["label", "bins", *[f"m{c}" for c in range(CLASSES)]])
 
-    return cut(work.select("label", "bins", *[f"m{c}" for c in range(CLASSES)]).mapInArrow(
-        added, "label int, bins binary, " + ", ".join(f"m{c} double" for c in range(CLASSES))), "boosting-rows")
+    return whole_if_small(cut(work.select("label", "bins", *[f"m{c}" for c in range(CLASSES)]).mapInArrow(
+        added, "label int, bins binary, " + ", ".join(f"m{c} double" for c in range(CLASSES))), "boosting-rows"), total)
 
 
 def _dense(sums: DataFrame, level: int, features: int) -> np.ndarray:
@@ -122,11 +122,11 @@ def fit(rows: DataFrame, names: Sequence[str], rounds: int = 200, depth: int = 6
         return Boosted(spark.createDataFrame([], NODE_SCHEMA), 0, depth, [], list(names))
     edges = edge_lists(bin_edges(rows), features)
     work = _advanced(binned(rows, edges, total).select(
-        "label", "bins", *[F.lit(0.0).alias(f"m{c}") for c in range(CLASSES)]), [], features, depth)
+        "label", "bins", *[F.lit(0.0).alias(f"m{c}") for c in range(CLASSES)]), [], features, depth, total)
     table, losses, since = [], [], []
     for number in range(rounds):
         if len(since) == KEEP:
-            old, work = work, _advanced(work, since, features, depth)
+            old, work = work, _advanced(work, since, features, depth, total)
             discard(old)
             since = []
         now = Round(depth)

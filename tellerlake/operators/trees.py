@@ -105,7 +105,13 @@ def binned(rows: DataFrame, edges: Sequence[Sequence[float]], total: int) -> Dat
 
     slim = rows.select(row_number_of(F.col(KEY)).alias("number"), F.col("label").cast("int").alias("label"),
                        vector_to_array("features").alias("v"))
-    return cut(slim.mapInArrow(coded, "number long, label int, bins binary").coalesce(1 + total // TASK_ROWS), "binned-rows")
+    return whole_if_small(cut(slim.mapInArrow(coded, "number long, label int, bins binary").coalesce(
+        1 + total // TASK_ROWS), "binned-rows"), total)
+
+
+def whole_if_small(work: DataFrame, total: int) -> DataFrame:
+    """Rows of one task's worth are read as one partition, whose sums need no exchange."""
+    return work.coalesce(1) if total < TASK_ROWS else work
 
 
 class Partial:
