@@ -1,4 +1,4 @@
-"""Benchmark decontamination by runs of words that no accepted pair can lack: DataFrame and SQL functions only."""
+"""Benchmark decontamination by spaced seeds that no accepted pair can lack: DataFrame and SQL functions only."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-#: Masks of the check statement only: positions that count within a window of words.
-MASKS = ("1101100110011", "1100011011")
 WINDOW, PERCENT = 20, 80
 BROADCAST_ROWS = 2_000_000  # seeds of a benchmark up to 2 million words: about 60 MB
 
@@ -49,15 +47,17 @@ def _seeds_of(words: Column, pairs: Column, masks: Sequence[str]) -> Column:
     return F.transform(starts, lambda _, i: F.array(*[value(m, i) for m in masks]))
 
 
-def run_length(words: int, window: int = WINDOW, percent: int = PERCENT) -> int:
-    """Words in a row that every accepted overlay of an item of ``words`` words agrees in.
+def mask(words: int, window: int = WINDOW, percent: int = PERCENT) -> str:
+    """The seed of items of ``words`` words: which positions count, in a window of them, from one start.
 
-    ``agree`` words of a window agree and the ``wide - agree`` others cut them into at most one
-    part more than that, so one part has the mean length or more.
+    ``gone`` words of an accepted window may differ. Its positions fall into ``gone + 1`` classes by
+    their remainder, so that one class at least is untouched: a seed that takes every
+    ``gone + 1``-th word, as often as each class has it, is found in every accepted window. 20
+    words with 4 replaced: four words, each five apart, and the four between them ignored.
     """
     wide = min(words, window)
-    agree = -(-wide * percent // 100)
-    return -(-agree // (wide - agree + 1))
+    gone = wide - -(-wide * percent // 100)
+    return "1" + ("0" * gone + "1") * (wide // (gone + 1) - 1)
 
 
 def _exploded(of: DataFrame, keys: Sequence[str], words: Column, masks: Sequence[str]) -> DataFrame:
@@ -71,12 +71,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
 
     A pair is reported when some ``window`` words in a row (the whole item, if shorter) agree
     in ``percent`` or more with the document's words at one shift, so replaced words are
-    tolerated. ``matched`` is the best count of agreeing words. Whatever words are replaced, some
-    :func:`run_length` words in a row agree (4 for 20 words, 3 for 15): such runs are hashed at
-    every start, in documents and items, and equal hashes put a document and an item on a
-    diagonal. There words are compared one to one. So no pair is missed.
+    tolerated. ``matched`` is the best count of agreeing words. Whatever words are replaced, the
+    spaced seed of :func:`mask` is left somewhere: seeds are hashed at every start, in documents and
+    items, and equal hashes put a document and an item on a diagonal. There words are compared
+    one to one. So no pair is missed.
 
-    Items of any length count, down to one word; null or empty texts match nothing.
+    Items of any length count, those below five words only word for word: an item of one word is
+    held by every text with that word. Null or empty texts match nothing.
     Repeated items are reported each; repeated doc_ids give one row. Rows with a null id are
     left out (nothing could name them). Empty tables give no rows; other columns are ignored.
 
@@ -85,13 +86,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("item")
                              ).where("item_id IS NOT NULL AND size(item) > 0").distinct()
-    runs = F.element_at(F.array(*[F.lit(run_length(n, window, percent)) for n in range(1, window + 1)]),
-                        F.least(F.size("item"), F.lit(window)))
-    items = items.withColumn("run", runs)
-    lengths = sorted((r.run for r in items.select("run").distinct().collect()), reverse=True) or [1]
-    masks = ["1" * n for n in lengths]
-    own = F.get("seeds", F.array_position(F.array(*map(F.lit, lengths)), F.col("run")).cast("int") - 1)
-    item_seeds = _exploded(items, ["item_id", "run"], F.col("item"), masks).where("seeds IS NOT NULL").select(
+    kinds = F.element_at(F.array(*[F.lit(mask(n, window, percent)) for n in range(1, window + 1)]),
+                         F.least(F.size("item"), F.lit(window)))
+    items = items.withColumn("kind", kinds)
+    masks = sorted(r.kind for r in items.select("kind").distinct().collect()) or ["1"]  # one a length at most
+    own = F.get("seeds", F.array_position(F.array(*map(F.lit, masks)), F.col("kind")).cast("int") - 1)
+    item_seeds = _exploded(items, ["item_id", "kind"], F.col("item"), masks).where("seeds IS NOT NULL").select(
         "item_id", F.col("at").alias("item_at"), own.alias("seed")).distinct()
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
                         ).where("doc_id IS NOT NULL")
@@ -102,9 +102,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
     hits = cut(doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed").select(
         "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
 
-    texts = words.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    # the words of a text are hashed once, before they meet its hits
+    texts = words.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", word_hashes(F.col("text")).alias("doc"))
     laid = hits.join(texts, "doc_id").join(F.broadcast(items) if few else items, "item_id")
-    laid = laid.select("doc_id", "item_id", "shift", "item", word_hashes(F.col("text")).alias("doc"))
     agree = bound(F.col("doc"), lambda doc: F.transform(F.col("item"), lambda w, i: F.coalesce(
         ((i + F.col("shift")) >= 0) & (w == F.get(doc, i + F.col("shift"))), F.lit(False)).cast("int")))
     wide = F.least(F.size("item"), F.lit(window))
@@ -117,25 +118,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
         F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
 
 
-def statement(masks: Sequence[str] = MASKS, window: int = WINDOW, percent: int = PERCENT) -> str:
-    """DuckDB SQL for the rows of :func:`contaminated` over ``documents`` and ``benchmark``.
-
-    It still looks at pairs that share a seed of ``masks``, so it may lack pairs with many replaced
-    words and of short items.
-    """
-    span = len(masks[0])
+def statement(window: int = WINDOW, percent: int = PERCENT) -> str:
+    """DuckDB SQL for the rows of :func:`contaminated` over ``documents`` and ``benchmark``, by the same seeds."""
+    kinds = [mask(n, window, percent) for n in range(1, window + 1)]
     seeds = " UNION ALL ".join(
-        f"SELECT id, s AS at, {k} AS mask, [" + ", ".join(
-            f"w[s + {i}]" for i, bit in enumerate(mask) if bit == "1")
-        + f"] AS seed FROM (SELECT id, w, unnest(range(1, len(w) - {span} + 2)) AS s FROM {{0}})"
-        for k, mask in enumerate(masks))
+        f"SELECT id, s AS at, '{m}' AS kind, [" + ", ".join(f"w[s + {i}]" for i, bit in enumerate(m) if bit == "1")
+        + f"] AS seed FROM (SELECT id, w, unnest(range(1, len(w) - {len(m)} + 2)) AS s FROM {{0}})" for m in sorted(set(kinds)))
     split = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
     return f"""
 WITH d AS (SELECT doc_id AS id, {split} AS w FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT DISTINCT item_id AS id, {split} AS w FROM benchmark WHERE item_id IS NOT NULL),
+k AS (SELECT id, {kinds}[least(len(w), {window})] AS kind FROM b WHERE len(w) > 0),
 ds AS ({seeds.format('d')}), bs AS ({seeds.format('b')}),
 hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.at - bs.at AS shift
-         FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+         FROM ds JOIN bs ON ds.kind = bs.kind AND ds.seed = bs.seed JOIN k ON k.id = bs.id AND k.kind = bs.kind),
 laid AS (SELECT doc_id, item_id, least(len(b.w), {window}) AS wide, len(b.w) AS n,
          list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN i + shift >= 1 AND i + shift <= len(d.w)
              AND b.w[i] = d.w[i + shift] THEN 1 ELSE 0 END) AS agree

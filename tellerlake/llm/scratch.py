@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below :func:`folder` and read it back, which ends its lineage there."""
     path = new_path(df.sparkSession, name)

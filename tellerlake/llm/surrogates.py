@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import bound
-from .scratch import cut
+from .scratch import cut, unused
 
 # Titles before a name, by the gender they tell.
 TITLES = {"f": "Mrs|Ms|Miss|Frau|Mme|Madame|Mlle|Sra|Señora|Srta|Госпожа|Κυρία",
           "m": "Mr|Herr|Monsieur|Sr|Señor|Господин|Κύριος", "u": "Dr|Prof"}
-_NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L})))+"  # without a possessive 's
+# Without a possessive 's. Loops over groups are possessive or bounded: others recurse once a turn in Java.
+_NAME = r"\p{Lu}(?=\p{L}|['’-]\p{L})\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 SECRET_WORDS = "(?i:password|passwd|token|secret|api_?key)"
 _SIGN = "[\"']? ?[=:] ?[\"']?"  # a quote before it in JSON
 _TITLE = "|".join(TITLES.values())
 
 #: Kinds of entities in order of precedence. Keys and names are matched with the word before them.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": rf"(?<![A-Za-z]){SECRET_WORDS}{_SIGN}(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{{8,}}",
     "phone": r"(?<![\w+])\+?1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
@@ -27,7 +28,7 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{4}[ -]){3}\d{4}(?![\w-])|(?<![\w.-])\d{13,19}(?![\w-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?[  ]{_NAME}(?:[  ]{_NAME}){{0,2}}",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?[  ]{_NAME}(?:[  ]{_NAME})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What an entity has in it: literal parts, and digits in a row. Cheap tests before the patterns.
@@ -113,19 +114,22 @@ def _draw(key: str, kind: Column, value: Column, attempt: Column, last: Column,
     us_phone = (kind == "phone") & value.rlike(r"^\d{10}$")
     size = F.length(value)
 
-    def poured(stream: Column) -> Column:
+    def poured(known: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
-            n = F.conv(F.substring(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            # from the block itself: a look-up in one long string would walk over all before it
+            n = F.conv(F.substring(F.get(known["blocks"], F.floor(i / 16).cast("int")), i % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
             pick = c
             for pool in reversed(POOLS):
                 pick = F.when(F.instr(F.lit(pool), c) > 0, F.substring(F.lit(pool), n % len(pool) + 1, F.lit(1))).otherwise(pick)
             # area and exchange codes of North American numbers begin with 2 to 9
-            pick = F.when(us_phone & (size - i).isin(10, 7), F.substring(F.lit("23456789"), n % 8 + 1, F.lit(1))).otherwise(pick)
-            pick = F.when(hexadecimal, F.substring(F.lit(HEX), n % 16 + 1, F.lit(1))).otherwise(pick)
-            return F.when((i < head) | (i >= size - tail), c).otherwise(pick)
+            pick = F.when(known["us"] & (known["size"] - i).isin(10, 7), F.substring(F.lit("23456789"), n % 8 + 1, F.lit(1))).otherwise(pick)
+            pick = F.when(known["hex"], F.substring(F.lit(HEX), n % 16 + 1, F.lit(1))).otherwise(pick)
+            return F.when((i < known["head"]) | (i >= known["size"] - known["tail"]), c).otherwise(pick)
         return F.array_join(F.transform(_chars(value), one), "")
 
-    drawn = bound(F.array_join(blocks, ""), poured)
+    # what all characters ask for is worked out once a value, not once a character
+    drawn = bound(F.struct(blocks.alias("blocks"), size.alias("size"), tail.alias("tail"), head.alias("head"),
+                           us_phone.alias("us"), hexadecimal.alias("hex")), poured)
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(
         i == 0, F.conv(F.substring(F.get(blocks, F.lit(0)), F.lit(1), F.lit(4)), 16, 10).cast("int") % 223 + 1).otherwise(
         F.conv(F.substring(F.get(blocks, F.lit(0)), i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string"))
@@ -200,19 +204,22 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     case, are replaced likewise and counted. Text around entities is untouched.
 
     Null and empty texts and texts without entities come back as they are. Ids are not used,
-    so null and repeated ids are no matter; equal texts get equal results. Columns called
-    ``n_replaced`` are replaced, all others pass through.
+    so null and repeated ids are no matter; equal texts get equal results. A column called
+    ``n_replaced`` is replaced, all others pass through, whatever their names. Names may have any
+    number of parts and words any length.
 
     Only texts with entities are stored, and joined to their replacements by the text's hash.
     """
     columns = [c for c in docs.columns if c != "n_replaced"]
+    # names beside those of the table
+    digest, new_, names_, mention_ = (unused(columns, n) for n in ("_text", "_new", "_names", "_mention"))
     text = F.col("text").cast("string")
     has = F.coalesce(_hinted(text) & text.rlike(ANY), F.lit(False))
     clean = docs.select(*columns).where(~has).withColumn("n_replaced", F.lit(0).cast("long"))
-    found = cut(docs.select(*columns).where(has).withColumn("_text", F.sha2("text", 256)), "with-entities")
+    found = cut(docs.select(*columns).where(has).withColumn(digest, F.sha2("text", 256)), "with-entities")
 
     entity, word = F.col("entity"), F.col("word")
-    parts = found.groupBy("_text").agg(F.first("text").alias("text")).select("_text", F.posexplode(
+    parts = found.groupBy(F.col(digest).alias("_text")).agg(F.first("text").alias("text")).select("_text", F.posexplode(
         F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "entity")).select(
         "_text", "at", "entity", _kind(entity).alias("kind"))
     # an entity in words: those of a name, or what stands before a secret and the secret
@@ -243,22 +250,23 @@ def pseudonymise(docs: DataFrame, key: str = "surrogate-key-1") -> DataFrame:
     joined = joined.withColumn("_mention", F.when(F.size("_names") > 0, F.concat(  # the longest first
         F.lit(r"(?<!\p{L})(?:"), F.array_join(F.reverse(F.array_sort(F.transform(F.col("_names"), lambda n: F.struct(
             F.length(n["value"]).alias("n"), n["value"].alias("v"))))).getField("v"), "|"), F.lit(r")(?!\p{L})")))
-    ).withColumn("_names", F.map_from_entries("_names"))
+    ).withColumn("_names", F.map_from_entries("_names")).withColumnsRenamed(
+        {"_text": digest, "_new": new_, "_names": names_, "_mention": mention_})
 
     def mentions(piece: Column) -> Column:
-        return F.when(F.col("_mention").isNull(), F.array().cast("array<string>")).otherwise(
-            F.regexp_extract_all(piece, F.col("_mention"), F.lit(0)))
+        return F.when(F.col(mention_).isNull(), F.array().cast("array<string>")).otherwise(
+            F.regexp_extract_all(piece, F.col(mention_), F.lit(0)))
 
     def renamed(piece: Column) -> Column:
-        return F.when(F.col("_mention").isNull(), piece).otherwise(bound(mentions(piece), lambda found: F.array_join(F.flatten(
-            F.transform(F.split(piece, F.col("_mention"), -1), lambda q, i: F.array(
-                q, F.coalesce(F.element_at(F.col("_names"), F.get(found, i)), F.lit(""))))), "")))
+        return F.when(F.col(mention_).isNull(), piece).otherwise(bound(mentions(piece), lambda found: F.array_join(F.flatten(
+            F.transform(F.split(piece, F.col(mention_), -1), lambda q, i: F.array(
+                q, F.coalesce(F.element_at(F.col(names_), F.get(found, i)), F.lit(""))))), "")))
 
     pieces = F.split("text", ANY, -1)
-    woven = bound(F.col("_new"), lambda new: F.array_join(F.flatten(F.transform(
+    woven = bound(F.col(new_), lambda new: F.array_join(F.flatten(F.transform(
         pieces, lambda piece, i: F.array(renamed(piece), F.coalesce(F.get(new, i), F.lit(""))))), ""))
-    more = F.when(F.col("_mention").isNull(), 0).otherwise(
+    more = F.when(F.col(mention_).isNull(), 0).otherwise(
         F.aggregate(pieces, F.lit(0), lambda n, piece: n + F.size(mentions(piece))))
-    new = found.join(joined, "_text").select(*[woven.alias("text") if c == "text" else c for c in columns],
-                                             (F.size("_new") + more).cast("long").alias("n_replaced"))
+    new = found.join(joined, digest).select(*[woven.alias("text") if c == "text" else c for c in columns],
+                                             (F.size(new_) + more).cast("long").alias("n_replaced"))
     return clean.unionByName(new)

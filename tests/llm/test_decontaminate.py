@@ -1,5 +1,6 @@
 """Decontamination against an aligned comparison without seeds."""
 
+import itertools
 import random
 
 from conftest import SMALL
@@ -17,6 +18,19 @@ def aligned(doc, item, window=20, percent=80):
     return best if 100 * best >= percent * wide else None
 
 
+def test_every_accepted_pattern_holds_its_seed():
+    """All ways to replace words of an accepted window, at every length."""
+    for n in range(1, 21):
+        mask = decontaminate.mask(n)
+        ones = [i for i, bit in enumerate(mask) if bit == "1"]
+        gone = n - -(-n * 80 // 100)
+        assert len(mask) <= n and (gone == 0 or "0" in mask)
+        spots = [{s + i for i in ones} for s in range(n - len(mask) + 1)]
+        for lost in itertools.combinations(range(n), gone):  # 4,845 for 20 words; fewer lost words leave more
+            assert any(not spot & set(lost) for spot in spots), (n, lost)
+    assert decontaminate.mask(20) == "1000010000100001" == decontaminate.mask(500)
+
+
 def test_no_accepted_pair_is_missed(spark):
     draw = random.Random(5)
     sizes = [*range(1, 26), 40]

@@ -47,3 +47,22 @@ def test_further_mentions_and_one_surrogate_a_name(spark):
     assert m and m[2] == m[3] == m[5] != "Byron" and m[1] == m[4] != "Ada" and out[0][1] == 5
     assert out[1][0] == f"Dr {m[1]} {m[2]}" and out[2][0] == f"Ms {m[1]}"
     assert out[3] == ("Byron and Ada without a title", 0)
+
+
+def test_very_long_words(spark):
+    """A long text without a space, in the form of each kind."""
+    n = 300_000
+    texts = ["Mr A" + "a" * n, "Mr A" + "-a" * (n // 2), "a@b" + ".c" * (n // 2), "a@b" + ".cc" * (n // 3), "a" * n + "@b.com", "a." * (n // 2),
+             "password: " + "a" * 20_000, "password: " + "_" * n, "1" * n, "1-" * (n // 2), "1." * (n // 2), "AKIA" + "A" * n, "+1 " + "2 " * (n // 2),
+             "Ms " + "Ada " * (n // 4), "Ms Ada" + " " * n + "Ada"]
+    out = replaced(spark, *texts)
+    assert len(out) == len(texts)
+    assert out[6][1] == 1 and len(out[6][0]) == len(texts[6]) and out[6][0] != texts[6]
+    assert out[14][1] == 2 and "Ada" not in out[14][0]
+
+
+def test_names_of_many_parts(spark):
+    out = replaced(spark, "Ms Ada Maria Lovelace Byron King went home", "Herr Jean-Luc O'Neill's hat")
+    assert out[0][1] == 1 and not {"Ada", "Maria", "Lovelace", "Byron", "King"} & set(out[0][0].split())
+    assert re.fullmatch(r"Ms \w+ \w+ \w+ \w+ \w+ went home", out[0][0])
+    assert re.fullmatch(r"Herr \w+-\w+ \w'\w+'s hat", out[1][0]) and "Neill" not in out[1][0]
