@@ -6,8 +6,8 @@ each result as Parquet below the folder the cluster shares and reads it for the
 a lost executor costs a few tasks only.
 
 Rows with nulls, empty or repeated texts and extra columns pass as the operators say: texts
-without words fail the quality rules; rows that repeat a doc_id share one verdict on near-duplicates,
-where rows with a null doc_id stay. Benchmark passages are judged row by row, whatever the ids.
+without words fail the quality rules. Near-duplicates and benchmark passages are judged row by row,
+whatever the ids, and columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,26 +22,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a stored number for each row, and the column's name: ids may be null or repeated."""
+    number = scratch.unused(docs.columns, "row_number")
+    return scratch.cut(docs.withColumn(number, F.monotonically_increasing_id()), name), number
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = quality.rules(docs, _table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that the quality rules keep; only the verdict comes from them."""
+    # columns travel under names that the rules do not make
+    others = {c: f"in_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    judged = quality.rules(docs.withColumnsRenamed(others), _table(spark, sf_dir, "labels")).where("kept")
+    return judged.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near-duplicates."""
-    judged = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("stays"))
-    gone = judged.where("NOT stays").select("doc_id")  # an id with two texts goes only if both are copies
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: that of the least doc_id, null ids last.
+
+    Rows are told apart by a stored number, so that copies go whose ids are null or repeated.
+    """
+    rows, number = _numbered(docs, "numbered")
+    judged = minhash.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("n"), "component_id")
+    ids = rows.select(F.col(number).alias("n"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col(number).alias("n")).alias("rank"))
+    first = judged.join(ids, "n").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return rows.join(first.select(F.col("rank.n").alias(number)), number, "left_semi").select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    # a stored number names each row: ids may be null or repeated
-    rows = scratch.cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = decontaminate.contaminated(rows.select(F.col("_row").alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
-    hit = found.select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+    rows, number = _numbered(docs, "numbered")
+    found = decontaminate.contaminated(rows.select(F.col(number).alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
+    hit = found.select(F.col("doc_id").alias(number)).distinct()
+    return rows.join(hit, number, "left_anti").select(*docs.columns)
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
