@@ -66,6 +66,30 @@ def test_ranks_outside_their_brackets_are_searched_again(spark, monkeypatch):
     assert sorted(got) == [250.0, 500.0]
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_full_brackets_are_narrowed(skewed, by):
+    """A coarse sketch leaves hundreds of values in a bracket; equal ones cannot be told apart and need not."""
+    df, pdf = skewed
+    probs = [0.0, 0.1, 0.25, 0.5, 0.97, 1.0]
+    got = quantiles.exact_quantiles(df, ["x", "y"], probs, by=by, accuracy=100, held=5).collect()
+    for r in got:
+        part = pdf if not by else pdf[pdf["g"].isna()] if r["g"] is None else pdf[pdf["g"] == r["g"]]
+        want = part[r["column"]].quantile(r["prob"])
+        assert r["value"] == (None if np.isnan(want) else pytest.approx(want, rel=1e-12)), r
+    assert len(got) == 12 * (7 if by else 1)
+
+
+def test_ten_million_distinct_values(spark, monkeypatch):
+    """What is searched in the end does not grow with the rows."""
+    df = spark.range(10_000_000).select(((F.col("id") * 7_654_321 + 5) % 10_000_019).cast("double").alias("v"))
+    seen, search = [], quantiles._looked_up
+    monkeypatch.setattr(quantiles, "_looked_up", lambda *a: seen.append(a[-1].count()) or search(*a))
+    got = {r["prob"]: r["value"] for r in quantiles.exact_quantiles(df, ["v"], [0.25, 0.5, 0.999]).collect()}
+    values = np.sort((np.arange(10_000_000) * 7_654_321 + 5) % 10_000_019)
+    assert got == {p: pytest.approx(np.quantile(values, p), rel=1e-12) for p in got} and len(got) == 3
+    assert seen[0] <= 3 * (quantiles.HELD + 2)
+
+
 def test_slices_are_even_in_a_narrow_group(spark):
     """A group whose values lie close together is cut like any other."""
     df = spark.range(20_000).select(
