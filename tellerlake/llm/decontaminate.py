@@ -102,8 +102,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pe
     hits = cut(doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed").select(
         "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "seed-hits")
 
-    # the words of a text are hashed once, before they meet its hits
-    texts = words.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select(
+    # The words of a text are hashed once, before they meet its hits. How many texts have hits grows with the
+    # documents, so these are merged by id at every size and never sent to all tasks.
+    texts = words.join(hits.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(
         "doc_id", word_hashes(F.col("text")).alias("doc"))
     laid = hits.join(texts, "doc_id").join(F.broadcast(items) if few else items, "item_id")
     agree = bound(F.col("doc"), lambda doc: F.transform(F.col("item"), lambda w, i: F.coalesce(
