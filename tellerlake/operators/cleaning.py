@@ -103,8 +103,21 @@ def conform(df: DataFrame) -> DataFrame:
 def typed(raw: DataFrame) -> DataFrame:
     """First row per customer with numbers, flags and dates parsed."""
     require(raw, [ORDINAL, *RAW_COLUMNS])
-    return drop_repeats(raw).transform(coerce_numbers).transform(coerce_flags).transform(
-        parse_dates)
+    return parsed(drop_repeats(raw))
+
+
+def parsed(df: DataFrame) -> DataFrame:
+    return df.transform(coerce_numbers).transform(coerce_flags).transform(parse_dates)
+
+
+def first_rows_counted(df: DataFrame, copies: str, key: str = KEY, order: str = ORDINAL) -> DataFrame:
+    """The rows of :func:`drop_repeats` with the number of rows that each stands for.
+
+    Both come from one aggregation, made map-side first: a key with very many copies sends one
+    row a task. As the count is part of the result, a repeated task cannot raise it.
+    """
+    return df.groupBy(F.col(key).alias("_key")).agg(
+        F.min_by(F.struct(*df.columns), order).alias("_row"), F.count(F.lit(1)).alias(copies)).select("_row.*", copies)
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -124,15 +137,18 @@ def clean_customers(raw: DataFrame) -> DataFrame:
 def stage_report(raw: DataFrame) -> DataFrame:
     """Row counts of the raw input, after dropping repeats, and of the clean table.
 
-    Of the rules after the medians only the valid ranges drop rows, so one pass over the
-    stored rows counts both. The raw rows are counted by a scan of their own: a count
-    observed while they are stored would be too high after a repeated task.
+    The raw rows are read once: every stored row says how many it stands for. Of the rules after
+    the medians only the valid ranges drop rows, so one pass over the stored rows counts all three.
     """
-    stored = cut(typed(raw), "typed-customers")
+    require(raw, [ORDINAL, *RAW_COLUMNS])
+    copies = "_copies"
+    while copies in raw.columns:
+        copies += "_"
+    stored = cut(parsed(first_rows_counted(raw, copies)), "counted-customers")
     rows = F.count(F.lit(1))
-    kept = impute_medians(stored).agg(rows.alias("dedup"), F.count_if(valid()).alias("final"))
-    counts = raw.agg(rows.alias("raw")).unpivot([], ["raw"], "stage", "rows").unionByName(
-        kept.unpivot([], ["dedup", "final"], "stage", "rows"))
+    counts = impute_medians(stored).agg(
+        F.coalesce(F.sum(copies), F.lit(0)).alias("raw"), rows.alias("dedup"), F.count_if(valid()).alias("final")).unpivot(
+        [], ["raw", "dedup", "final"], "stage", "rows")
     step = F.array_position(F.array(*[F.lit(s) for s in ("raw", "dedup", "final")]), F.col("stage"))
     return counts.select(step.cast("int").alias("step"), "stage", "rows")
 

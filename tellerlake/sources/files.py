@@ -19,18 +19,47 @@ METRICS_SCHEMA = struct(
 IMPORTANCE_SCHEMA = struct("feature string, importance double")
 
 
-def read_by_name(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """The named columns of CSV files with header, as text, wherever they stand in the files.
+def _text_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """All columns of CSV files with header, as text; last, the whole record where it is malformed.
 
-    Fails when a column is missing, or when files below ``path`` differ in their headers.
+    Every plan over the result reads a real column too: Spark refuses one of the last alone.
+
+    Fails when one of ``columns`` is missing, or when files below ``path`` differ in their headers.
     """
     header = spark.read.option("header", True).csv(path).columns
     missing = [c for c in columns if c not in header]
     if missing:
         raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(
-        path).select(*columns)
+    mark = "_malformed"
+    while mark in header:
+        mark += "_"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, mark]])
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option(
+        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", mark).option("columnPruning", False).csv(path)
+    return rows.where(F.xxhash64(F.col(f"`{header[0]}`")) >= F.lit(-(1 << 63)))  # holds for every row
+
+
+def read_by_name(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The named columns of CSV files with header, as text, wherever they stand in the files.
+
+    Records with fewer or more fields than the header are left out, neither padded nor cut: see
+    :func:`read_malformed`. Fails when a column is missing, or when files below ``path`` differ
+    in their headers.
+    """
+    rows = _text_rows(spark, path, columns)
+    return rows.where(F.col(rows.columns[-1]).isNull()).select(*columns)
+
+
+def read_malformed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record): the text of every record that has fewer or more fields than the header."""
+    rows = _text_rows(spark, path, [])
+    return rows.where(F.col(rows.columns[-1]).isNotNull()).select(
+        F.col("_metadata.file_path").alias("file"), F.col(rows.columns[-1]).alias("record"))
+
+
+def malformed_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, records): how many malformed records each file holds, if any."""
+    return read_malformed(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("records"))
 
 
 def typed_columns(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -53,10 +53,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what :func:`cut` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, where = _fs(df.sparkSession, file)
+        fs.delete(where.getParent(), True)
 
 
 def buckets(spark: SparkSession, source_bytes: int) -> int:
@@ -159,15 +158,51 @@ def register(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+_POINTER = "current"
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the version pointers below ``path``, oldest first."""
+    fs, where = _fs(spark, f"{path}/{_POINTER}")
+    if not fs.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(where) if not s.getPath().getName().startswith((".", "_")))
+
+
 def build_tables(df: DataFrame, path: str) -> dict[str, DataFrame]:
-    """Write the four tables as Parquet below ``path``, replacing what is there."""
+    """Write the four tables as Parquet below ``path``, all of them replaced at once.
+
+    They go to a folder of their own. Only when all four are written, an empty file named after
+    the folder, numbered on from the one before, makes it the current one: creating a file is
+    one step in every file system, so a reader finds four old or four new tables. A run that was
+    lost leaves a folder that nothing names. The version before the current one is kept for
+    readers that are under way, older ones are deleted.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    old = _versions(spark, path)
+    number = int(old[-1].split("-")[0]) + 1 if old else 1
+    version = f"{number:09d}-{uuid.uuid4().hex[:12]}"
     for name, part in split_tables(df).items():
-        part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-    return open_tables(df.sparkSession, path)
+        part.write.parquet(f"{path}/{version}/{name}")
+    fs, where = _fs(spark, f"{path}/{_POINTER}/{version}")
+    fs.create(where, False).close()
+    for gone in old[:-1]:
+        for rest in (f"{path}/{_POINTER}/{gone}", f"{path}/{gone}"):  # the name first, then what it names
+            _fs(spark, rest)[0].delete(_fs(spark, rest)[1], True)
+    return open_tables(spark, path)
 
 
 def open_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Open the tables :func:`build_tables` wrote and register them as views."""
-    tables = {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in TABLE_COLUMNS}
+    """Open the tables :func:`build_tables` wrote last and register them as views."""
+    path = path.rstrip("/")
+    found = _versions(spark, path)
+    if not found:
+        raise ValueError(f"{path}: no tables were built here")
+    tables = {n: spark.read.parquet(f"{path}/{found[-1]}/{n}") for n in TABLE_COLUMNS}
     register(tables)
     return tables
