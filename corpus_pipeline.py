@@ -23,8 +23,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``docs`` with a stored number for each row, and the column's name: ids may be null or repeated."""
+    """``docs`` with a number of its own for each row, and the column's name.
+
+    The id is the number where no row lacks it or shares it, which the ids alone tell; else rows are
+    stored with numbers, as a number drawn anew at each reading could change.
+    """
     number = scratch.unused(docs.columns, "row_number")
+    own = docs.where("doc_id IS NULL").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if own:
+        return docs.withColumn(number, F.col("doc_id").cast("long")), number
     return scratch.cut(docs.withColumn(number, F.monotonically_increasing_id()), name), number
 
 
