@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,13 +42,27 @@ READERS = frozenset("comment comments comments-area disqus replies reply respond
 
 LONG, SHORT = 200, 70  # characters
 LINKS, STOPS_HIGH, STOPS_LOW = 0.4, 0.30, 0.15  # shares of characters and of words
+FOREIGN = 0.05  # share of stop words below which a page's language is taken for one without a list
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b"
-                  r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+# Elements whose content is not markup of the page's text.
+RAW_TAGS = frozenset("script style noscript template svg iframe textarea".split())
+JUDGED_TAGS = BLOCK_TAGS | OUTSIDE_TAGS | {"span"}
+
+# the beginning of a tag, with its attributes and end where these are short
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:((?:[^<>\"']{1,200}+|\"[^<\"]{0,200}+\"|'[^<']{0,200}+'){0,20}+)>)?|[!?])")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW_TAGS}
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,}+;?")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"\w+")
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003134f]")
+
+
+@lru_cache(4096)
+def _outside(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    return outside(tag, attributes, inside)
 
 
 def outside(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
@@ -82,107 +97,203 @@ def listed(token: str) -> str:
     return parts[-1] if parts and parts[-1] in OUTSIDE_NAMES else ""
 
 
-def prose(text: str, links: float) -> bool:
-    """Whether a block by itself is running text."""
-    return links <= LINKS and len(text) >= SHORT and _stops(text) >= (STOPS_LOW if len(text) > LONG else STOPS_HIGH)
+def extent(text: str) -> int:
+    """Characters of a text; those of scripts that write a syllable or word in one count twice."""
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
+def _counts(text: str) -> tuple[int, int]:
+    """Stop words and words of a text; those of short texts are remembered for the next question."""
+    return _remembered(text) if len(text) < 5000 else _counted(text)
+
+
+def _counted(text: str) -> tuple[int, int]:
+    words = _WORD.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
+
+
+_remembered = lru_cache(512)(_counted)
+
 
+def foreign(found: list[tuple]) -> bool:
+    """Whether the page's long blocks hold so few stop words that its language is not listed."""
+    known = total = 0
+    for text, links, marked, *_ in found:
+        if not marked and links <= LINKS and len(text) >= SHORT:
+            stops, words = _counts(text)
+            known, total = known + stops, total + words
+    return total >= 20 and known < FOREIGN * total
 
-def _stops(text: str) -> float:
-    known = [w.lower() in STOP_WORDS for w in _WORD.findall(text)]
-    return sum(known) / max(len(known), 1)
 
+def density(text: str, unlisted: bool) -> float:
+    """Share of stop words; 1 where the list cannot know any: another language or script."""
+    if unlisted or not text.isascii() and 2 * len(_LATIN.findall(text)) < sum(map(str.isalpha, text)):
+        return 1.0
+    stops, words = _counts(text)
+    return stops / max(words, 1)
 
-def _resolved(found: list[tuple[str, float, bool, bool, tuple]]) -> list[tuple[str, float, bool, bool]]:
+
+def prose(text: str, links: float, unlisted: bool) -> bool:
+    """Whether a block by itself is running text."""
+    size = extent(text)
+    return links <= LINKS and size >= SHORT and density(text, unlisted) >= (STOPS_LOW if size > LONG else STOPS_HIGH)
+
+
+def _resolved(found: list[tuple[str, float, bool, bool, int]], named: list[tuple[int, str]]) -> list[tuple[str, float, bool, bool]]:
     """Blocks with names judged: a name marks nothing where its element holds the main prose.
 
     That is more than half of the page's prose, or all of it where readers' texts are named.
+    ``named`` lists (number of the named element around, name); a block has its innermost one's
+    number, -1 for none. Elements are numbered from outside in, so one walk each way will do.
+    """
+    if not named:  # nothing is to be judged
+        return [b[:4] for b in found]
+    unlisted = foreign(found)
+    total, held = 0, [0] * len(named)
+    for text, links, marked, _, at in found:
+        if not marked and prose(text, links, unlisted):
+            total += len(text)
+            if at >= 0:
+                held[at] += len(text)
+    for at in range(len(named) - 1, -1, -1):
+        if named[at][0] >= 0:
+            held[named[at][0]] += held[at]
+    bad: list[bool] = []
+    for (around, name), n in zip(named, held, strict=True):
+        void = n and (n == total if name in READERS else 2 * n > total)
+        bad.append(not void or around >= 0 and bad[around])
+    return [(text, links, marked or at >= 0 and bad[at], inside) for text, links, marked, inside, at in found]
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, is an end tag, name, attributes) of each tag; name "" for what is skipped whole.
+
+    One walk forward. A tag ends at the first ``>`` outside quotes. Where quotes do not close
+    before the page ends, they mean nothing from there on, so that no part is walked again and again.
     """
-    named = any(b[4] for b in found)  # else nothing is to be judged
-    sizes = [len(text) if named and not marked and prose(text, links) else 0 for text, links, marked, _, _ in found]
-    total, held = sum(sizes), {}
-    for n, (*_, names) in zip(sizes, found, strict=True):
-        for name in set(names):
-            held[name] = held.get(name, 0) + n
-    void = {name for name, n in held.items() if n and (n == total if name[1] in READERS else 2 * n > total)}
-    return [(text, links, marked or any(n not in void for n in names), inside) for text, links, marked, inside, names in found]
+    at, quotes, last = 0, True, page.rfind(">")
+    while m := _OPEN.search(page, at):
+        start, at = m.span()
+        if m[2] is None:
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(opening, start):
+                    end = page.find(closing, start + len(opening))
+                    at = len(page) if end < 0 else end + len(closing)
+                    break
+            else:
+                if at > last:
+                    continue
+                at = page.index(">", at) + 1
+            yield start, at, False, "", ""
+            continue
+        if at > last and m[3] is None:
+            continue
+        tag, attributes, end = m[2].lower(), m[3], at
+        if attributes is None or not quotes:
+            at = m.end(2)
+            rest = _REST.match(page, at) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.index(">", at) + 1
+            attributes = page[at: end - 1]
+        if tag in RAW_TAGS and not m[1]:
+            if not (tag == "svg" and attributes.endswith("/")):  # only this one may end in itself
+                close = _RAW_END[tag].search(page, end)
+                end = close.end() if close else len(page)
+            tag = ""
+        at = end
+        yield start, end, bool(m[1]), tag, attributes
+
+
+def _decoded(text: str) -> str:
+    return html.unescape(_LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, link share, in a marked element, in an article) for each text block in order."""
     found, parts, linked, total = [], [], 0, 0
-    # tag, in a marked element, in an article, (number, name) of the elements around with a listed name
-    stack: list[tuple[str, bool, bool, tuple]] = []
-    none, link = ("", False, False, ()), 0
+    # tag, in a marked element, in an article, number of the innermost element with a listed name
+    stack: list[tuple[str, bool, bool, int]] = []
+    named: list[tuple[int, str]] = []
+    opened: dict[str, int] = {}  # tags on the stack, by name
+    none, link = ("", False, False, -1), 0
 
     def close() -> None:
         nonlocal parts, linked, total
         text = " ".join("".join(parts).split())
         if text:
-            _, marked, inside, names = stack[-1] if stack else none
-            found.append((text, linked / max(total, 1), marked, inside, names))
+            found.append((text, linked / max(total, 1), *(stack[-1] if stack else none)[1:]))
         parts, linked, total = [], 0, 0
 
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     at = 0
-    page = _RAW.sub(" ", page)
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = html.unescape(page[at: m.start()])
+    for start, after, ending, tag, attributes in _tags(page):
+        if start > at:
+            piece = _decoded(page[at: start])
             parts.append(piece)
             n = len(piece.strip())
             total += n
             linked += n * (link > 0)
-        at, tag, ending = m.end(), m[2].lower(), bool(m[1])
+        at = after
         if tag == "a":
             link = 0 if ending else 1
-        if tag == "br":
+        if tag in ("br", ""):
             parts.append(" ")
         if tag in BLOCK_TAGS:
             close()
             link = 0
-        if tag in VOID_TAGS:
+        if tag in VOID_TAGS or not tag:
             continue
-        _, marked, inside, names = stack[-1] if stack else none
         if not ending:
             if stack and stack[-1][0] == "p" and tag in BLOCK_TAGS:  # a paragraph ends where a block begins
-                stack.pop()
-                _, marked, inside, names = stack[-1] if stack else none
-            if tag in BLOCK_TAGS or tag in OUTSIDE_TAGS or tag in ("span",):
-                sure, name = outside(tag, m[3], inside)
-                new, named = marked or sure, (*names, (at, name)) if name else names
-                if (new and not marked or named != names) and tag not in BLOCK_TAGS:
-                    close()
-                stack.append((tag, new, inside or tag in ("article", "main"), named))
-        else:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if open_at is not None:
-                if tag not in BLOCK_TAGS and (stack[-1][1] or stack[-1][3]):
+                pop()
+            if tag in JUDGED_TAGS:
+                _, marked, inside, around = stack[-1] if stack else none
+                # what is remembered stays small; a very long tag is judged anew
+                sure, name = (_outside if len(attributes) < 500 else outside)(tag, attributes, inside)
+                if (sure and not marked or name) and tag not in BLOCK_TAGS:
                     close()
-                del stack[open_at:]
+                if name:
+                    named.append((around, name))
+                    around = len(named) - 1
+                stack.append((tag, marked or sure, inside or tag in ("article", "main"), around))
+                opened[tag] = opened.get(tag, 0) + 1
+        elif opened.get(tag):
+            if tag not in BLOCK_TAGS and (stack[-1][1] or stack[-1][3] >= 0):
+                close()
+            while stack[-1][0] != tag:
+                pop()
+            pop()
     if at < len(page):
         tail = page[at:]
-        parts.append(html.unescape(tail.partition("<")[0] if re.match(r"[^<]*</?[a-zA-Z]", tail) else tail))
+        cut = _OPEN.search(tail)  # a tag without an end
+        parts.append(_decoded(tail[: cut.start()] if cut and cut[2] else tail))
         total += len(tail)
     close()
-    return _resolved(found)
+    return _resolved(found, named)
 
 
 def labels(found: list[tuple[str, float, bool, bool]]) -> list[bool]:
     """Pass one decides long, dense, linked and marked blocks; pass two lets the rest inherit."""
     first: list[bool | None] = []
+    unlisted = foreign(found)
     # an article element counts if it holds most of the text that is kept: teasers do not
     within = [(text, links) for text, links, marked, inside in found if inside and not marked]
-    article = bool(within) and sum(len(t) for t, links in within if links <= LINKS and len(t) >= SHORT) >= sum(
-        len(text) for text, links, marked, inside in found if not inside and not marked and prose(text, links))
+    article = bool(within) and sum(len(t) for t, links in within if links <= LINKS and extent(t) >= SHORT) >= sum(
+        len(text) for text, links, marked, inside in found if not inside and not marked and prose(text, links, unlisted))
     for text, links, marked, inside in found:
-        stops = _stops(text)
+        size = extent(text)
         if marked or links > LINKS or (article and not inside):
             first.append(False)
-        elif len(text) < SHORT:
+        elif size < SHORT:
             first.append(None)
-        elif (inside and article) or stops >= (STOPS_LOW if len(text) > LONG else STOPS_HIGH):
+        elif inside and article:
             first.append(True)
         else:
-            first.append(None if stops >= STOPS_LOW else False)
+            stops = density(text, unlisted)
+            sure = stops >= (STOPS_LOW if size > LONG else STOPS_HIGH)
+            first.append(True if sure else None if stops >= STOPS_LOW else False)
     # neighbours are unmarked blocks on the same side of an article's border
     out = [bool(x) for x in first]
     for side in (True, False):
@@ -219,8 +330,9 @@ def extract(pages: DataFrame) -> DataFrame:
     The others are classified by stop-word share, length and link share; ambiguous short
     blocks take the label of their nearest decided neighbours. Where article elements hold
     most of a page's prose, only their blocks count. A class or id marks an element by its whole
-    or its head noun, and not where the element holds the page's main prose. A null or empty page gives an empty text; null ids and
-    urls pass through, repeated rows give repeated results, other columns are ignored.
+    or its head noun, and not where the element holds the page's main prose. Pages in a language
+    without a stop list, and blocks in a script other than Latin, are judged by length and links. The work grows
+    with a page's length, however broken its markup. A null or empty page gives an empty text; null ids and urls pass through, repeated rows give repeated results, other columns are ignored.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
