@@ -19,6 +19,7 @@ from .labels import SAMPLE_ROWS, fold, sample
 TOXIC_AT = 0.3
 STEMS = (4, 5, 6)  # lengths of word beginnings that may become an entry
 SUPPORT = 3  # labelled texts that an entry must explain by itself
+REMEMBERED = 200_000  # written words that a task remembers at once
 
 # Look-alike letters of other scripts, and signs written for letters within words.
 # Capitals come before lower-casing: there other letters look alike than among small ones.
@@ -47,10 +48,21 @@ def _plain(text: str) -> str:
     return unicodedata.normalize("NFC", MARKS.sub("", text.translate(HOMOGLYPHS)))
 
 
-def folded(text: str | None) -> list[str]:
-    """Words of a whole text with homoglyphs, accents of Latin letters and digit spellings folded."""
+class FoldedWords(dict):
+    """Folded words by written word, remembered while a task works; very long words are not kept."""
+
+    def __missing__(self, word: str) -> list[str]:
+        found = _folded(word)
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def _folded(text: str) -> list[str]:
     out = []
-    for word in _plain(text or "").split():
+    for word in _plain(text).split():
         if not word.isalpha():
             word = word.strip(".,;:?\"'()[]{}*#&%-_…»«")
             if any(c.isalpha() for c in word):
@@ -60,6 +72,15 @@ def folded(text: str | None) -> list[str]:
     return out
 
 
+def folded(text: str | None, known: FoldedWords | None = None) -> list[str]:
+    """Words of a whole text with homoglyphs, accents of Latin letters and digit spellings folded.
+
+    No step looks beyond white space, so each written word is folded by itself, and once.
+    """
+    known = FoldedWords() if known is None else known
+    return [w for word in (text or "").split() for w in known[word]]
+
+
 def entries(word: str) -> list[str]:
     """What a word may be listed as: itself (``word$``) or one of its beginnings."""
     return [f"{word}$", *[word[:n] for n in STEMS if len(word) > n]]
@@ -74,9 +95,9 @@ def learn(rows: list[tuple[str, int]], support: int = SUPPORT, purity: float = 0
     Words pure by themselves in a twentieth of the toxic texts (``8`` at least) join them.
     The weight is the smoothed log-odds of an entry against the prior.
     """
-    toxic, bad, good = [], Counter(), Counter()
+    toxic, bad, good, known = [], Counter(), Counter(), FoldedWords()
     for text, y in dict.fromkeys(rows):
-        found = {e for w in set(folded(text)) for e in entries(w)}
+        found = {e for w in set(folded(text, known)) for e in entries(w)}
         (bad if y else good).update(found)
         if y:
             toxic.append(found)
@@ -118,9 +139,9 @@ def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTION
     return machine
 
 
-def score(text: str | None, machine) -> float:
+def score(text: str | None, machine, known: FoldedWords | None = None) -> float:
     """1 - exp(-x), x: weights of matched words outside exception phrases, normalised by length."""
-    found = folded(text)
+    found = folded(text, known)
     hits: dict[int, float] = {}
     excused: list[tuple[int, int]] = []
     for end, (size, weight, excuse) in machine.iter(f" {' '.join(found)} "):
@@ -129,7 +150,12 @@ def score(text: str | None, machine) -> float:
         else:
             start = end - size  # the space before the word
             hits[start] = max(hits.get(start, 0.0), weight)
-    total = sum(w for at, w in hits.items() if not any(a <= at <= b for a, b in excused))
+    total, reach, spans = 0.0, -1, sorted(excused, reverse=True)
+    for at in sorted(hits):  # both lists walked once
+        while spans and spans[-1][0] <= at:
+            reach = max(reach, spans.pop()[1])
+        if at > reach:
+            total += hits[at]
     return 1.0 - math.exp(-total / (2.0 + math.log2(1.0 + len(found) / 50)))
 
 
@@ -146,9 +172,9 @@ def rate(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, rows
     lexicon = _learned(sample(docs, labels, "toxic", usable, rows))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(lexicon, exceptions)
+        machine, known = automaton(lexicon, exceptions), FoldedWords()
         for batch in batches:
-            found = np.array([score(t.as_py(), machine) for t in batch.column("text")], float)
+            found = np.array([score(t.as_py(), machine, known) for t in batch.column("text")], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
