@@ -15,6 +15,7 @@ from .shingles import WordHashes, band_keys, set_key, shingle_set, signature
 
 BANDS, ROWS = 28, 4  # a pair at the threshold shares no band in 1 of 2.5 million cases
 UNIT = 600_000  # shingles that one verification unit may hold on each side
+MEMBERS = 8_192  # and texts, however short: work arrays are as wide as their number
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
                      ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -30,7 +31,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     Method: documents with equal sets become one class. Every class gets a circulant MinHash
     signature, its bands name buckets, and buckets with the same members count once. Each
     bucket is verified on the full sets inside one unit by a sparse matrix product; a bucket
-    of more than ``unit`` shingles is dealt out to pairs of blocks, so that neither a task
+    of more than ``unit`` shingles or ``MEMBERS`` texts is dealt out to pairs of blocks, so that neither a task
     nor a row list grows with its square. A unit reports a spanning forest of its links.
 
     Nulls and texts without a word have an empty set, are linked with nothing and kept. A
@@ -85,7 +86,8 @@ def _verified(slim: DataFrame, classes: DataFrame, size: int, percent: int, unit
         .where(f"members > 2 OR 100 * low >= {percent} * high"))
     # equal member lists arise in many bands: one bucket of each is enough
     chosen = (buckets.groupBy("members", "total", "x1", "x2").agg(F.min("bucket").alias("bucket"))
-              .select("bucket", F.ceil(F.col("total") / unit).cast("int").alias("blocks")))
+              .select("bucket", F.ceil(F.greatest(
+                  F.col("total") / unit, F.col("members") / MEMBERS)).cast("int").alias("blocks")))
     member = each.select("rep", "set_key", "bucket").join(chosen, "bucket")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     spread = member.select(

@@ -55,8 +55,10 @@ def test_near_duplicates(docs, texts, size):
     assert len(found) == len(texts)
 
 
-def test_buckets_dealt_out_in_blocks(docs, texts):
-    found = minhash.near_duplicates(docs, 2, unit=300).collect()
+@pytest.mark.parametrize("members", [3, minhash.MEMBERS])
+def test_buckets_dealt_out_in_blocks(docs, texts, members, monkeypatch):
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    found = minhash.near_duplicates(docs, 2, unit=300 if members > 3 else minhash.UNIT).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == groups_by_force(texts, 2)
 
 
@@ -151,6 +153,13 @@ def test_quality_rules(spark, texts):
         assert not (r.kept and r.base_failed)
 
 
+def ranked(rows, labels, held):
+    """Share of (1, 0) pairs of held-out rows in which the 1 has the higher score; ties half."""
+    ones = [r.score for r in rows if held(r) and labels.get(r.doc_id) == 1]
+    zeros = [r.score for r in rows if held(r) and labels.get(r.doc_id) == 0]
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
 def accuracy(rows, labels, held, predicted):
     pairs = [(predicted(r), labels[r.doc_id]) for r in rows if r.doc_id in labels and held(r)]
     return sum(a == b for a, b in pairs) / len(pairs)
@@ -162,9 +171,13 @@ def test_held_out_accuracy(spark):
     rows = catalog.op5_quality_classifier(spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert accuracy(rows, {r.doc_id: r.quality for r in table}, lambda r: r.held_out, lambda r: r.predicted) > 0.85
+    assert ranked(rows, {r.doc_id: r.quality for r in table}, lambda r: r.held_out) > 0.98
     rows = catalog.op7_toxicity(spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
-    assert accuracy(rows, {r.doc_id: r.toxic for r in table}, lambda r: r.held_out, lambda r: r.predicted) > 0.85
+    truth = {r.doc_id: r.toxic for r in table}
+    assert accuracy(rows, truth, lambda r: r.held_out, lambda r: r.predicted) > 0.9
+    assert accuracy(rows, truth, lambda r: r.held_out and truth[r.doc_id], lambda r: r.predicted) > 0.6
+    assert ranked(rows, truth, lambda r: r.held_out) > 0.8
 
 
 def test_models_on_odd_documents(odd, nothing, labels):
