@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,11 +59,6 @@ _LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
 _WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003134f]")
 
 
-@lru_cache(4096)
-def _outside(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    return outside(tag, attributes, inside)
-
-
 def outside(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
     """Whether an element is no part of the text for certain, and the listed name it bears, or "".
 
@@ -102,17 +96,29 @@ def extent(text: str) -> int:
     return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
 
 
-def _counts(text: str) -> tuple[int, int]:
-    """Stop words and words of a text; those of short texts are remembered for the next question."""
-    return _remembered(text) if len(text) < 5000 else _counted(text)
+class Remembered(dict):
+    """Results by arguments, asked for again and again; forgotten when ``most`` are held. Long arguments are not kept."""
+
+    def __init__(self, function, most: int, longest: int):
+        self.function, self.most, self.longest = function, most, longest
+
+    def __missing__(self, key: tuple):
+        found = self.function(*key)
+        if len(self) >= self.most:
+            self.clear()
+        if sum(len(part) for part in key if isinstance(part, str)) <= self.longest:
+            self[key] = found
+        return found
 
 
-def _counted(text: str) -> tuple[int, int]:
+def counted(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
     words = _WORD.findall(text.lower())
     return sum(map(STOP_WORDS.__contains__, words)), len(words)
 
 
-_remembered = lru_cache(512)(_counted)
+_COUNTS = Remembered(counted, 512, 5000)
+_OUTSIDE = Remembered(outside, 4096, 500)
 
 
 def foreign(found: list[tuple]) -> bool:
@@ -120,7 +126,7 @@ def foreign(found: list[tuple]) -> bool:
     known = total = 0
     for text, links, marked, *_ in found:
         if not marked and links <= LINKS and len(text) >= SHORT:
-            stops, words = _counts(text)
+            stops, words = _COUNTS[text,]
             known, total = known + stops, total + words
     return total >= 20 and known < FOREIGN * total
 
@@ -129,7 +135,7 @@ def density(text: str, unlisted: bool) -> float:
     """Share of stop words; 1 where the list cannot know any: another language or script."""
     if unlisted or not text.isascii() and 2 * len(_LATIN.findall(text)) < sum(map(str.isalpha, text)):
         return 1.0
-    stops, words = _counts(text)
+    stops, words = _COUNTS[text,]
     return stops / max(words, 1)
 
 
@@ -250,8 +256,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                 pop()
             if tag in JUDGED_TAGS:
                 _, marked, inside, around = stack[-1] if stack else none
-                # what is remembered stays small; a very long tag is judged anew
-                sure, name = (_outside if len(attributes) < 500 else outside)(tag, attributes, inside)
+                sure, name = _OUTSIDE[tag, attributes, inside]
                 if (sure and not marked or name) and tag not in BLOCK_TAGS:
                     close()
                 if name:
