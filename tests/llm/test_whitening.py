@@ -116,3 +116,16 @@ def test_packing_keeps_rows_apart():
     rows = whitening._packed(x)
     assert len(set(rows)) == 4
     assert (whitening._unpacked(pa.array([b"", *rows], pa.binary())[1:], 3) == x).all()
+
+
+@pytest.mark.parametrize("seed, dims", [(103, 72), (134, 102), (149, 41)])
+def test_crowded_spectrum(seed, dims):
+    """More eigenvalues just outside an interval than the block has vectors to spare."""
+    rng = np.random.default_rng(seed)
+    assert rng.integers(2, 130) == dims
+    x = np.unique(np.floor(64 * rng.standard_normal((int(rng.integers(2, 3000)), dims)) / np.sqrt(dims)), axis=0)
+    a = np.cov(x.T, bias=True)
+    values, vectors = contour.leading(a, 16)
+    scale = np.abs(a).max()
+    assert np.abs(values - np.linalg.eigvalsh(a)[::-1][:16]).max() <= 1e-13 * scale
+    assert np.abs(a @ vectors - vectors * values).max() < 1e-13 * scale
