@@ -1,8 +1,9 @@
 """Soft-max boosting: in every round one regression tree a class, all fitted to one joint loss.
 
 Each level of a round is one pass over the training rows: tasks add the gradients and second
-derivatives of the soft-max loss per class, node, feature and bin, Spark adds the tasks' sums,
-and splits follow from them. Gradients are summed as whole multiples of 2^-30, so a model does
+derivatives of the soft-max loss per class, node, feature and bin, the tasks' sums are added,
+and splits follow from them. Of two children only the lighter one is summed, the other is the
+rest of their parent. Gradients are summed as whole multiples of 2^-30, so a model does
 not depend on how rows are dealt. Trees are rows as in :mod:`trees`, with a value per leaf.
 """
 
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from ..schema import RISK_LABELS
 from ..sources.store import cut, discard
-from .trees import (BINS, CLASSES, Partial, bin_edges, binned, bins_of, edge_lists, level_sums, most_likely, summed_leaves,
-                    walked, whole_if_small)
+from .trees import (BINS, CLASSES, Partial, bin_edges, binned, bins_of, chunks, edge_lists, most_likely, summed_leaves,
+                    whole_if_small)
 
 UNIT = float(1 << 30)
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, gain double, value double"
+DIRECT = 16  # tasks whose sums the driver adds itself; those of more meet by node before
 KEEP = 10  # rounds whose trees travel with tasks before margins are stored again
 
 
@@ -47,18 +49,17 @@ class Round:
     """Trees of one round: splits and leaf values by class and node."""
 
     def __init__(self, depth: int) -> None:
-        self.splits = Partial(CLASSES, depth)
+        self.splits = Partial(CLASSES, depth + 1)
         self.values = np.zeros((CLASSES, 1 << (depth + 1)))
 
     def margins(self, bins: np.ndarray, depth: int) -> np.ndarray:
         out = np.zeros((len(bins), CLASSES))
-        every = np.arange(len(bins))
+        flat, first = bins.reshape(-1), np.arange(len(bins)) * bins.shape[1]
         for c in range(CLASSES):
             node = np.ones(len(bins), np.int64)
             for _ in range(depth):
-                f = self.splits.feature[c, np.minimum(node, self.splits.feature.shape[1] - 1)]
-                f = np.where(node < self.splits.feature.shape[1], f, -1)
-                right = bins[every, np.maximum(f, 0)] > self.splits.bin[c, np.minimum(node, self.splits.bin.shape[1] - 1)]
+                f = self.splits.feature[c, node]
+                right = flat[first + np.maximum(f, 0)] > self.splits.bin[c, node]
                 node = np.where(f < 0, node, 2 * node + right)
             out[:, c] = self.values[c, node]
         return out
@@ -76,7 +77,7 @@ def _advanced(work: DataFrame, rounds: Sequence[Round], features: int, depth: in
     """The work table with the margins of ``rounds`` added, stored."""
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = margins_of(batch, bins_of(batch, features), rounds, depth)
+            m = margins_of(batch, bins_of(batch.column("bins"), features), rounds, depth)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), batch.column("bins"), *[pa.array(m[:, c]) for c in range(CLASSES)]],
                 names=["label", "bins", *[f"m{c}" for c in range(CLASSES)]])
@@ -85,14 +86,59 @@ def _advanced(work: DataFrame, rounds: Sequence[Round], features: int, depth: in
         added, "label int, bins binary, " + ", ".join(f"m{c} double" for c in range(CLASSES))), "boosting-rows"), total)
 
 
-def _dense(sums: DataFrame, level: int, features: int) -> np.ndarray:
-    """Sums as (class, node, feature, bin, number): as many cells as a level can have, whatever the rows."""
+def _sums(work: DataFrame, tasks: int, since: list[Round], now: Round, level: int, wanted: np.ndarray,
+          features: int, depth: int) -> tuple[np.ndarray, int]:
+    """Sums of gradient and second derivative as (class, node, feature, bin, 2), and at the root the summed loss.
+
+    Whole numbers, in units of 2^-30. Only ``wanted`` (class, node) are summed. As many cells as a
+    level can have, whatever the rows.
+    """
+    nodes, size = 1 << level, features * BINS
+    slots = [np.flatnonzero(w) for w in wanted]
+    slot_of = np.full((CLASSES, 2 * nodes), -1)
+    for c, s in enumerate(slots):
+        slot_of[c, s + nodes] = np.arange(len(s))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, loss = [np.zeros((2, features, len(s) * BINS), np.int64) for s in slots], 0
+        for chunk in chunks(batches):
+            bins, label = bins_of(chunk.column("bins"), features), chunk.column("label").to_numpy()
+            p = softmax(margins_of(chunk, bins, since, depth))
+            if level == 0:
+                loss += int(np.rint(-np.log(np.maximum(p[np.arange(len(label)), label], 1e-300)) * UNIT).astype(np.int64).sum())
+            across = np.ascontiguousarray(bins.T)
+            for c in range(CLASSES):
+                if not len(slots[c]):
+                    continue
+                slot = slot_of[c, now.splits.place(c, bins, level)]
+                live = np.flatnonzero(slot >= 0)
+                first, q = slot[live] * BINS, p[live, c]
+                numbers = [np.rint(v * UNIT) for v in (q - (label[live] == c), 2 * q * (1 - q))]
+                for f in range(features):
+                    cell = first + across[f][live]
+                    for k, v in enumerate(numbers):  # below 2^53, so exact
+                        kept[c][k, f] += np.bincount(cell, v, kept[c].shape[2]).astype(np.int64)
+        out = [(c, int(n), kept[c][:, :, i * BINS: (i + 1) * BINS].tobytes()) for c, s in enumerate(slots) for i, n in enumerate(s)]
+        out.append((-1, 0, np.array([loss], np.int64).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))],
+                                         names=["tree", "node", "part"])
+
+    def together(group: pa.Table) -> pa.Table:
+        part = sum(np.frombuffer(v, np.int64) for v in group.column("part").to_pylist())
+        return pa.table({"tree": group.column("tree")[:1], "node": group.column("node")[:1], "part": pa.array([part.tobytes()])})
+
+    shape = "tree int, node int, part binary"
+    sums = work.mapInArrow(summed, shape)
+    if tasks > DIRECT:
+        sums = sums.groupBy("tree", "node").applyInArrow(together, shape)
+    cells, loss = np.zeros((CLASSES, nodes, 2, size), np.int64), 0
     table = sums.toArrow()
-    col = {n: table.column(n).to_numpy() for n in table.column_names}
-    out = np.zeros((CLASSES, 1 << level, features, BINS, 3))
-    for k in range(3):
-        out[col["tree"], col["node"] - (1 << level), col["feature"], col["bin"], k] = col[f"s{k}"] / UNIT
-    return out
+    for c, n, part in zip(*(table.column(k).to_pylist() for k in ("tree", "node", "part"))):
+        if c < 0:
+            loss += int(np.frombuffer(part, np.int64)[0])
+        else:
+            cells[c, n] += np.frombuffer(part, np.int64).reshape(2, size)
+    return np.moveaxis(cells.reshape(CLASSES, nodes, 2, features, BINS), 2, 4), loss
 
 
 def _splits(cells: np.ndarray, shrink: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,25 +170,35 @@ def fit(rows: DataFrame, names: Sequence[str], rounds: int = 200, depth: int = 6
     work = _advanced(binned(rows, edges, total).select(
         "label", "bins", *[F.lit(0.0).alias(f"m{c}") for c in range(CLASSES)]), [], features, depth, total)
     table, losses, since = [], [], []
+    tasks, root = work.rdd.getNumPartitions(), np.ones((CLASSES, 1), bool)
     for number in range(rounds):
         if len(since) == KEEP:
             old, work = work, _advanced(work, since, features, depth, total)
             discard(old)
-            since = []
+            since, tasks = [], work.rdd.getNumPartitions()
         now = Round(depth)
-        stats = _derivatives(list(since), features, depth)
-        open_ = {(c, 1) for c in range(CLASSES)}
+        open_, lighter, whole = {(c, 1) for c in range(CLASSES)}, set(), None
         for level in range(depth):
-            cells = _dense(level_sums(work, now.splits, level, features, stats, 3), level, features)
+            wanted = root
+            if level:
+                wanted = np.zeros((CLASSES, 1 << level), bool)
+                for c, node in lighter:
+                    wanted[c, node - (1 << level)] = True
+            parents, (whole, loss) = whole, _sums(work, tasks, since, now, level, wanted, features, depth)
+            if level:
+                for c, node in lighter:
+                    n = node - (1 << level)
+                    whole[c, n ^ 1] = parents[c, n >> 1] - whole[c, n]
+            cells = whole / UNIT
             gains, best, bins, left = _splits(cells, shrink, least)
             if level == 0:
-                losses.append(float(cells[0, 0, 0, :, 2].sum()) / total)
+                losses.append(loss / UNIT / total)
                 for c in range(CLASSES):
-                    g, h, _ = cells[c, 0, 0].sum(axis=0)
+                    g, h = cells[c, 0, 0].sum(axis=0)
                     now.values[c, 1] = -rate * g / (h + shrink)
                     table.append([CLASSES * number + c, 1, None, None, None, now.values[c, 1]])
             at = {(r[0] - CLASSES * number, r[1]): r for r in table[-CLASSES * 2 ** (depth + 1):] if r[0] >= CLASSES * number}
-            grown = set()
+            grown, lighter = set(), set()
             for c, node in sorted(open_):
                 n = node - (1 << level)
                 if not gains[c, n] > 1e-9:
@@ -154,33 +210,18 @@ def fit(rows: DataFrame, names: Sequence[str], rounds: int = 200, depth: int = 6
                     now.values[c, child] = -rate * s[0] / (s[1] + shrink)
                     table.append([CLASSES * number + c, child, None, None, None, float(now.values[c, child])])
                     grown.add((c, child))
+                lighter.add((c, 2 * node + (left[c, n, f, b, 1] > left[c, n, f, -1, 1] / 2)))
             open_ = grown
             if not grown:
                 break
         since.append(now)
-    last = level_sums(work, Partial(CLASSES, depth), 0, features, _derivatives(list(since), features, depth), 3)
-    losses.append(float(_dense(last, 0, features)[0, 0, 0, :, 2].sum()) / total)
+    losses.append(_sums(work, tasks, since, Round(depth), 0, root & False, features, depth)[1] / UNIT / total)
     discard(work)
     rows_ = [(t, n, f, x, g, float(v)) for t, n, f, x, g, v in sorted(table, key=lambda r: r[:2])]
     nodes = cut(spark.createDataFrame(rows_, NODE_SCHEMA).coalesce(1), "boosted-nodes")
     return Boosted(nodes, CLASSES * rounds, depth, losses, list(names))
 
 
-def _derivatives(since: list[Round], features: int, depth: int):
-    """Gradient, second derivative and (for class 0) loss of each row, in units of 2^-30."""
-    seen: list = [None, None]
-
-    def stats(batch: pa.RecordBatch, c: int) -> list[np.ndarray]:
-        if seen[0] is not batch:
-            p = softmax(margins_of(batch, bins_of(batch, features), since, depth))
-            seen[:] = [batch, p]
-        p, label = seen[1], batch.column("label").to_numpy()
-        hit = label == c
-        loss = -np.log(np.maximum(p[np.arange(len(label)), label], 1e-300)) if c == 0 else np.zeros(len(label))
-        return [np.rint(v * UNIT) for v in (p[:, c] - hit, 2 * p[:, c] * (1 - p[:, c]), loss)]
-    return stats
-
-
 def predict(model: Boosted, rows: DataFrame, values: Column | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``prediction`` and the class probabilities: the soft-max of the summed leaf values.
 
@@ -190,14 +231,11 @@ def predict(model: Boosted, rows: DataFrame, values: Column | None = None, keep:
     values = vector_to_array("features") if values is None else values
     keep = rows.columns if keep is None else list(keep)
 
-    def leaves(marked: DataFrame, columns: list[str]) -> DataFrame:
-        return walked(marked, model.nodes, model.trees, model.depth, values, columns).join(
-            model.nodes.select("tree", "node", "value"), ["tree", "node"])
-
     value = F.round(F.col("value") * 1e12).cast("long")
-    summed = summed_leaves(rows, keep, leaves, {
-        f"_s{c}": F.sum(F.when(F.col("tree") % CLASSES == c, value).otherwise(0)) for c in range(CLASSES)})
-    scores = [F.col(f"_s{c}") for c in range(CLASSES)]
+    leaves = model.nodes.select("tree", "node", *[
+        F.when(F.col("tree") % CLASSES == c, value).otherwise(0).alias(f"s{c}") for c in range(CLASSES)])
+    summed = summed_leaves(rows, model.nodes, leaves, model.trees, model.depth, values, keep)
+    scores = [F.get("_sums", F.lit(c)) for c in range(CLASSES)]
     odds = [F.exp((s - F.greatest(*scores)) / 1e12) for s in scores]
     total = odds[0] + odds[1] + odds[2]
     return summed.select(*keep, most_likely(scores).alias("prediction"),

@@ -1,20 +1,22 @@
-"""Classification trees as relations: grown from counts, stored as rows, walked by joins.
+"""Classification trees as relations: grown from counts, stored as rows, walked in batches.
 
 A tree is a set of rows (tree, node, feature, threshold, gain, class counts): node 1 is the root,
 node n has the children 2n and 2n + 1, and a row without a feature is a leaf. Growing needs one
-pass over the training rows a level: tasks count classes per node, feature and bin, Spark adds
-the counts, and the best split of each node is taken from the sums. Counts are whole numbers, so
-the trees do not depend on how rows are dealt to tasks, and SQL can grow the very same ones.
+pass over the training rows a level: tasks count classes per node, feature and bin, Spark brings
+the counts of a node together, and its best split is taken from their sums. Counts are whole
+numbers, so the trees do not depend on how rows are dealt to tasks, and SQL can grow the very
+same ones. Scoring sends the node rows, as large as the model, to the tasks that hold the rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,8 @@ BINS = 64
 CLASSES = len(RISK_LABELS)
 LEAST_GAIN = 1e-7
 TASK_ROWS = 20_000  # fewer rows are not worth a task; more tasks than the source had are never made
-DENSE = 2_000_000  # cells a task sums by itself before it hands them on
+CHUNK = 1 << 19  # rows a task counts before it hands counts on
+GROUP = 400  # nodes whose best splits are found together
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, gain double, "
                + ", ".join(f"n{c} long" for c in range(CLASSES)))
 
@@ -132,91 +135,110 @@ class Partial:
         return node
 
 
-def bins_of(batch: pa.RecordBatch, features: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, features)
+def bins_of(rows: pa.Array, features: int) -> np.ndarray:
+    """Bins by row and feature."""
+    ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset: rows.offset + len(rows) + 1]
+    return np.frombuffer(rows.buffers()[2], np.uint8)[ends[0]: ends[-1]].reshape(len(rows), features)
 
 
-Stats = Callable[[pa.RecordBatch, int], Sequence[np.ndarray]]
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to as many rows as a task counts at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
 
 
-def level_sums(work: DataFrame, partial: Partial, level: int, features: int, stats: Stats, width: int,
-               subset: np.ndarray | None = None) -> DataFrame:
-    """(tree, node, feature, bin, s0, s1, ...): sums of ``width`` whole numbers over the rows of each cell.
+def parts(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Stretches of an array, cut at ``starts``, as bytes."""
+    ends = np.append(starts, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
 
-    ``stats(batch, tree)`` gives the numbers of each row; ``subset`` the features looked at by
-    tree and node, all if none is given. Empty cells are left out.
+
+def purity(counts: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+    """Sum of squared class weights over their sum: the greater, the purer, and additive over nodes."""
+    weighed = [counts[..., c] * w for c, w in enumerate(weights)]
+    total, squares = weighed[0], weighed[0] * weighed[0]
+    for p in weighed[1:]:
+        total, squares = total + p, squares + p * p
+    return squares / total
+
+
+def best_splits(work: DataFrame, partial: Partial, level: int, features: int, weights: Sequence[float], least: int,
+                sampled: bool, subset: np.ndarray | None) -> list:
+    """Per tree and node at ``level``: class totals and the best split; the lower feature, then bin, among equals.
+
+    Tasks count rows by class in each cell (node, feature, bin) and hand on the cells that are not empty, a row a
+    node. These meet by node, whose cells are added and searched in one place: never more than the bins
+    of its features. One row a node comes to the driver: never more than the trees can have. ``subset`` names
+    the features looked at by tree and node, all if none is given.
     """
     trees, nodes = len(partial.feature), 1 << level
     per_node = features if subset is None else subset.shape[2]
-    cells = nodes * per_node * BINS
-    whole = trees * cells * width <= DENSE
-
-    def rows(tree: int, sums: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(np.abs(sums).sum(axis=0))
-        node, slot, b = at // (per_node * BINS), at // BINS % per_node, at % BINS
-        feature = slot if subset is None else subset[tree, node + nodes, slot]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), tree), pa.int32()), pa.array(node + nodes, pa.int32()),
-             pa.array(feature, pa.int32()), pa.array(b, pa.int32()),
-             *[pa.array(s[at].astype(np.int64)) for s in sums]],
-            names=["tree", "node", "feature", "bin", *[f"s{k}" for k in range(width)]])
+    cells = per_node * BINS * CLASSES
+    groups = 1 + trees * nodes // GROUP
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((trees, width, cells)) if whole else None
-        for batch in batches:
-            bins = bins_of(batch, features)
+        for chunk in chunks(batches):
+            bins = bins_of(chunk.column("bins"), features)
+            label, number = chunk.column("label").to_numpy(), chunk.column("number").to_numpy()
             for tree in range(trees):
-                node = partial.place(tree, bins, level)
-                live = np.flatnonzero(node)
+                times = copies(mixed(number, np.int64(tree), number)) if sampled else np.ones(len(label))
+                live = np.flatnonzero(times)
+                node = partial.place(tree, bins[live] if sampled else bins, level)
+                live, node = live[node > 0], node[node > 0]
                 if not len(live):
                     continue
-                numbers = [s[live] for s in stats(batch, tree)]
-                sums = kept[tree] if whole else np.zeros((width, cells))
-                looked = np.arange(features)[None, :] if subset is None else subset[tree, node[live]]
-                cell = ((node[live] - nodes)[:, None] * per_node + np.arange(per_node)) * BINS
-                cell = (cell + bins[live[:, None], looked]).reshape(-1)
-                for k, s in enumerate(numbers):
-                    sums[k] += np.bincount(cell, np.repeat(s, per_node), cells)
-                if not whole:
-                    yield rows(tree, sums)
-        if whole:
-            for tree in range(trees):
-                yield rows(tree, kept[tree])
-
-    names = [f"s{k}" for k in range(width)]
-    schema = "tree int, node int, feature int, bin int, " + ", ".join(f"{n} long" for n in names)
-    return work.mapInArrow(counted, schema).groupBy("tree", "node", "feature", "bin").agg(
-        *[F.sum(n).alias(n) for n in names])
-
-
-def running(sums: DataFrame, width: int) -> DataFrame:
-    """Cells with l0, l1, ...: what lies left of a split behind their bin, and t0, t1, ...: the node's totals."""
-    from pyspark.sql import Window
-
-    whole = Window.partitionBy("tree", "node", "feature")  # at most BINS rows
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sums.select("tree", "node", "feature", "bin", *[F.sum(f"s{k}").over(upto).alias(f"l{k}") for k in range(width)],
-                       *[F.sum(f"s{k}").over(whole).alias(f"t{k}") for k in range(width)])
-
-
-def best_splits(cells: DataFrame, score: Column, allowed: Column, width: int) -> list:
-    """Per tree and node: totals and the best allowed split; the lower feature, then bin, among equals.
-
-    One row a node comes to the driver: never more than the trees can have.
-    """
-    best = F.max(F.when(allowed, F.struct(
-        score.alias("score"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"),
-        *[F.col(f"l{k}") for k in range(width)]))).alias("best")
-    return cells.groupBy("tree", "node").agg(best, *[F.max(f"t{k}").alias(f"t{k}") for k in range(width)]).collect()
-
-
-def purity(counts: Sequence[Column], weights: Sequence[float]) -> Column:
-    """Sum of squared class weights over their sum: the greater, the purer, and additive over nodes."""
-    parts = [c * F.lit(w) for c, w in zip(counts, weights)]
-    total, squares = parts[0], parts[0] * parts[0]
-    for p in parts[1:]:
-        total, squares = total + p, squares + p * p
-    return squares / total
+                sums = np.zeros((per_node, nodes * BINS * CLASSES))
+                first, weight = (node - nodes) * (BINS * CLASSES) + label[live], times[live]
+                for slot in range(per_node):
+                    looked = slot if subset is None else subset[tree, node, slot]
+                    sums[slot] = np.bincount(first + bins[live, looked].astype(np.int64) * CLASSES, weight, sums.shape[1])
+                sums = sums.reshape(per_node, nodes, -1).transpose(1, 0, 2).reshape(-1)
+                at = np.flatnonzero(sums)
+                found, starts = np.unique(at // cells, return_index=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), tree), pa.int32()), pa.array(found + nodes, pa.int32()),
+                     pa.array((tree * nodes + found) % groups, pa.int32()), parts((at % cells).astype(np.int32), starts),
+                     parts(sums[at].astype(np.int64), starts)], names=["tree", "node", "slot", "cell", "n"])
+
+    def searched(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        key = group.column("tree").to_numpy().astype(np.int64) * 2 * nodes + group.column("node").to_numpy()
+        found, row = np.unique(key, return_inverse=True)
+        tree, found = found // (2 * nodes), found % (2 * nodes)
+        cell, n = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("cell", np.int32), ("n", np.int64)))
+        sizes = pc.binary_length(group.column("cell")).to_numpy() // 4
+        sums = np.bincount(np.repeat(row, sizes) * cells + cell, n, len(found) * cells).reshape(len(found), per_node, BINS, CLASSES)
+        order = np.arange(per_node)[None, :] + 0 * found[:, None]
+        if subset is not None:
+            order = np.argsort(subset[tree, found], axis=1)
+            sums = np.take_along_axis(sums, order[:, :, None, None], 1)
+            order = np.take_along_axis(subset[tree, found].astype(np.int64), order, 1)
+        left = sums.cumsum(axis=2)
+        total = left[:, :, -1:, :]
+        right = total - left
+        with np.errstate(all="ignore"):
+            score = purity(left, weights) + purity(right, weights) - purity(total, weights)
+        allowed = (sums.sum(axis=3) > 0) & (left.sum(axis=3) >= least) & (right.sum(axis=3) >= least)
+        score = np.where(allowed, score, -np.inf).reshape(len(found), -1)
+        at = score.argmax(axis=1)  # the lower feature, then bin, among equals
+        every = np.arange(len(found))
+        lefts, totals = left.reshape(len(found), -1, CLASSES)[every, at], total[:, 0, 0, :]
+        return pa.table([
+            pa.array(tree, pa.int32()), pa.array(found, pa.int32()), pa.array(score[every, at]),
+            pa.array(order[every, at // BINS], pa.int32()), pa.array(at % BINS, pa.int32()),
+            *[pa.array(v[:, c].astype(np.int64)) for v in (lefts, totals) for c in range(CLASSES)]],
+            names=["tree", "node", "score", "feature", "bin", *[f"{k}{c}" for k in "lt" for c in range(CLASSES)]])
+
+    return work.mapInArrow(counted, "tree int, node int, slot int, cell binary, n binary").groupBy("slot").applyInArrow(
+        searched, "tree int, node int, score double, feature int, bin int, "
+        + ", ".join(f"{k}{c} long" for k in "lt" for c in range(CLASSES))).collect()
 
 
 def chosen_features(trees: int, depth: int, features: int, take: int) -> np.ndarray:
@@ -245,35 +267,18 @@ def grow(rows: DataFrame, names: Sequence[str], trees: int = 1, depth: int = 8,
     work = binned(rows, edges, total)
     partial = Partial(trees, depth)
     subset = chosen_features(trees, depth, features, take) if take else None
-
-    def stats(batch: pa.RecordBatch, tree: int) -> list[np.ndarray]:
-        label = batch.column("label").to_numpy()
-        number = batch.column("number").to_numpy()
-        times = copies(mixed(number, np.int64(tree), number)) if sampled else np.ones(len(label))
-        return [times * (label == c) for c in range(CLASSES)]
-
-    left, all_ = ([F.col(f"{p}{c}") for c in range(CLASSES)] for p in "lt")
-    right = [t - p for p, t in zip(left, all_)]
-    gain = purity(left, weights) + purity(right, weights) - purity(all_, weights)
     known: dict[tuple[int, int], list] = {}
     for level in range(depth):
-        sums = level_sums(work, partial, level, features, stats, CLASSES, subset)
-        # sizes first: a side without weight must not be divided by
-        sized = running(sums, CLASSES).where(
-            f"{' + '.join(f'l{c}' for c in range(CLASSES))} >= {least} AND "
-            f"{' + '.join(f't{c} - l{c}' for c in range(CLASSES))} >= {least}")
+        split = best_splits(work, partial, level, features, weights, least, sampled, subset)
         if level == 0:
-            roots = sums.groupBy("tree", "feature").agg(*[F.sum(f"s{c}").alias(f"t{c}") for c in range(CLASSES)]).groupBy(
-                "tree").agg(*[F.max(f"t{c}").alias(f"t{c}") for c in range(CLASSES)])
-            for r in roots.collect():
+            for r in split:
                 known[r.tree, 1] = [None, None, None, [r[f"t{c}"] for c in range(CLASSES)]]
-        found = [r for r in best_splits(sized, gain, F.lit(True), CLASSES) if r.best.score > LEAST_GAIN]
+        found = [r for r in split if r.score > LEAST_GAIN]
         for r in found:
-            feature, at = -r.best.f, -r.best.b
-            partial.feature[r.tree, r.node], partial.bin[r.tree, r.node] = feature, at
+            partial.feature[r.tree, r.node], partial.bin[r.tree, r.node] = r.feature, r.bin
             totals = [r[f"t{c}"] for c in range(CLASSES)]
-            lefts = [r.best[f"l{c}"] for c in range(CLASSES)]
-            known[r.tree, r.node] = [feature, edges[feature][at], r.best.score, totals]
+            lefts = [r[f"l{c}"] for c in range(CLASSES)]
+            known[r.tree, r.node] = [r.feature, edges[r.feature][r.bin], r.score, totals]
             known[r.tree, 2 * r.node] = [None, None, None, lefts]
             known[r.tree, 2 * r.node + 1] = [None, None, None, [t - v for t, v in zip(totals, lefts)]]
         if not found:
@@ -283,23 +288,6 @@ def grow(rows: DataFrame, names: Sequence[str], trees: int = 1, depth: int = 8,
     return Trees(nodes, trees, depth, weights, list(names))
 
 
-def walked(rows: DataFrame, nodes: DataFrame, trees: int, depth: int, values: Column, keep: Sequence[str]) -> DataFrame:
-    """(``keep`` columns, tree, node): the leaf of each row in each tree, by one join a level.
-
-    The node table is as large as the model, not as the data; Spark sends it to all tasks while
-    it is below the session's limit for that and shuffles both sides beyond it.
-    """
-    at = rows.select(*keep, values.alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
-                     F.lit(1).alias("node"))
-    inner = nodes.where("feature IS NOT NULL").select("tree", "node", "feature", "threshold")
-    for _ in range(depth):
-        right = F.get(F.col("_v"), F.col("feature")) > F.col("threshold")
-        at = at.join(inner, ["tree", "node"], "left").select(
-            *keep, "_v", "tree", F.when(F.col("feature").isNull(), F.col("node")).otherwise(
-                2 * F.col("node") + right.cast("int")).alias("node"))
-    return at.drop("_v")
-
-
 def chances(nodes: DataFrame, weights: Sequence[float]) -> DataFrame:
     """(tree, node, q0, q1, ...): class shares of each leaf, rows counted by class weight."""
     parts = [F.col(f"n{c}") * F.lit(w) for c, w in enumerate(weights)]
@@ -309,24 +297,67 @@ def chances(nodes: DataFrame, weights: Sequence[float]) -> DataFrame:
     return nodes.where("feature IS NULL").select("tree", "node", *[(p / total).alias(f"q{c}") for c, p in enumerate(parts)])
 
 
-def summed_leaves(rows: DataFrame, keep: Sequence[str], leaves: Callable[[DataFrame, list[str]], DataFrame],
-                  sums: dict[str, Column]) -> DataFrame:
-    """``sums`` over the leaves of each row, with the ``keep`` columns of the row.
+def summed_leaves(rows: DataFrame, nodes: DataFrame, numbers: DataFrame, trees: int, depth: int, values: Column,
+                  keep: Sequence[str]) -> DataFrame:
+    """The ``keep`` columns and ``_sums``: sums of whole ``numbers`` (tree, node, s0, s1, ...) over the leaves of each row.
 
-    The leaves of a row stand together, so a task adds them before anything moves. Rows are told apart
-    by a number; plain columns go along as keys of the group, others (vectors) as its first value.
+    Rows are walked where they stand, a batch and a tree at a time; nodes and numbers, as large as
+    the model, travel with the tasks. As in SQL, a missing value takes its row out of the tree and NaN is greater
+    than any number. A row that reaches no leaf is left out.
     """
-    plain = [f.name for f in rows.select(*keep).schema if f.dataType.typeName() not in ("vectorudt", "map", "udt", "variant")]
-    other = [c for c in keep if c not in plain]
-    mark = unused(rows.columns, "_row")
-    found = leaves(rows.withColumn(mark, F.monotonically_increasing_id()), [mark, *keep])
-    return found.groupBy(mark, *plain).agg(*[F.first(c).alias(c) for c in other], *[v.alias(k) for k, v in sums.items()])
-
-
-def unused(columns: Sequence[str], name: str) -> str:
-    while name in columns:
-        name += "_"
-    return name
+    table = nodes.select("tree", "node", "feature", "threshold").orderBy("tree", "node").toArrow()
+    tree, node = (table.column(c).to_numpy().astype(np.int64) for c in ("tree", "node"))
+    inner = table.column("feature").is_valid().to_numpy()
+    feature = table.column("feature").fill_null(0).to_numpy().astype(np.int64)
+    threshold = table.column("threshold").fill_null(0.0).to_numpy()
+    names, gone = numbers.columns[2:], len(tree)  # the last place stands for rows that are out
+    span = int(node.max(initial=1)) * 2 + 2
+    key = tree * span + node
+
+    def place(wanted: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(key, wanted)
+        return np.where((at < gone) & (np.append(key, -1)[at] == wanted), at, gone)
+
+    child = np.tile(np.arange(gone + 1), (2, 1))
+    for side in (0, 1):
+        child[side, :gone][inner] = place(tree * span + 2 * node + side)[inner]
+    feature, threshold = np.append(feature, 0), np.append(threshold, 0.0)
+    found = numbers.toArrow()
+    mine = place(found.column("tree").to_numpy().astype(np.int64) * span + found.column("node").to_numpy())
+    number, real = np.zeros((gone + 1, len(names)), np.int64), np.zeros(gone + 1, bool)
+    number[mine] = np.stack([found.column(c).fill_null(0).to_numpy() for c in names], axis=1) if len(mine) else 0
+    real[mine] = True
+    real[gone], number[gone] = False, 0
+    roots, width = place(np.arange(trees) * span + 1), int(feature.max()) + 1
+    child, open_ = child.T.reshape(-1).copy(), np.append(inner, False)
+
+    def summed(vectors: pa.Array) -> pa.Array:
+        n = len(vectors)
+        sizes = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = vectors.flatten()
+        gaps = np.append(flat.is_null().to_numpy(zero_copy_only=False), True)
+        plain = np.append(flat.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0)
+        cell = np.where(np.arange(width) < sizes[:, None], (np.cumsum(sizes) - sizes)[:, None] + np.arange(width), len(flat))
+        x, missing, every = plain[cell].reshape(-1), gaps[cell].reshape(-1), np.arange(n) * width
+        odd, lacking = bool(np.isnan(x).any()), bool(missing.any())
+        sums, reached = np.zeros((n, len(names)), np.int64), np.zeros(n, bool)
+        for root in roots:
+            at = np.full(n, root)
+            for _ in range(depth):
+                look = every + feature[at]
+                right = x[look] > threshold[at]
+                if odd:
+                    right |= np.isnan(x[look]) & ~np.isnan(threshold[at])
+                below = child[2 * at + right]
+                at = np.where(missing[look] & open_[at], gone, below) if lacking else below
+            sums += number[at]
+            reached |= real[at]
+        ends = pa.array(np.arange(n + 1) * len(names), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(sums.reshape(-1)), mask=pa.array(~reached))
+
+    # called nondeterministic so that it is evaluated once, not again for the condition
+    leaves = F.arrow_udf(summed, "array<long>").asNondeterministic()
+    return rows.select(*keep, leaves(values).alias("_sums")).where("_sums IS NOT NULL")
 
 
 def most_likely(scores: Sequence[Column]) -> Column:
@@ -342,20 +373,18 @@ def predict(model: Trees, rows: DataFrame, values: Column | None = None, keep: S
 
     Shares are added as whole multiples of 10^-12, so that the order of trees does not matter.
     Rows need not have distinct keys. Classes equal to 12 digits: the lower one. ``keep`` names the
-    columns that stay, all if not given; the fewer, the less is repeated per tree.
+    columns that stay, all if not given.
     """
     values = vector_to_array("features") if values is None else values
     keep = rows.columns if keep is None else list(keep)
 
-    def leaves(marked: DataFrame, columns: list[str]) -> DataFrame:
-        return walked(marked, model.nodes, model.trees, model.depth, values, columns).join(
-            chances(model.nodes, model.weights), ["tree", "node"])
-
-    summed = summed_leaves(rows, keep, leaves, {
-        f"_q{c}": F.sum(F.round(F.col(f"q{c}") * 1e12).cast("long")) for c in range(CLASSES)})
+    shares = chances(model.nodes, model.weights).select("tree", "node", *[
+        F.round(F.col(f"q{c}") * 1e12).cast("long").alias(f"s{c}") for c in range(CLASSES)])
+    summed = summed_leaves(rows, model.nodes, shares, model.trees, model.depth, values, keep)
+    sums = [F.get("_sums", F.lit(c)) for c in range(CLASSES)]
     scale = 1e12 * model.trees
-    return summed.select(*keep, most_likely([F.col(f"_q{c}") for c in range(CLASSES)]).alias("prediction"),
-                         *[(F.col(f"_q{c}") / scale).alias(f"p_{v.lower()}") for c, v in enumerate(RISK_LABELS)])
+    return summed.select(*keep, most_likely(sums).alias("prediction"),
+                         *[(q / scale).alias(f"p_{v.lower()}") for q, v in zip(sums, RISK_LABELS)])
 
 
 def importances(nodes: DataFrame, names: Sequence[str], spark: SparkSession, top: int | None = None) -> DataFrame:
