@@ -1,7 +1,7 @@
 """Risk models: train, predict, explain, store and load.
 
-Logistic regression is Spark ML's; trees, forests and boosted trees are relations grown by
-:mod:`trees` and :mod:`boosting`. Every kind can be stored as plain rows and applied to a customer
+Logistic regression is fitted by :mod:`logistic`; trees, forests and boosted trees are relations grown
+by :mod:`trees` and :mod:`boosting`. Every kind can be stored as plain rows and applied to a customer
 table from these rows alone.
 """
 
@@ -11,19 +11,18 @@ import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FEATURE_COLUMNS, RISK_LABELS
-from . import boosting, trees
+from . import boosting, logistic, trees
 from .boosting import Boosted
 from .trees import Trees
 
 VERSION = 1
+WEIGHT_SCHEMA = "class int, feature int, weight double"
 RESULTS = ["prediction", *(f"p_{v.lower()}" for v in RISK_LABELS)]
 
 # Display names in report order.
@@ -49,27 +48,15 @@ class Linear:
     names: list[str] = field(default_factory=list)
 
 
-Model = PipelineModel | Trees | Boosted | Linear
-
-
-def pipeline(rows_weight: float) -> Pipeline:
-    """Unfitted logistic regression; ``rows_weight`` is the summed training weight.
-
-    The tolerance is so small that the loss is at its minimum: :func:`logistic_gradient` shows it.
-    """
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    model = LogisticRegression(
-        featuresCol="scaled", labelCol="label", weightCol="weight", family="multinomial", tol=1e-12,
-        maxIter=1000, regParam=1.0 / rows_weight, elasticNetParam=0.0, standardization=False)
-    return Pipeline(stages=[scaler, model])
+Model = Trees | Boosted | Linear
 
 
 def train(table: DataFrame, kind: str, **params) -> Model:
     """Fit one model on the training rows of a stored model table; ``params`` replace sizes."""
     rows = table.where(~F.col("is_test"))
-    if kind == "logistic":
-        return pipeline(rows.agg(F.sum("weight")).first()[0]).fit(rows)
     names = feature_names(table)
+    if kind == "logistic":
+        return Linear(table.sparkSession.createDataFrame(logistic.fit(rows), WEIGHT_SCHEMA), names)
     if kind in TREE_SIZES:
         return trees.grow(rows, names, **{**TREE_SIZES[kind], **params})
     if kind == "boosted":  # unweighted on purpose
@@ -90,12 +77,7 @@ def predict(model: Model, df: DataFrame, keep: Sequence[str] | None = None) -> D
         return trees.predict(model, df, values, keep)
     if isinstance(model, Boosted):
         return boosting.predict(model, df, values, keep)
-    if isinstance(model, Linear):
-        return _linear(model, df, values).select(*(keep or df.columns), *RESULTS)
-    p = vector_to_array("probability")
-    parts = {name: F.get(p, F.lit(i)) for i, name in enumerate(RESULTS[1:])}
-    scored = model.transform(df).withColumns(parts).withColumn("prediction", F.col("prediction").cast("int"))
-    return scored if keep is None else scored.select(*keep, *RESULTS)
+    return _linear(model, df, values).select(*(keep or df.columns), *RESULTS)
 
 
 def _linear(model: Linear, df: DataFrame, values: Column) -> DataFrame:
@@ -116,30 +98,23 @@ def _linear(model: Linear, df: DataFrame, values: Column) -> DataFrame:
                        *[(o / total).alias(p) for o, p in zip(odds, RESULTS[1:])])
 
 
-def linear_rows(model: PipelineModel) -> list[tuple[int, int, float]]:
-    """(class, feature, weight) on raw values: scaling is folded into weights and constants."""
-    scaler, fitted = model.stages
-    mean, std = scaler.mean.toArray(), scaler.std.toArray()
-    weights, constants = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
-    rows = []
-    for c in range(weights.shape[0]):
-        raw = [float(w / s) if s else 0.0 for w, s in zip(weights[c], std)]
-        rows.append((c, -1, float(constants[c] - sum(w * m for w, m in zip(raw, mean)))))
-        rows += [(c, i, w) for i, w in enumerate(raw)]
-    return rows
+def linear_rows(model: Linear) -> list[tuple[int, int, float]]:
+    """(class, feature, weight) on raw values; classes * features rows."""
+    return [tuple(r) for r in model.rows.select("class", "feature", "weight").collect()]
 
 
-def logistic_gradient(model: PipelineModel, table: DataFrame) -> DataFrame:
+def logistic_gradient(model: Linear, table: DataFrame) -> DataFrame:
     """(class, feature, gradient) of the penalised, weighted loss at the fitted weights.
 
     The loss has one minimum, so a gradient of nothing but zeros shows that it was found.
     One pass over the training rows; sums are made map-side, per feature.
     """
     rows = table.where(~F.col("is_test"))
-    names, fitted = feature_names(table), model.stages[-1]
-    weights = fitted.coefficientMatrix.toArray()
-    scored = model.transform(rows).select(
-        "label", "weight", vector_to_array("probability").alias("p"), vector_to_array("scaled").alias("x"))
+    names = feature_names(table)
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(rows)
+    weights = {(c, i): float(w * scaler.std[i]) for c, i, w in linear_rows(model) if i >= 0}
+    scored = predict(model, scaler.transform(rows), ["label", "weight", "scaled"]).select(
+        "label", "weight", F.array(*RESULTS[1:]).alias("p"), vector_to_array("scaled").alias("x"))
     miss = [F.col("weight") * (F.get("p", F.lit(c)) - (F.col("label") == c).cast("double"))
             for c in range(len(RISK_LABELS))]
     # the constant is the feature behind the last, with value 1 and without a penalty
@@ -148,7 +123,7 @@ def logistic_gradient(model: PipelineModel, table: DataFrame) -> DataFrame:
     sums = long.groupBy("at").agg(F.sum("weight").alias("all"), *[
         F.sum(F.col(f"r{c}") * F.col("v")).alias(f"g{c}") for c in range(len(RISK_LABELS))])
     penalty = F.create_map(*[F.lit(v) for c in range(len(RISK_LABELS)) for i in range(len(names) + 1) for v in (
-        c * 1000 + i, float(weights[c][i]) if i < len(names) else 0.0)])
+        c * 1000 + i, weights.get((c, i), 0.0))])
     titles = F.array(*[F.lit(n) for n in [*names, "constant"]])
     cells = F.array(*[F.struct(
         F.lit(c).alias("class"), F.get(titles, F.col("at")).alias("feature"),
@@ -226,8 +201,6 @@ def save_model(model: Model, codes: dict[str, list[str]], name: str, path: str,
     """
     spark = SparkSession.active()
     model = model.model if isinstance(model, Loaded) else model
-    if isinstance(model, PipelineModel):
-        model = Linear(spark.createDataFrame(linear_rows(model), "class int, feature int, weight double"), list(names))
     names = model.names or list(names)
     kind = type(model).__name__
     rows = model.rows if isinstance(model, Linear) else model.nodes

@@ -158,6 +158,27 @@ def test_logistic_weights_are_the_minimum(spark):
     assert np.abs(gradient).max() < 1e-6
 
 
+def test_logistic_passes_do_not_grow_with_the_rows(spark):
+    """Features that are nearly multiples, and weights that stand for very many rows: few jobs, at the minimum."""
+    k = F.col("id")
+    amount = 1_000_000 + k * 7919 % 900_001
+    loan = 10_000 + k * 6007 % 490_009
+    score = amount / 1e6 + loan / 4e5 + (k * 104729 % 1009) / 800
+    rows = spark.range(3000).select(
+        (F.lit(8000) + F.floor(amount / 48)).alias("Monthly_Income"), F.floor(amount / 20).alias("Transaction_Amount"),
+        F.floor(amount * (30 + k % 56) / 4800).alias("Monthly_Expenses"), loan.alias("Loan_Amount"), F.floor(loan / 36).alias("EMI"),
+        F.round(loan / amount, 3).alias("Debt_to_Income_Ratio"), (k * 15485863 % 601).alias("Credit_Score"),
+        F.lit(20000.0).alias("weight"), F.lit(False).alias("is_test"), F.when(score < 2.0, 0).when(score < 3.1, 1).otherwise(2).alias("label"))
+    table = features.assembler(rows.columns).transform(rows).select("label", "weight", "is_test", "features").localCheckpoint()
+    context = spark.sparkContext
+    context.setJobGroup("logistic-passes", "")
+    model = training.train(table, "logistic")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("logistic-passes")) < 60
+    gradient = training.logistic_gradient(model, table).collect()
+    assert len(gradient) == 3 * 8 and max(abs(r.gradient) for r in gradient) < 1e-9
+
+
 def test_boosting_lowers_the_loss_and_matches_plain_code(spark):
     """Losses fall every round; the trees of two rounds are those of a plain exhaustive search."""
     import numpy as np
