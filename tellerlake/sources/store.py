@@ -15,6 +15,7 @@ import hashlib
 import tempfile
 import uuid
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,22 @@ def discard(df: DataFrame) -> None:
         fs.delete(where.getParent(), True)
 
 
+def checkpointed(rdd: RDD) -> str:
+    """Store the rows of a kept RDD in the shared folder, partition by partition, and end its lineage there: the folder."""
+    context = rdd.context
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{work_dir(SparkSession.active())}/checkpoints")
+    rdd.checkpoint()
+    rdd.foreachPartition(lambda rows: None)
+    return rdd.getCheckpointFile()
+
+
+def drop_checkpoint(spark: SparkSession, path: str) -> None:
+    """Delete what :func:`checkpointed` wrote, once nothing follows from it any more."""
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
 def buckets(spark: SparkSession, source_bytes: int) -> int:
     """Bucket count: ``spark.tellerlake.buckets`` if set, else by the size of the sources.
 

@@ -1,5 +1,7 @@
 """Trees at scale: what moves while they grow and score, and that neither chunks nor tasks show in the result."""
 
+import os
+
 import numpy as np
 import pytest
 from conftest import SMALL
@@ -104,3 +106,53 @@ def test_one_child_is_the_rest_of_its_parent(spark):
                 mine = ((x[:, top.feature] > top.threshold) == bool(node >> 1 & 1)) & ((x[:, half.feature] > half.threshold) == bool(right))
                 g = (1 / 3 - (y[mine] == c)).sum()
                 assert taken[2][c, node - 4, 0].sum(axis=0) == pytest.approx((g, mine.sum() * 4 / 9), abs=1e-6)
+
+
+def test_shared_codes_give_the_sums_of_each_feature():
+    """Sums by code, flushed at any time, are those of each feature alone; rows are placed as their bins say."""
+    rng, sizes = np.random.default_rng(7), [64, 1, 64, 2, 3, 64, 17, 5, 1]
+    codes = boosting.Codes(sizes)
+    assert len(codes.groups) < len(sizes) and max(codes.widths) <= boosting.JOINT
+    assert max(boosting.Codes(sizes, 12).widths) == 64
+    bins = np.stack([rng.integers(0, n, 500) for n in sizes], axis=1).astype(np.uint8)
+    label, margins = rng.integers(0, 3, 500).astype(np.int8), rng.normal(size=(3, 500))
+    now = boosting.Round(3)
+    for node, f, b in ((1, 0, 30), (2, 5, 12), (3, 4, 0), (5, 3, 0)):
+        now.splits.feature[1, node], now.splits.bin[1, node], now.values[1, node] = f, b, 9.0
+    now.values[1, 4:16] = np.arange(4, 16)
+    blocks = [(codes.coded(bins[at: at + 90]), label[at: at + 90], margins[:, at: at + 90]) for at in range(0, 500, 90)]
+    node = np.where(bins[:, 0] > 30, 6 + (bins[:, 4] > 0), 4 + (bins[:, 5] > 12))
+    slots = [np.array([], int), np.array([1, 2]), np.array([0])]
+    p = np.exp(margins) / np.exp(margins).sum(axis=0)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(boosting, "FLUSH", 200)
+        sums, loss = boosting.level_sums(iter(blocks), now, codes, 2, slots)
+    assert loss == 0 and not len(sums[0]) and not sums[2].any()  # the tree of class 2 has no split
+    for i, n in enumerate((5, 6)):
+        for f in range(len(sizes)):
+            for b in range(sizes[f]):
+                mine = (node == n) & (bins[:, f] == b)
+                want = (p[1] - (label == 1))[mine].sum(), (2 * p[1] * (1 - p[1]))[mine].sum()
+                assert sums[1][i, :, codes.starts[f] + b] / boosting.UNIT == pytest.approx(want, abs=1e-6)
+    moved = np.concatenate([b[2] for b in boosting.advanced(iter(blocks), [now], codes)], axis=1)
+    leaf = np.where(node == 5, 10 + (bins[:, 3] > 0), node)
+    assert np.array_equal(moved, margins + np.stack([np.zeros(500), leaf, np.zeros(500)]))
+
+
+def test_rows_of_many_tasks_stay_with_them(spark, monkeypatch):
+    """A round plans no query of its own and leaves nothing behind; margins are stored now and then."""
+    rows, names = train_rows(spark)
+    one = boosting.fit(rows, names, rounds=5, depth=3)
+    seen, kind = [], type(rows)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *args: seen.append(args) or plain(self, *args))
+    stored, keep = [], boosting.checkpointed
+    monkeypatch.setattr(boosting, "checkpointed", lambda rdd: stored.append(keep(rdd)) or stored[-1])
+    monkeypatch.setattr(trees, "TASK_ROWS", 25)
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    many = boosting.fit(rows.repartition(4), names, rounds=5, depth=3)
+    assert len(seen) == 2 and len(stored) == 3  # bins and blocks; at the start and after rounds 2 and 4
+    assert node_rows(many) == node_rows(one) and many.losses == one.losses
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    assert not any(os.path.exists(path.removeprefix("file:")) for path in stored)
