@@ -33,7 +33,7 @@ NODE_SCHEMA = "tree int, node int, feature int, threshold double, gain double, v
 BLOCK_SCHEMA = "codes binary, label binary, margins binary"
 DIRECT = 16  # tasks whose sums the driver adds itself; those of more meet by node before
 KEEP = 10  # rounds before margins are stored again
-JOINT = 4096  # values of a code that features share; fewer where trees are deeper than six levels
+JOINT = 4096  # values of a code that features share; fewer where a task has few rows or trees are deeper than six levels
 BLOCK = 1 << 16  # rows of a block at most
 FLUSH = 1 << 22  # rows whose sums stay below 2^53 as doubles, and rows that a task holds at most where there are cores for it
 
@@ -54,8 +54,9 @@ class Boosted:
 class Codes:
     """Features by the code they share: a number whose digits are their bins, the first one lowest."""
 
-    def __init__(self, sizes: Sequence[int], depth: int = 6) -> None:
-        most = max(BINS, min(JOINT, (16 * JOINT) >> max(depth - 2, 0)))  # what a level needs does not grow with the depth
+    def __init__(self, sizes: Sequence[int], depth: int, rows: int) -> None:
+        # neither do sums outweigh the ``rows`` of a task, nor grow with the depth
+        most = max(BINS, min(JOINT, rows // 64, (16 * JOINT) >> max(depth - 2, 0)))
         self.sizes, self.groups = list(sizes), []
         for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
             for g in self.groups:
@@ -289,10 +290,8 @@ class Many:
     A pass over what is kept costs a third of what planning a query for it and moving its rows would.
     """
 
-    def __init__(self, rows: DataFrame, codes: Codes, features: int, total: int) -> None:
-        self.spark, self.codes, self.rounds = rows.sparkSession, codes, 0
-        cores = self.spark.sparkContext.defaultParallelism
-        self.tasks = min(1 + total // trees.TASK_ROWS, max(cores, 1 + total // FLUSH))
+    def __init__(self, rows: DataFrame, codes: Codes, features: int, total: int, tasks: int) -> None:
+        self.spark, self.codes, self.tasks, self.rounds = rows.sparkSession, codes, tasks, 0
         dealt = _first_blocks(rows, codes, features, max(1, min(BLOCK, total // (32 * self.tasks)))).repartition(self.tasks)
         self.now = dealt.rdd.mapPartitions(lambda found: _joined(_block(r.codes, r.label, r.margins) for r in found))
         self.old: list[RDD] = []
@@ -382,7 +381,10 @@ def fit(rows: DataFrame, names: Sequence[str], rounds: int = 200, depth: int = 6
         return Boosted(spark.createDataFrame([], NODE_SCHEMA), 0, depth, [], list(names))
     edges = edge_lists(bin_edges(rows), features)
     coded = binned(rows, edges, total)
-    work = (Few if total < trees.TASK_ROWS else Many)(coded, Codes([len(e) for e in edges], depth), features, total)
+    tasks = min(1 + total // trees.TASK_ROWS, max(spark.sparkContext.defaultParallelism, 1 + total // FLUSH))
+    codes = Codes([len(e) for e in edges], depth, total // tasks)
+    work = (Few(coded, codes, features, total) if total < trees.TASK_ROWS else
+            Many(coded, codes, features, total, tasks))
     discard(coded)
     table, losses, root = [], [], np.ones((CLASSES, 1), bool)
     for number in range(rounds):

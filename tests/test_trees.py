@@ -111,9 +111,10 @@ def test_one_child_is_the_rest_of_its_parent(spark):
 def test_shared_codes_give_the_sums_of_each_feature():
     """Sums by code, flushed at any time, are those of each feature alone; rows are placed as their bins say."""
     rng, sizes = np.random.default_rng(7), [64, 1, 64, 2, 3, 64, 17, 5, 1]
-    codes = boosting.Codes(sizes)
-    assert len(codes.groups) < len(sizes) and max(codes.widths) <= boosting.JOINT
-    assert max(boosting.Codes(sizes, 12).widths) == 64
+    codes = boosting.Codes(sizes, 6, 10 ** 6)
+    assert len(codes.groups) < len(sizes) and max(codes.widths) == boosting.JOINT
+    # deep trees and few rows: no more than the bins of a feature
+    assert max(boosting.Codes(sizes, 12, 10 ** 6).widths) == 64 == max(boosting.Codes(sizes, 6, 100).widths)
     bins = np.stack([rng.integers(0, n, 500) for n in sizes], axis=1).astype(np.uint8)
     label, margins = rng.integers(0, 3, 500).astype(np.int8), rng.normal(size=(3, 500))
     now = boosting.Round(3)
@@ -142,7 +143,7 @@ def test_shared_codes_give_the_sums_of_each_feature():
 def test_rows_of_many_tasks_stay_with_them(spark, monkeypatch):
     """A round plans no query of its own and leaves nothing behind; margins are stored now and then."""
     rows, names = train_rows(spark)
-    one = boosting.fit(rows, names, rounds=5, depth=3)
+    one = boosting.fit(rows, names, rounds=3, depth=2)
     seen, kind = [], type(rows)
     plain = kind.mapInArrow
     monkeypatch.setattr(kind, "mapInArrow", lambda self, *args: seen.append(args) or plain(self, *args))
@@ -151,8 +152,8 @@ def test_rows_of_many_tasks_stay_with_them(spark, monkeypatch):
     monkeypatch.setattr(trees, "TASK_ROWS", 25)
     monkeypatch.setattr(boosting, "KEEP", 2)
     kept = spark.sparkContext._jsc.getPersistentRDDs().size()
-    many = boosting.fit(rows.repartition(4), names, rounds=5, depth=3)
-    assert len(seen) == 2 and len(stored) == 3  # bins and blocks; at the start and after rounds 2 and 4
+    many = boosting.fit(rows.repartition(4), names, rounds=3, depth=2)
+    assert len(seen) == 2 and len(stored) == 2  # bins and blocks; at the start and after round 2
     assert node_rows(many) == node_rows(one) and many.losses == one.losses
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
     assert not any(os.path.exists(path.removeprefix("file:")) for path in stored)
